@@ -60,15 +60,25 @@ def top_k(rows: DataFrame, k: int, few_queries: list | None) -> DataFrame:
     return nearest(rows, k).drop("position")
 
 
-def ranked_list(distances: DataFrame, name: str) -> DataFrame:
-    """The unscaled ranking of one distance over the whole catalogue, with its position.
+def ranked_lists(distances: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The unscaled ranking of every distance over the whole catalogue, in one pass.
 
-    Positions of a long list come from range partitions, not from one sorting task.
+    Distances become rows; a similarity sorts with its sign turned. Positions come from range
+    partitions of (query, feature, distance), so one long list is not sorted by one task. Equality
+    is judged at nine decimals, then by id.
     """
-    sign = -1 if MEASURES[name].similarity else 1
-    keyed = distances.select(QUERY, "id", F.col(f"d_{name}").alias("distance")).withColumn(
-        "_order", F.col("distance") * sign
-    )
-    return running_total(keyed, [QUERY], ["_order", "id"]).select(
-        QUERY, F.lit(name).alias("feature"), "id", "distance", "position"
+    turned = {n: -1.0 if MEASURES[n].similarity else 1.0 for n in names}
+    stacked = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(n).alias("feature"),
+                    F.col(f"d_{n}").alias("distance"),
+                    F.round(F.col(f"d_{n}") * turned[n], 9).alias("_order"),
+                )
+                for n in names
+            ]
+        )
     )
+    rows = distances.select(QUERY, "id", stacked.alias("_d")).select(QUERY, "id", "_d.*")
+    return running_total(rows, [QUERY, "feature"], ["_order", "id"]).drop("_order")

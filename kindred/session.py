@@ -13,6 +13,7 @@ DEFAULTS = {
     # Wide feature rows: about 1 MB per chroma batch of 1,000 short songs, so keep batches modest.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
