@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from checks import inputs as I
 from checks import sql as S
 from checks.frame import rounded
+from checks.registry import Registry
 from checks.searching import _DIST, _DIST0, ALL
 from kindred.functions import ids
 from kindred.operators.pairing import QUERY
@@ -16,17 +17,7 @@ from kindred.operators.scale_out import scratch_path
 from kindred.plans import search as plans
 from kindred.sources import catalogue, feature_files as files, tables
 
-QUERIES, SQL = {}, {}
-
-
-def check(key: str, sql: str | None = None):
-    def register(f):
-        QUERIES[key] = f
-        if sql is not None:
-            SQL[key] = sql
-        return f
-
-    return register
+check = Registry()
 
 
 def _path(id_="id", class_="class"):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from checks import inputs as I
 from checks import sql as S
 from checks.frame import rounded
+from checks.registry import Registry
 from kindred.functions import correlation as C
 from kindred.functions.gaussian import jensen_shannon, symmetric_kullback_leibler
 from kindred.operators import ranking, scaling
@@ -19,17 +20,7 @@ from kindred.operators.scale_out import materialise
 from kindred.plans import search as plans
 
 ALL = list(S.NAMES)
-QUERIES, SQL = {}, {}
-
-
-def check(key: str, sql: str | None = None):
-    def register(f):
-        QUERIES[key] = f
-        if sql is not None:
-            SQL[key] = sql
-        return f
-
-    return register
+check = Registry()
 
 
 def _tables(spark, sf):

@@ -21,10 +21,8 @@ def standardise(rows: DataFrame, feature: str) -> DataFrame:
     )
     ordered = F.sort_array(F.collect_list(F.struct("pos", "mean", "std")))
     stats = dims.agg(ordered.alias("stats")).scalar()
-    return rows.withColumn(
-        feature,
-        F.zip_with(feature, stats, lambda x, s: F.coalesce(F.try_divide(x - s["mean"], s["std"]), F.lit(0.0))),
-    )
+    unit = F.zip_with(feature, "_stats", lambda x, s: F.coalesce(F.try_divide(x - s["mean"], s["std"]), F.lit(0.0)))
+    return rows.withColumn("_stats", stats).withColumn(feature, unit).drop("_stats")
 
 
 def _prepared(rows: DataFrame, feature: str, label: str) -> DataFrame:
