@@ -79,7 +79,8 @@ def stored(spark: SparkSession, sf: str) -> DataFrame:
     """The gathered store written once per application; later queries start from the file."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _STORED:
-        _STORED[key] = materialise(store(spark, sf), "store")
+        spread = store(spark, sf).repartition(spark.sparkContext.defaultParallelism, F.xxhash64("id"))
+        _STORED[key] = materialise(spread, "store")
     return _STORED[key]
 
 

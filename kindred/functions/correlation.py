@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -17,6 +18,9 @@ PITCHES = 12
 FEEDBACK = 0.7265425280
 GAIN = 0.8632712640
 
+# Cells transformed at once, so that a batch of long matrices stays below about 100 MB.
+CELLS = 4_000_000
+
 
 def _high_pass(lines: list[np.ndarray]) -> np.ndarray:
     """Maximum of each filtered line; all lines of the batch advance together in time."""
@@ -31,19 +35,45 @@ def _high_pass(lines: list[np.ndarray]) -> np.ndarray:
     return np.where(ends, steps, -np.inf).max(axis=0)
 
 
-def _lines(a: np.ndarray, v: np.ndarray, shifts: range) -> np.ndarray:
-    """Full correlation of ``a`` with ``v`` along time, one row per pitch shift."""
-    size = a.shape[1] + v.shape[1] - 1
-    n = 1 << (size - 1).bit_length()
-    fa, fv = np.fft.rfft(a, n), np.conj(np.fft.rfft(v, n))
-    out = np.empty((len(shifts), size))
-    for i, s in enumerate(shifts):
-        low, high = max(0, -s), min(PITCHES, PITCHES - s)
-        spectrum = (fa[low + s : high + s] * fv[low:high]).sum(axis=0)
-        out[i] = np.roll(np.fft.irfft(spectrum, n), v.shape[1] - 1)[:size]
+def _spectra(matrices: list[np.ndarray], n: int) -> np.ndarray:
+    padded = np.zeros((len(matrices), PITCHES, n))
+    for i, m in enumerate(matrices):
+        padded[i, :, : m.shape[1]] = m
+    return np.fft.rfft(padded)
+
+
+def _lines(pairs: list[tuple[np.ndarray, np.ndarray]], shifts: range) -> list[np.ndarray]:
+    """Full correlations along time, one array ``(shift, lag)`` per pair ``(fixed, moved)``.
+
+    Pairs with the same FFT length are transformed together, a bounded number at a time.
+    """
+    out: list = [None] * len(pairs)
+    sizes = np.array([a.shape[1] + v.shape[1] - 1 for a, v in pairs])
+    lengths = 1 << np.ceil(np.log2(sizes)).astype(int)
+    for n in np.unique(lengths):
+        rows = np.flatnonzero(lengths == n)
+        step = max(1, CELLS // (PITCHES * len(shifts) * int(n)))
+        for chunk in np.array_split(rows, -(-len(rows) // step)):
+            fixed = _spectra([pairs[i][0] for i in chunk], n)
+            moved = np.conj(_spectra([pairs[i][1] for i in chunk], n))
+            lines = np.empty((len(chunk), len(shifts), n))
+            for k, s in enumerate(shifts):
+                low, high = max(0, -s), min(PITCHES, PITCHES - s)
+                lines[:, k] = np.fft.irfft((fixed[:, low + s : high + s] * moved[:, low:high]).sum(axis=1), n)
+            for i, line in zip(chunk, lines):
+                # negative lags sit at the end of the transform
+                before = pairs[i][1].shape[1] - 1
+                out[i] = np.concatenate([line[:, n - before :], line[:, : sizes[i] - before]], axis=1)
     return out
 
 
+def _rows(column: pa.Array) -> list[np.ndarray | None]:
+    """One view per row on the values of a list column; ``None`` for null or empty."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    return [part if len(part) else None for part in np.split(values, ends[:-1])]
+
+
 def _variant(line=0, same=None, time_major=False, longest_first=True, clear_offset=False, filtered=False,
              per_length=False):
     """Build one batch function.
@@ -51,39 +81,37 @@ def _variant(line=0, same=None, time_major=False, longest_first=True, clear_offs
     ``line``: a pitch shift, ``"all"`` for the maximum over lines, ``"peak"`` for the line holding it.
     ``same``: first kept lag as a function of the shorter length; ``None`` keeps the full result.
     """
+    if isinstance(line, int):
+        shifts = range(line, line + 1)
+    elif same is None:
+        shifts = range(1 - PITCHES, PITCHES)
+    else:
+        # "same" along the pitch axis keeps shifts -5..6
+        shifts = range(PITCHES // 2 - PITCHES + 1, PITCHES // 2 + 1)
 
     def matrix(flat: np.ndarray) -> np.ndarray:
         return flat.reshape(-1, PITCHES).T if time_major else flat.reshape(PITCHES, -1)
 
+    def ordered(a: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (v, a) if longest_first and a.shape[1] <= v.shape[1] else (a, v)
+
+    def kept(full: np.ndarray, m: int, n: int) -> np.ndarray:
+        if same is not None:
+            full = full[:, same(n) : same(n) + m]
+        chosen = full[np.unravel_index(full.argmax(), full.shape)[0]]
+        if clear_offset:
+            chosen = chosen - chosen[0]
+        return chosen / n if per_length else chosen
+
     def run(item: pa.Array, query: pa.Array) -> pa.Array:
-        chosen, rows = [], []
-        for i, (x, y) in enumerate(zip(item, query)):
-            if not (x.is_valid and y.is_valid and len(x) and len(y)):
-                continue
-            a, v = (matrix(z.values.to_numpy(zero_copy_only=False)) for z in (x, y))
-            if longest_first and a.shape[1] <= v.shape[1]:
-                a, v = v, a
-            shifts = range(line, line + 1) if isinstance(line, int) else range(1 - PITCHES, PITCHES)
-            if line == "all" and same is not None:
-                # "same" along the pitch axis keeps shifts -5..6
-                shifts = range(PITCHES // 2 - PITCHES + 1, PITCHES // 2 + 1)
-            full = _lines(a, v, shifts)
-            if same is not None:
-                start = same(v.shape[1])
-                full = full[:, start : start + a.shape[1]]
-            kept = full[np.unravel_index(full.argmax(), full.shape)[0]] if line in ("all", "peak") else full[0]
-            if clear_offset:
-                kept = kept - kept[0]
-            if per_length:
-                kept = kept / v.shape[1]
-            chosen.append(kept)
-            rows.append(i)
-        values = np.full(len(item), np.nan)
-        if chosen:
-            values[rows] = _high_pass(chosen) if filtered else [c.max() for c in chosen]
-        missing = np.ones(len(item), bool)
-        missing[rows] = False
-        return pa.array(values, mask=missing)
+        sides = list(zip(_rows(item), _rows(query)))
+        present = np.array([a is not None and v is not None for a, v in sides], bool)
+        pairs = [ordered(matrix(a), matrix(v)) for (a, v), here in zip(sides, present) if here]
+        values = np.full(len(sides), np.nan)
+        if pairs:
+            lines = [kept(full, a.shape[1], v.shape[1]) for full, (a, v) in zip(_lines(pairs, shifts), pairs)]
+            values[present] = _high_pass(lines) if filtered else [x.max() for x in lines]
+        return pa.array(values, mask=~present)
 
     return F.arrow_udf(run, DoubleType())
 

@@ -32,7 +32,7 @@ def with_classes(results: DataFrame, classes: DataFrame) -> DataFrame:
     """Attach the class of the item and of the query."""
     queries = results.select(QUERY).distinct()
     of_queries = classes.select(F.col("id").alias(QUERY), F.col("class").alias("query_class")).join(queries, QUERY, "left_semi")
-    return results.join(classes.select("id", "class"), "id").join(broadcast_if_small(of_queries, QUERY), QUERY)
+    return results.join(classes.select("id", "class"), "id").join(broadcast_if_small(of_queries, computed=True), QUERY)
 
 
 def rescore(results: DataFrame, combos: Sequence[str]) -> DataFrame:

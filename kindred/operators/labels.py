@@ -27,11 +27,11 @@ def encoder(rows: DataFrame, column: str = "class") -> DataFrame:
 
 
 def encode(rows: DataFrame, codes: DataFrame, column: str = "class") -> DataFrame:
-    return rows.join(broadcast_if_small(codes, column), column, "left")
+    return rows.join(broadcast_if_small(codes), column, "left")
 
 
 def decode(rows: DataFrame, codes: DataFrame, column: str = "class", code: str = "code") -> DataFrame:
-    return rows.join(broadcast_if_small(codes, column), code, "left")
+    return rows.join(broadcast_if_small(codes), code, "left")
 
 
 def lookup_classes(ids: DataFrame, classes: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def ids_of_class(rows: DataFrame, value, column: str = "class") -> DataFrame:
 def at_least(rows: DataFrame, members: int, column: str = "class") -> DataFrame:
     """Rows of classes with enough members; counted before the join, so a hot class is no burden."""
     large = class_counts(rows, column).filter(F.col("members") >= members)
-    return rows.join(broadcast_if_small(large.select(column), column), column, "left_semi")
+    return rows.join(broadcast_if_small(large.select(column), computed=True), column, "left_semi")
 
 
 def majority_baseline(rows: DataFrame, column: str = "class") -> DataFrame:

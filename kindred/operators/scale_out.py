@@ -62,9 +62,13 @@ def small_keys(
 
 
 def broadcast_if_small(
-    df: DataFrame, key: str, max_rows: int = 100_000, max_bytes: int = BROADCAST_BYTES
+    df: DataFrame, computed: bool = False, max_rows: int = 100_000, max_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """Hint a broadcast only for a frame whose size was checked; otherwise leave the join to Spark."""
+    """Hint a broadcast only for a frame whose size was checked; otherwise leave the join to Spark.
+
+    ``computed`` says that ``df`` is expensive: it is materialised, so the check does not repeat it.
+    """
+    df = materialise(df, "lookup") if computed else df
     head = df.limit(max_rows + 1)
     size = sum((_bytes_of(f.name, f.dataType) for f in df.schema.fields), F.lit(0))
     row = head.agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).first()

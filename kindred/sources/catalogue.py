@@ -31,7 +31,7 @@ def file_list_lines(shards: DataFrame) -> DataFrame:
 
 def correct_ids(rows: DataFrame, corrections: DataFrame, key: str = "id") -> DataFrame:
     """Replace ids listed in ``corrections(wrong, right)``."""
-    fixes = broadcast_if_small(corrections.select(F.col("wrong").alias(key), "right"), key)
+    fixes = broadcast_if_small(corrections.select(F.col("wrong").alias(key), "right"))
     joined = rows.join(fixes, key, "left")
     return joined.withColumn(key, F.coalesce("right", key)).select(*rows.columns)
 

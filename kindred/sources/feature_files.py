@@ -1,7 +1,7 @@
 """Feature text files to typed columns, without Python in the loop.
 
-Lines are parsed by column functions only; a row that cannot be parsed becomes a row of the rejects
-frame instead of failing the job.
+Lines are parsed by column functions only. A line that cannot be parsed gives nulls instead of
+failing the job; ``accepted`` and ``rejected`` tell the two apart.
 """
 
 from __future__ import annotations
@@ -33,28 +33,43 @@ def numbers(text: Column) -> Column:
     return F.transform(F.split(flat, ","), lambda x: x.try_cast("double"))
 
 
+def _usable(parsed: DataFrame, vector: str) -> Column:
+    complete = (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull())
+    return F.coalesce((F.col("id") != "") & complete, F.lit(False))
+
+
+def accepted(parsed: DataFrame, vector: str) -> DataFrame:
+    """Rows with an id and a vector without gaps."""
+    return parsed.filter(_usable(parsed, vector))
+
+
+def rejected(parsed: DataFrame, vector: str) -> DataFrame:
+    """The other rows, for a side table."""
+    return parsed.filter(~_usable(parsed, vector))
+
+
 def parse_vectors(lines: DataFrame, name: str) -> DataFrame:
     """``id,v1,..,vn`` with optional ``b'..'`` wrapping."""
     fields = F.split("value", ",")
     values = F.transform(F.slice(fields, 2, F.greatest(F.size(fields) - 1, F.lit(0))),
                          lambda x: unwrap_bytes(x).try_cast("double"))
-    return lines.select(normalise(unwrap_bytes(fields[0])).alias("id"), values.alias(name))
+    return lines.select(normalise(unwrap_bytes(F.get(fields, F.lit(0)))).alias("id"), values.alias(name))
 
 
 def parse_beats(lines: DataFrame) -> DataFrame:
     """``id; bpm; [values]``"""
     parts = F.split("value", ";")
     return lines.select(
-        normalise(parts[0]).alias("id"), F.trim(parts[1]).try_cast("double").alias("bpm"), numbers(parts[2]).alias("bh")
+        normalise(F.get(parts, F.lit(0))).alias("id"), F.trim(F.get(parts, F.lit(1))).try_cast("double").alias("bpm"), numbers(F.get(parts, F.lit(2))).alias("bh")
     )
 
 
 def parse_notes(lines: DataFrame) -> DataFrame:
     """``id; key; scale; [0..11, ..]``, one letter per note."""
     parts = F.split("value", ";")
-    letters = F.transform(numbers(parts[3]), lambda n: F.substring(F.lit(NOTE_LETTERS), n.cast("int") + 1, F.lit(1)))
+    letters = F.transform(numbers(F.get(parts, F.lit(3))), lambda n: F.substring(F.lit(NOTE_LETTERS), n.cast("int") + 1, F.lit(1)))
     return lines.select(
-        normalise(parts[0]).alias("id"), F.trim(parts[1]).alias("key"), F.trim(parts[2]).alias("scale"),
+        normalise(F.get(parts, F.lit(0))).alias("id"), F.trim(F.get(parts, F.lit(1))).alias("key"), F.trim(F.get(parts, F.lit(2))).alias("scale"),
         F.array_join(letters, "").alias("notes"),
     )
 
@@ -98,3 +113,19 @@ def parse_chroma(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def parse_query_list(lines: DataFrame) -> DataFrame:
     """One path per line, optionally ``path : shard``."""
     return lines.select(normalise(F.split_part("value", F.lit(":"), F.lit(1))).alias("id"))
+
+
+def load_tables(spark: SparkSession, root: str, min_partitions: int | None = None) -> dict[str, DataFrame]:
+    """All feature tables below ``root``: ``features<n>/out<n>.<type>``."""
+
+    def lines(extension: str) -> DataFrame:
+        return read_lines(spark, f"{root}/features[0-9]*/out[0-9]*.{extension}", min_partitions)
+
+    return {
+        "rp": accepted(parse_vectors(lines("rp"), "rp"), "rp"),
+        "rh": accepted(parse_vectors(lines("rh"), "rh"), "rh"),
+        "bh": accepted(parse_beats(lines("bh")), "bh"),
+        "notes": parse_notes(lines("notes")),
+        "chroma": accepted(parse_chroma(lines("chroma"))[0], "chroma"),
+        "mfcckl": accepted(parse_gaussians(lines("mfcckl")), "cov"),
+    }
