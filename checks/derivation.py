@@ -56,10 +56,10 @@ def _intervals(spark, sf):
 
 
 @check("t3_beat_averages", S.with_(_FRAMES) + """select track, interval, bin,
-round(coalesce(mean / nullif(sum(abs(mean)) over (partition by track, interval), 0), 0), 6) + 0.0 as value from means""")
+round(coalesce(mean / nullif(sum(abs(mean)) over (partition by track, interval), 0), 0), 9) + 0.0 as value from means""")
 def t3_beat_averages(spark, sf):
     out = D.beat_averages(_intervals(spark, sf), 5).select("track", "interval", F.posexplode("values").alias("bin", "value"))
-    return rounded(out.withColumn("bin", F.col("bin").cast("long")))
+    return rounded(out.withColumn("bin", F.col("bin").cast("long")), 9)
 
 
 _LOUD = "loud as (select track, sum(value) / count(*) / 2 as silence from frames group by track)"

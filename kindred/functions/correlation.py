@@ -7,12 +7,18 @@ FFT along time. Larger values mean more similar.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+# Executors receive the kernels with the plan and need no copy of this package.
+register_pickle_by_value(sys.modules[__name__])
+
 # Pitch classes per octave and the first-order 0.1 Nyquist high-pass filter.
 PITCHES = 12
 FEEDBACK = 0.7265425280

@@ -6,14 +6,19 @@ Both return ``struct<distance, status>``. The status takes the place of driver-s
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
+# Executors receive the kernels with the plan and need no copy of this package.
+register_pickle_by_value(sys.modules[__name__])
+
 RESULT = StructType().add("distance", DoubleType()).add("status", StringType())
 ARROW_RESULT = pa.struct([("distance", pa.float64()), ("status", pa.string())])
 

@@ -6,7 +6,8 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,14 +15,20 @@ from pyspark.sql import functions as F
 def standardise(rows: DataFrame, feature: str) -> DataFrame:
     """Zero mean and unit population deviation per dimension; a constant dimension becomes 0.
 
-    The statistics are one row of two short arrays, attached as a scalar subquery.
+    The statistics come from one pass over the vectors, as one short row attached by a scalar
+    subquery.
     """
-    dims = rows.select(F.posexplode(feature).alias("pos", "x")).groupBy("pos").agg(
-        F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")
-    )
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "mean", "std")))
-    stats = dims.agg(ordered.alias("stats")).scalar()
-    unit = F.zip_with(feature, "_stats", lambda x, s: F.coalesce(F.try_divide(x - s["mean"], s["std"]), F.lit(0.0)))
+    summary = Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(feature))
+    n = F.col("s.count")
+    stats = rows.agg(summary.alias("s")).select(
+        F.struct(
+            vector_to_array("s.mean").alias("mean"),
+            # the summary holds the sample variance
+            F.transform(vector_to_array("s.variance"), lambda v: F.sqrt(v * (n - 1) / n)).alias("std"),
+        ).alias("stats")
+    ).scalar()
+    centred = F.zip_with(feature, "_stats.mean", lambda x, m: x - m)
+    unit = F.zip_with(centred, "_stats.std", lambda x, s: F.coalesce(F.try_divide(x, s), F.lit(0.0)))
     return rows.withColumn("_stats", stats).withColumn(feature, unit).drop("_stats")
 
 

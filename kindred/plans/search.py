@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from kindred.operators.measures import MEASURES, features_of, is_comparable, measure
 from kindred.operators.pairing import QUERY, pair, query_points
 from kindred.operators.ranking import SUBSETS, mean_score, nearest, order_columns, top_k, weighted_score
-from kindred.operators.scale_out import materialise
+from kindred.operators.scale_out import broadcast_if_small, materialise
 from kindred.operators.scaling import bounds, scaled, with_bounds
 from kindred.operators.store import distinct_rows
 
@@ -172,7 +172,7 @@ def prefilter(
     best = nearest(ranked, candidates, score=f"d_{first}", largest_first=MEASURES[first].similarity)
     best = materialise(best.select(QUERY, "id", scaled(first)), "candidates")
     points = query_points(store, queries, features_of(others))
-    rows = store.select("id", *carry, *features_of(others)).join(F.broadcast(best) if few else best, "id")
+    rows = store.select("id", *carry, *features_of(others)).join(broadcast_if_small(best), "id")
     pairs = rows.join(F.broadcast(points.df) if points.ids is not None else points.df, QUERY)
     distances = materialise(
         distinct_rows(measure(pairs, others, [*carry, f"scaled_{first}"])), "distances"
