@@ -35,7 +35,12 @@ MEASURES: dict[str, Measure] = {
         ("mean", "cov"), lambda *c: gaussian.symmetric_kullback_leibler(*c)["distance"], limit=KL_LIMIT
     ),
     "js": Measure(("mean", "cov"), lambda *c: gaussian.jensen_shannon(*c)["distance"]),
-    "mfcc": Measure(("mean", "cov"), distances.gaussian_euclidean),
+    "mfcc": Measure(("gaussian",), distances.euclidean),
+}
+
+# Columns computed once per item before it meets the queries.
+DERIVED: dict[str, Callable[[], Column]] = {
+    "gaussian": lambda: distances.gaussian_vector(F.col("mean"), F.col("cov")),
 }
 
 
@@ -43,8 +48,14 @@ def features_of(names: Sequence[str]) -> list[str]:
     return list(dict.fromkeys(f for n in names for f in MEASURES[n].features))
 
 
+def prepare(store: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Add the derived columns that the distances read."""
+    missing = [f for f in features_of(names) if f in DERIVED and f not in store.columns]
+    return store.withColumns({f: DERIVED[f]() for f in missing}) if missing else store
+
+
 def measure(pairs: DataFrame, names: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
-    """Project pairs to ids and distances ``d_<name>``; the feature arrays end here."""
+    """Project pairs of a prepared store to ids and distances ``d_<name>``; the feature arrays end here."""
     columns = []
     for name in names:
         m = MEASURES[name]

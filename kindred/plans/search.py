@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.operators.measures import MEASURES, features_of, is_comparable, measure
+from kindred.operators.measures import MEASURES, features_of, is_comparable, measure, prepare
 from kindred.operators.pairing import QUERY, pair, query_points
 from kindred.operators.ranking import SUBSETS, mean_score, nearest, order_columns, top_k, weighted_score
 from kindred.operators.scale_out import broadcast_if_small, materialise
@@ -49,6 +49,7 @@ def _scaled_rows(distances: DataFrame, limits_df: DataFrame, names, carry, few)
 
 def measured(store: DataFrame, queries: Sequence | DataFrame, names: Sequence[str]) -> tuple[DataFrame, list | None]:
     """Distances of every item to every query, and the query ids if they are few."""
+    store = prepare(store, names)
     points = query_points(store, queries, features_of(names))
     return measure(pair(store, points), names, _carried(store)), points.ids
 
@@ -125,7 +126,7 @@ def refine(
     A stage is one job: it reads only its own feature column and writes ids and scaled values.
     A cut that would leave a query fewer than ``min_candidates`` rows is not made.
     """
-    carry = _carried(store)
+    carry, store = _carried(store), prepare(store, stages)
     points = query_points(store, queries, features_of(stages))
     few = points.ids is not None
     survivors, done = None, []
@@ -165,7 +166,7 @@ def prefilter(
     """
     names = list(SUBSETS[features] if isinstance(features, str) else features)
     others = [n for n in names if n != first]
-    carry = _carried(store)
+    carry, store = _carried(store), prepare(store, names)
     quick, few = measured(store.select("id", *features_of([first])), queries, [first])
     cut = materialise(quick.filter(is_comparable(first, limits)), "prefilter")
     ranked = with_bounds(cut, bounds(cut, [first], limits), few is not None)

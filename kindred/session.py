@@ -10,8 +10,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Wide feature rows: about 1 MB per chroma batch of 1,000 short songs, so keep batches modest.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # A pair of chroma matrices of 800 beats is 160 KB, so a batch stays near 80 MB.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
