@@ -25,11 +25,14 @@ class QueryPoints:
 def query_points(
     catalogue: DataFrame, queries: Sequence | DataFrame, features: Sequence[str], max_rows: int = BROADCAST_ROWS
 ) -> QueryPoints:
-    """Look up the queries; ``queries`` is a list of ids or a frame with an ``id`` column.
+    """Look up the queries; ``queries`` is a list of ids, a frame with an ``id`` column, or
+    ``catalogue`` itself when it holds nothing but queries.
 
     The id filter of a list reaches the scan. Features are renamed ``q_<feature>``.
     """
-    if isinstance(queries, DataFrame):
+    if queries is catalogue:
+        found = catalogue
+    elif isinstance(queries, DataFrame):
         found = catalogue.join(queries.select("id").distinct(), "id", "left_semi")
     else:
         found = catalogue.filter(F.col("id").isin(list(queries)))

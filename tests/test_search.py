@@ -232,3 +232,37 @@ def test_filters_drop_infinite_and_nan(spark):
     assert df.filter(is_comparable("skl")).count() == 1
     assert df.filter(is_comparable("skl", {"skl": 1e9})).count() == 2
     assert reduce(lambda a, b: a & b, [is_comparable("skl")]) is not None
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lsh_needs_no_shuffle_for_few_points(store):
+    few = lsh.approximate_join(store, store.filter("id < 3"), "rp", 0.8, bucket_length=1.0)
+    assert "hashpartitioning(entry" not in plan_of(few) and "BroadcastHashJoin [query_id" in plan_of(few)
+
+
+def test_lsh_join_of_many_points_is_the_same(store, monkeypatch):
+    few = rows(lsh.approximate_join(store, store.filter("id < 9"), "rp", 0.8, bucket_length=1.0))
+    monkeypatch.setattr("kindred.operators.pairing.small_keys", lambda *_: None)
+    many = rows(lsh.approximate_join(store, store.filter("id < 9"), "rp", 0.8, bucket_length=1.0))
+    assert few.keys() == many.keys() and few
+    assert all(few[k]["distance"] == pytest.approx(many[k]["distance"]) for k in few)
+
+
+def test_refining_a_bucketed_store_shuffles_no_arrays(spark, store):
+    spark.sql("drop table if exists bucketed_store")
+    write_store(store, "bucketed_store", buckets=8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        survivors = plans.measured(store, [0], ["bh"])[0].select("id")
+        joined = spark.table("bucketed_store").select("id", "chroma").join(survivors, "id")
+        exchanges = [line for line in plan_of(joined).splitlines() if "Exchange" in line]
+        scan = plan_of(joined).split("bucketed_store")[0]
+        assert "Exchange" not in scan and len(exchanges) >= 1
+        got = {r.id for r in plans.refine(spark.table("bucketed_store"), [5], ("js", "rp")).collect()}
+        assert got == {r.id for r in plans.refine(store, [5], ("js", "rp")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("drop table if exists bucketed_store")
