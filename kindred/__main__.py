@@ -44,7 +44,7 @@ def run(spark, options: argparse.Namespace):
         features = [features]
     if options.strategy == "separate":
         return plans.search_tables([(tables[t], SERVED[t]) for t in SERVED], queries, features, k=options.top)
-    store = gather([tables[t] for t in ("chroma", "mfcckl", "notes", "rp", "rh", "bh")])
+    store = gather([tables[t] for t in ("chroma", "mfcckl", "notes", "rp", "rh", "bh")], distinct=True)
     if options.strategy == "refine":
         return plans.refine(store, queries, plans.BH_FIRST if options.stages == "bh" else plans.CHROMA_FIRST)
     if options.strategy == "prefilter":

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.functions import correlation, distances, gaussian
+from kindred.functions import correlation, distances, gaussian, sequences
 from kindred.operators.pairing import QUERY
 
 # Fixed value: larger Kullback-Leibler divergences are not compared.
@@ -29,7 +29,7 @@ MEASURES: dict[str, Measure] = {
     "rp": Measure(("rp",), distances.euclidean),
     "rh": Measure(("rh",), distances.euclidean),
     "bh": Measure(("bh",), distances.euclidean),
-    "notes": Measure(("notes",), distances.edit_distance),
+    "notes": Measure(("notes",), sequences.edit_distance),
     "chroma": Measure(("chroma",), correlation.chroma_correlation, similarity=True),
     "skl": Measure(
         ("mean", "cov"), lambda *c: gaussian.symmetric_kullback_leibler(*c)["distance"], limit=KL_LIMIT

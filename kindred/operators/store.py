@@ -9,12 +9,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def gather(tables: Sequence[DataFrame], how: str = "inner") -> DataFrame:
+def one_copy(table: DataFrame) -> DataFrame:
+    """Drop whole-row copies; rows are compared by id and two hashes of their content."""
+    content = [F.xxhash64(*table.columns), F.hash(*table.columns)]
+    keyed = table.select("*", content[0].alias("_content"), content[1].alias("_check"))
+    return keyed.dropDuplicates(["id", "_content", "_check"]).drop("_content", "_check")
+
+
+def gather(tables: Sequence[DataFrame], how: str = "inner", distinct: bool = False) -> DataFrame:
     """Join feature tables on ``id``. Each table is shuffled once; bucketed tables not at all.
 
-    ``how="left"`` keeps items of the first table whose other features are missing.
+    ``how="left"`` keeps items of the first table whose other features are missing. ``distinct``
+    drops copies of rows; before the joins, because copies on both sides would multiply.
     """
-    return reduce(lambda left, right: left.join(right, "id", how), tables)
+    parts = [one_copy(t) for t in tables] if distinct else tables
+    return reduce(lambda left, right: left.join(right, "id", how), parts)
 
 
 def write_store(store: DataFrame, table: str, buckets: int, mode: str = "errorifexists") -> None:

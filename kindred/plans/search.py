@@ -97,11 +97,12 @@ def search_tables(
         wanted = [n for n in served if n in names]
         if wanted:
             part, ids = measured(table, queries, wanted)
-            parts.append(part)
+            # copies of an item are dropped before the join, where they would multiply
+            parts.append(distinct_rows(part) if distinct else part)
             few.append(ids)
             carry += _carried(table)
     wide = reduce(lambda left, right: left.join(right, [QUERY, "id"], "full"), parts)
-    cut = materialise(distinct_rows(wide) if distinct else wide, "distances")
+    cut = materialise(wide, "distances")
     known = max(few, key=len) if all(f is not None for f in few) else None
     complete = cut.filter(reduce(lambda a, b: a & b, [is_comparable(n, limits) for n in names]))
     rows = _scaled_rows(complete, bounds(cut, names, limits), names, carry, known)
@@ -123,7 +124,8 @@ def refine(
 ) -> DataFrame:
     """Measure one distance per stage, on the rows that survived the earlier ones.
 
-    A stage is one job: it reads only its own feature column and writes ids and scaled values.
+    A stage is one job: it reads only its own feature column and writes ids and scaled values, one
+    row per distinct item.
     A cut that would leave a query fewer than ``min_candidates`` rows is not made.
     """
     carry, store = _carried(store), prepare(store, stages)
@@ -139,7 +141,7 @@ def refine(
             rows = store.select("id", *wanted).join(survivors, "id")
             pairs = rows.join(F.broadcast(stage_points.df) if few else stage_points.df, QUERY)
         distances = measure(pairs, [name], [*carry, *done])
-        cut = materialise(distances.filter(is_comparable(name, limits)), f"stage-{name}")
+        cut = materialise(distinct_rows(distances.filter(is_comparable(name, limits))), f"stage-{name}")
         joined = with_bounds(cut, bounds(cut, [name], limits, with_mean=True), few)
         better = better_than_mean(joined, name)
         if min_candidates:
@@ -168,7 +170,7 @@ def prefilter(
     others = [n for n in names if n != first]
     carry, store = _carried(store), prepare(store, names)
     quick, few = measured(store.select("id", *features_of([first])), queries, [first])
-    cut = materialise(quick.filter(is_comparable(first, limits)), "prefilter")
+    cut = materialise(distinct_rows(quick.filter(is_comparable(first, limits))), "prefilter")
     ranked = with_bounds(cut, bounds(cut, [first], limits), few is not None)
     best = nearest(ranked, candidates, score=f"d_{first}", largest_first=MEASURES[first].similarity)
     best = materialise(best.select(QUERY, "id", scaled(first)), "candidates")

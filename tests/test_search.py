@@ -200,6 +200,20 @@ def test_repeated_feature_rows_give_one_result(store):
     assert plans.search(twice, [0], distinct=False).count() == N + 5
 
 
+def test_copies_do_not_multiply(spark, store, tables):
+    """One item holds a third of all rows in every table."""
+    def hot(df):
+        return reduce(lambda a, b: a.unionByName(b), [df.filter("id = 3")] * (N // 2), df)
+
+    copies = {k: hot(v) for k, v in tables.items()}
+    many = hot(store)
+    for plan in (plans.search, plans.refine, plans.prefilter):
+        assert rows(plan(many, [5])).keys() == rows(plan(store, [5])).keys()
+        assert plan(many, [5]).count() == plan(store, [5]).count()
+    assert plans.search_tables(served(copies), [5]).count() == N
+    assert gather(list(copies.values()), distinct=True).count() == N
+
+
 def test_bucketed_stores_join_without_shuffle(spark, tables):
     names = []
     for key in ("vec", "gauss"):
