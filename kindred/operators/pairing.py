@@ -9,7 +9,7 @@ from math import ceil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.operators.scale_out import BROADCAST_ROWS, small_keys
+from kindred.operators.scale_out import BROADCAST_ROWS, materialise, small_keys
 
 QUERY = "query_id"
 
@@ -28,16 +28,23 @@ def query_points(
     """Look up the queries; ``queries`` is a list of ids, a frame with an ``id`` column, or
     ``catalogue`` itself when it holds nothing but queries.
 
-    The id filter of a list reaches the scan. Features are renamed ``q_<feature>``.
+    A short list becomes a filter that reaches the scan, where row groups and buckets without these
+    ids are skipped. The rows found are written once, so that no later step reads the catalogue
+    for them again. Features are renamed ``q_<feature>``.
     """
-    if queries is catalogue:
+    wanted = queries
+    if isinstance(queries, DataFrame) and queries is not catalogue:
+        listed = queries.select("id").distinct()
+        known = small_keys(listed, "id", max_rows)
+        wanted = listed if known is None else known
+    if wanted is catalogue:
         found = catalogue
-    elif isinstance(queries, DataFrame):
-        found = catalogue.join(queries.select("id").distinct(), "id", "left_semi")
+    elif isinstance(wanted, DataFrame):
+        found = catalogue.join(wanted, "id", "left_semi")
     else:
-        found = catalogue.filter(F.col("id").isin(list(queries)))
+        found = catalogue.filter(F.col("id").isin(list(wanted)))
     points = found.select(F.col("id").alias(QUERY), *[F.col(f).alias(f"q_{f}") for f in features])
-    points = points.dropDuplicates([QUERY])
+    points = materialise(points.dropDuplicates([QUERY]), "queries")
     return QueryPoints(points, small_keys(points, QUERY, max_rows))
 
 

@@ -59,14 +59,14 @@ def test_classifier_learns_saves_and_checks_dimensions(spark, tmp_path):
     rng = np.random.default_rng(4)
     centres = np.array([[0, 0], [6, 0], [0, 6]])
     data = [(i, (centres[i % 3] + rng.normal(size=2)).tolist(), i % 3) for i in range(90)]
-    df = spark.createDataFrame(data, "id int, v array<double>, class int").cache()
-    model = classify.train(df, "v", "class", iterations=20)
+    df = spark.createDataFrame(data, "id int, v array<double>, class int").coalesce(1).cache()
+    model = classify.train(df, "v", "class", iterations=8)
     classify.save_model(model, str(tmp_path / "m"))
     again = classify.load_model(str(tmp_path / "m"))
     assert classify.accuracy(classify.predict(again, df, "v", "class"), "class").first().accuracy > 0.9
     with pytest.raises(ValueError, match="dimensions"):
         classify.predict(model, df.withColumn("v", F.array(F.lit(1.0))), "v", "class")
-    folds = classify.cross_validate(df, "v", "class", folds=2, iterations=10).collect()
+    folds = classify.cross_validate(df, "v", "class", folds=2, iterations=5).collect()
     assert len(folds) == 2 and all(r.accuracy > 0.8 for r in folds)
 
 
