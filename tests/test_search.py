@@ -69,6 +69,19 @@ def test_batch_equals_single_queries(spark, store):
         assert row["aggregated"] == pytest.approx(single[key]["aggregated"], abs=1e-12)
 
 
+def test_many_queries_give_the_same_results(spark, store, monkeypatch):
+    """The path without any broadcast, taken when the queries are not proven few."""
+    queries = spark.createDataFrame([(1,), (2,), (9,)], "id long")
+    asked = [lambda: plans.search(store, queries), lambda: plans.search(store, queries, k=4),
+             lambda: plans.refine(store, queries, ("js", "rp")), lambda: plans.prefilter(store, queries, candidates=6)]
+    few = [rows(ask()) for ask in asked]
+    monkeypatch.setattr(pairing, "small_keys", lambda *_: None)
+    for ask, want in zip(asked, few):
+        got = rows(ask())
+        assert got.keys() == want.keys() and want
+        assert all(got[k]["aggregated"] == pytest.approx(want[k]["aggregated"], abs=1e-12) for k in got)
+
+
 def test_joined_and_separate_agree_when_nothing_is_missing(store, tables):
     joined, separate = rows(plans.search(store, [4])), rows(plans.search_tables(served(tables), [4]))
     assert joined.keys() == separate.keys()
