@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import topk, url_filter
+from kindred.llm import exact_dedup, topk, url_filter, warc
 from kindred.llm.common import table
 
 QUERIES: dict = {}
@@ -52,6 +52,39 @@ def op2_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
 
 
+@query(
+    "op4_warc_segments",
+    """
+    WITH p AS (
+      SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages
+    ), k AS (
+      SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS keeper FROM p
+    )
+    SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+           CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+    FROM k
+    """,
+)
+def op4_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query(
+    "op5_block_naming",
+    r"""
+    WITH d AS (
+      SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
+    )
+    SELECT doc_id, min(doc_id) OVER w AS keep_id, CAST(count(*) OVER w AS BIGINT) AS group_size,
+           doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+    FROM d WINDOW w AS (PARTITION BY t)
+    """,
+)
+def op5_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op10_url_filters",
     r"""
