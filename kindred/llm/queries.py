@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import exact_dedup, topk, url_filter, warc
+from kindred.llm import bpe, exact_dedup, topk, url_filter, warc
 from kindred.llm.common import table
 
 QUERIES: dict = {}
@@ -22,6 +22,15 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+BYTE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+WORD_VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+
+
+@query("op3_bpe_automaton")
+def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
+
+
 URL_RULES = [
     ("block", "net/"),
     ("allow", "example.net/en/"),
