@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import text_or_empty, via_arrow
+from kindred.llm.common import latin, text_or_empty, via_arrow
 
 CACHED_WORDS = 200_000
 CACHED_LENGTH = 64
@@ -168,14 +168,6 @@ _LATIN = re.compile(
 )
 
 
-def _latin(text: str) -> bool:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
-
-
 class Codec:
     """Encodes and decodes whole texts. Tokens of frequent words are remembered, for two generations of ``cached`` words."""
 
@@ -191,7 +183,7 @@ class Codec:
     def words(self, text: str) -> list[str]:
         """Pre-splitting. Texts beyond U+00FF are cut before white space, and what has such letters goes to the library's own
         rule, which knows all of them."""
-        if _latin(text):
+        if latin(text):
             return _LATIN.findall(text)
         if self._split is None:
             from tokenizers.pre_tokenizers import ByteLevel
@@ -199,7 +191,7 @@ class Codec:
             self._split = ByteLevel(add_prefix_space=False).pre_tokenize_str
         found: list[str] = []
         for unit in _UNIT.findall(text):
-            found += _LATIN.findall(unit) if _latin(unit) else [unit[a:b] for _, (a, b) in self._split(unit)]
+            found += _LATIN.findall(unit) if latin(unit) else [unit[a:b] for _, (a, b) in self._split(unit)]
         return found
 
     def _new(self, word: str) -> tuple[int, ...]:

@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from kindred.operators.scale_out import materialise
 
-__all__ = ["bucket_of", "materialise", "table", "text_or_empty", "via_arrow"]
+__all__ = ["bucket_of", "latin", "materialise", "table", "text_or_empty", "via_arrow"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,3 +39,12 @@ def via_arrow(
 def bucket_of(columns: Sequence[str], n: int) -> Column:
     """A number below ``n`` that depends on the values only, so a repeated task deals rows alike."""
     return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
+
+
+def latin(text: str) -> bool:
+    """Whether all characters are below U+0100."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, exact_dedup, topk, url_filter, warc
+from kindred.llm import bpe, exact_dedup, packing, topk, url_filter, warc
 from kindred.llm.common import table
 
 QUERIES: dict = {}
@@ -94,6 +94,11 @@ def op5_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+@query("op9_residual_packing")
+def op9_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+
+
 @query(
     "op10_url_filters",
     r"""
