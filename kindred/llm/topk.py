@@ -3,7 +3,8 @@
 Every vector gets its distances to a set of pivots once, in a written table. For a query q, a vector v and any
 pivot p, ``|q - v| >= |d(q, p) - d(v, p)|``; the largest of these lower bounds gives an upper bound of the inner product,
 ``q.v = (|q|^2 + |v|^2 - |q - v|^2) / 2``. Candidates are evaluated in the order of that bound until the
-next bound is below the k-th best score found: what follows cannot be in the answer, so the result is exact.
+next bound is below the k-th best score found: what follows cannot be in the answer, so the result is exact. A small
+sample gives every query a first score to beat.
 
 Queries are a stated set, held against all rows in blocks: a block of at most ``BLOCK_BYTES`` is broadcast, each
 task of the pivot table keeps k rows per query, and the partial answers are merged by an aggregate per query.
@@ -19,10 +20,9 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from kindred.llm.common import materialise, via_arrow
 
-PIVOTS = 24
-PIVOT_SAMPLE = 512
+PIVOTS = 16
+SAMPLE = 2048
 BLOCK_BYTES = 8 << 20
-CHUNK = 8192
 STEP = 256
 LONG = 2**63 - 1
 
@@ -100,40 +100,66 @@ class Best:
 
 def search_chunk(
     best: list[Best], query_ids: np.ndarray, queries: np.ndarray, query_table: np.ndarray, ids: np.ndarray,
-    vectors: np.ndarray, table: np.ndarray, step: int = STEP,
+    vectors: np.ndarray, table: np.ndarray, floor: np.ndarray | None = None, step: int = STEP,
 ) -> int:
-    """Hold every query against a chunk of vectors; returns how many inner products were computed."""
+    """Hold every query against a chunk of vectors; returns how many inner products were computed.
+
+    ``floor`` has for every query a score that its k-th best is known to reach.
+    """
     query_norms, norms = (queries * queries).sum(1), (vectors * vectors).sum(1)
-    evaluated = 0
+    # Single precision is enough for bounds while squares stay far inside its range; the slack covers its rounding.
+    kind = np.float32 if max(norms.max(initial=0), query_norms.max(initial=0)) < 1e12 else np.float64
+    rounding = 1e-5 if kind is np.float32 else 1e-9
+    table, query_table = np.ascontiguousarray(table.T, dtype=kind), query_table.astype(kind)
+    base = ((norms / 2) * (1 + 2 * rounding) + 1e-3).astype(kind)
+    evaluated, n = 0, len(vectors)
+    reach = np.abs(vectors).max(initial=0) * np.abs(queries).max(initial=0) * max(1, vectors.shape[1])
+    if reach < 2**24:  # whole numbers of this size are exact in single precision, too
+        vectors, queries = vectors.astype(np.float32), queries.astype(np.float32)
     for q in range(len(queries)):
-        lower = np.zeros(len(vectors))
-        for p in range(table.shape[1]):
-            np.maximum(lower, np.abs(table[:, p] - query_table[q, p]), out=lower)
-        # Distances are rounded to about 2^-52 of the norms; the slack keeps every bound an upper one.
-        slack = 1e-9 * (query_norms[q] + norms) + 1e-6
-        upper = (query_norms[q] + norms - lower * lower) / 2 + slack
-        open_ = np.flatnonzero(upper >= best[q].limit())
-        order = open_[np.argsort(-upper[open_], kind="stable")]
-        for start in range(0, len(order), step):
-            part = order[start : start + step]
-            if upper[part[0]] < best[q].limit():
-                break
+        lower = np.zeros(n, kind)
+        for p in range(len(table)):
+            gap = table[p] - query_table[q, p]
+            np.maximum(lower, np.abs(gap, out=gap), out=lower)
+        upper = base - lower * lower / 2 + kind(query_norms[q] / 2 * (1 + 2 * rounding))
+        limit = best[q].limit() if floor is None else max(best[q].limit(), floor[q])
+        open_, size = np.flatnonzero(upper >= limit), step
+        # Bound order, in growing steps: the most promising ones first, the rest as far as it is still open after them.
+        while len(open_):
+            if len(open_) > size:
+                cut = np.argpartition(-upper[open_], size - 1)
+                part, open_ = open_[cut[:size]], open_[cut[size:]]
+            else:
+                part, open_ = open_, open_[:0]
             evaluated += len(part)
-            part = part[ids[part] != query_ids[q]]
-            best[q].add(inner(queries[q : q + 1], vectors[part])[0], ids[part])
+            if reach >= 2**53:
+                scores = inner(queries[q : q + 1], vectors[part])[0]
+            elif 2 * len(part) > n:  # reading all rows in their order is cheaper than gathering most of them
+                scores = (vectors @ queries[q])[part]
+            else:
+                scores = vectors[part] @ queries[q]
+            good = (scores >= limit) & (ids[part] != query_ids[q])
+            if good.any():
+                best[q].add(scores[good].astype(np.int64), ids[part[good]])
+                limit = max(limit, best[q].limit())
+            open_, size = open_[upper[open_] >= limit], 16 * size
     return evaluated
 
 
-def pivot_table(vectors: DataFrame, n: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> DataFrame:
-    """``vectors`` with the distances ``d`` to the pivots of their dimension, written once.
+Sample = dict[int, tuple[np.ndarray, np.ndarray]]
 
-    Pivots come from at most ``sample`` vectors, those with the smallest hash of their id.
-    """
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
-    pivots = {
-        dim: choose_pivots(found, n)
-        for dim, _, found in by_dimension(rows["vec_id"].to_numpy(), rows["v"].combine_chunks())
-    } if rows.num_rows else {}
+
+def sample_of(vectors: DataFrame, size: int = SAMPLE) -> Sample:
+    """Ids and vectors, by dimension, of the ``size`` rows with the smallest hash of their id."""
+    rows = vectors.dropDuplicates(["vec_id"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).toArrow()
+    if not rows.num_rows:
+        return {}
+    return {dim: (ids, m) for dim, ids, m in by_dimension(rows["vec_id"].to_numpy(), rows["v"].combine_chunks())}
+
+
+def pivot_table(vectors: DataFrame, sample: Sample, n: int = PIVOTS) -> DataFrame:
+    """``vectors`` with the distances ``d`` to ``n`` pivots of their dimension, taken from ``sample``; written once."""
+    pivots = {dim: choose_pivots(found, n) for dim, (_, found) in sample.items()}
     schema = pa.schema([("vec_id", pa.int64()), ("v", pa.list_(pa.float64())), ("d", pa.list_(pa.float64()))])
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -148,25 +174,34 @@ def pivot_table(vectors: DataFrame, n: int = PIVOTS, sample: int = PIVOT_SAMPLE)
     return materialise(via_arrow(vectors, measure, schema), "pivots")
 
 
+def floors(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """Scores that the k-th best of each query reaches at least: its k-th best among a few vectors."""
+    if len(ids) <= k:
+        return np.full(len(queries), -np.inf)
+    scores = inner(queries, sample).astype(float)
+    scores[query_ids[:, None] == ids[None, :]] = -np.inf
+    return np.partition(scores, -k, axis=1)[:, -k]
+
+
 def _partial(block: list[tuple], k: int):
     """A task's work: the k best rows of its vectors for every query of the block."""
 
     def run(batches):
         best: dict[int, list[Best]] = {}
-        for _, ids, queries, _ in block:
-            best[queries.shape[1]] = [Best(k) for _ in ids]
+        for dim, ids, _, _, _ in block:
+            best[dim] = [Best(k) for _ in ids]
         for batch in batches:
             all_ids = np.asarray(batch["vec_id"])
             rows = np.arange(len(all_ids))
             tables = {dim: (part, m) for dim, part, m in by_dimension(rows, batch["v"])}
-            for dim, query_ids, queries, query_table in block:
+            for dim, query_ids, queries, query_table, floor in block:
                 if dim not in tables:
                     continue
                 part, vectors = tables[dim]
                 found, offsets, _ = _matrix(batch["d"])
                 table = found[offsets[part][:, None] + np.arange(query_table.shape[1])]
-                search_chunk(best[dim], query_ids, queries, query_table, all_ids[part], vectors, table)
-        for dim, query_ids, _, _ in block:
+                search_chunk(best[dim], query_ids, queries, query_table, all_ids[part], vectors, table, floor)
+        for dim, query_ids, _, _, _ in block:
             kept = [(q, b) for q, b in zip(query_ids.tolist(), best[dim], strict=True) if len(b.ids)]
             if kept:
                 yield pa.record_batch(
@@ -193,7 +228,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, n_pivots: int = PIVOTS, blo
     An empty table, or one without queries, gives no rows.
     """
     spark = vectors.sparkSession
-    stored = pivot_table(vectors, n_pivots)
+    sample = sample_of(vectors)
+    stored = pivot_table(vectors, sample, n_pivots)
     queries = stored.filter(is_query)
     dim = max(1, (queries.agg(F.max(F.size("v") + F.size("d")).alias("n")).first()["n"] or 1))
     per_block = max(1, block_bytes // (8 * dim))
@@ -210,7 +246,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, n_pivots: int = PIVOTS, blo
         for length, part, matrix in by_dimension(np.arange(len(query_ids)), lists):
             found, offsets, _ = _matrix(d)
             width = int(offsets[part[0] + 1] - offsets[part[0]])
-            block.append((length, query_ids[part], matrix, found[offsets[part][:, None] + np.arange(width)]))
+            ids, near = sample.get(length, (np.empty(0, np.int64), np.empty((0, length))))
+            low = floors(query_ids[part], matrix, ids, near, k)
+            block.append((length, query_ids[part], matrix, found[offsets[part][:, None] + np.arange(width)], low))
         held = spark.sparkContext.broadcast(block)
         run = (lambda held: lambda batches: _partial(held.value, k)(batches))(held)
         found = materialise(stored.mapInArrow(run, from_arrow_schema(PAIRS)), "topk")
