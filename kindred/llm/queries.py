@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, exact_dedup, packing, topk, url_filter, warc
+from kindred.llm import bpe, exact_dedup, packing, quality, topk, toxicity, url_filter, warc
 from kindred.llm.common import table
 
 QUERIES: dict = {}
@@ -94,6 +94,19 @@ def op5_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+@query("op6_neighbour_quality")
+def op6_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op8_noisy_or_toxicity")
+def op8_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.withColumn("n_offending", F.size("offending")).drop("offending")
+
+
 @query("op9_residual_packing")
 def op9_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
