@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, exact_dedup, packing, quality, topk, toxicity, url_filter, warc
+from kindred.llm import bpe, exact_dedup, packing, quality, secrets, topk, toxicity, url_filter, warc
 from kindred.llm.common import table
 
 QUERIES: dict = {}
@@ -100,6 +100,12 @@ def op6_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op7_secret_network")
+def op7_secret_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train(docs))
+
+
 @query("op8_noisy_or_toxicity")
 def op8_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
