@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, exact_dedup, packing, quality, secrets, topk, toxicity, url_filter, warc
+from kindred.llm import bpe, exact_dedup, minhash, packing, quality, secrets, topk, toxicity, url_filter, warc
 from kindred.llm.common import table
 
 QUERIES: dict = {}
@@ -39,6 +39,40 @@ URL_RULES = [
 ]
 
 
+# A linked group is walked from every member, so the SQL is meant for small tables.
+LINKED_GROUPS = r"""
+    words AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+      FROM {source}
+    ), sets AS (
+      SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []
+        ELSE list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+      FROM words
+    ), items AS (
+      SELECT doc_id, unnest(s) AS x FROM sets
+    ), met AS (
+      SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2
+    ), links AS (
+      SELECT a, b FROM met JOIN sets l ON l.doc_id = a JOIN sets r ON r.doc_id = b WHERE 100 * n >= 85 * (len(l.s) + len(r.s) - n)
+    ), reach AS (
+      SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+    ), named AS (
+      SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id
+      FROM sets JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) USING (doc_id)
+    )"""
+
+
+@query(
+    "op1_tensored_minhash",
+    f"""
+    WITH RECURSIVE {LINKED_GROUPS.format(source="documents")}
+    SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM named
+    """,
+)
+def op1_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op2_pivot_top_k",
     """
