@@ -1,8 +1,53 @@
 """A corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from kindred.llm import exact_dedup, minhash, packing, quality, secrets
+from kindred.llm.common import materialise, table
+from kindred.llm.queries import WORD_VOCABULARY
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject; it learns from the labels of the documents it is given."""
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.keep_distinct(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates."""
+    return minhash.keep_one(docs)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by a mark."""
+    return secrets.redact(docs, secrets.train(docs))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where every piece of every document stands in the training sequences."""
+    return packing.pack_documents(docs, WORD_VOCABULARY)
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("exact dedup", without_copies),
+    ("near dedup", without_near_copies),
+    ("secrets", without_secrets),
+    ("packing", packed),
+]
+
+# A classifier and a network decide what stays, so SQL has no answer; tests hold a brute-force version against it.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), "stage")
+    return docs
