@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.common import materialise, text_or_empty
+from kindred.operators.scale_out import broadcast_if_small
 
 BLOCK = 4096
 
@@ -113,9 +114,17 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", size: i
 
 def keep_distinct(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
-    kept = materialise(exact_dedup(docs, id, text, **options).filter("kept").select("doc_id", "text_sha256"), "kept")
-    sha = F.sha2(normalised(text_or_empty(text)), 256)
-    marked = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)], F.col(id).cast("long").alias("_id"), sha.alias("_sha"))
+    rows = exact_dedup(docs, id, text, **options)
+    per_id = materialise(rows.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "kept")
+    # Texts stay where they are unless the ids to drop are too many to broadcast.
+    dropped = broadcast_if_small(per_id.filter("not kept").select("doc_id", "text_sha256"), max_rows=200_000)
+    columns = [F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)]
+    marked = docs.select(*columns, F.col(id).cast("long").alias("_id"), F.sha2(normalised(text_or_empty(text)), 256).alias("_sha"))
     same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_sha") == F.col("text_sha256"))
-    found = marked.join(kept, same, "left_semi").dropDuplicates(["_id", "_sha"])
+    found = marked.join(dropped, same, "left_anti")
+    repeated = per_id.filter("kept and n > 1").select("doc_id", "text_sha256")
+    if not repeated.isEmpty():  # of rows that repeat an id and a text one is kept
+        found = found.join(repeated, same, "left_anti").unionByName(
+            found.join(repeated, same, "left_semi").dropDuplicates(["_id", "_sha"])
+        )
     return found.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
