@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning: documents have labels, their sentences are scored.
 
-A sentence's log-odds is a bias plus the weights of its distinct words and of their first letters; a document is toxic if any
-sentence is (noisy-or of the sentence scores). Weights are learnt from document labels alone, on a bounded sample of labelled rows, by gradient
+A sentence's log-odds is a bias plus the weights of its distinct words and of their first letters. What the bias alone gives
+counts once per document, as the leak of a noisy-or; above it, a document is toxic if any sentence is. So sentences without evidence change nothing, however
+many they are. Weights are learnt from document labels alone, on a bounded sample of labelled rows, by gradient
 steps through the noisy-or, so that blame settles on the sentences that explain it. These are located afterwards.
 """
 
@@ -17,12 +18,12 @@ from pyspark.sql import functions as F
 from kindred.llm.common import text_or_empty, via_arrow
 from kindred.llm.labelled import PER_CLASS, held_out, labelled_sample
 
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7)
 LEAST_ROWS, LEAST_SHARE = 4, 0.005
 STEPS = 150
 RATE = 0.1
 SHRINK = 1e-3
-BIAS = -6.0
+BIAS = -4.0
 CACHED_WORDS = 400_000
 
 _END = re.compile(r"[.!?\n]+")
@@ -104,10 +105,12 @@ class Model:
         for step in range(1, STEPS + 1):
             z = bias + np.bincount(sentence, w[feature], n_sentences)
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            none = np.exp(-np.bincount(doc, _softplus(z), n))  # no sentence is toxic
+            leak = 1 / (1 + np.exp(-bias))
+            none = np.exp(-np.bincount(doc, _softplus(z) - _softplus(bias), n) - _softplus(bias))  # nothing is toxic
             pull = np.where(y == 1, -none / np.maximum(1 - none, 1e-9), 1.0) * weight
             slope = pull[doc] * p
-            gradient = np.append(np.bincount(feature, slope[sentence], len(w)), slope.sum()) / n
+            by_bias = (pull[doc] * (p - leak)).sum() + (pull * leak).sum()
+            gradient = np.append(np.bincount(feature, slope[sentence], len(w)), by_bias) / n
             moment = 0.9 * moment + 0.1 * gradient
             square = 0.99 * square + 0.01 * gradient**2
             change = RATE * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
@@ -124,10 +127,11 @@ class Model:
         return self.bias + sum(map(self._weights.__getitem__, words))
 
     def score(self, text: str) -> float:
-        """Noisy-or of the sentences; a text without words is one sentence without words."""
+        """Noisy-or of the leak and of the sentences; a text without words has the leak alone."""
         find = _WORD.findall
         z = [self._odds(words) for sentence in _END.split(text.lower()) if (words := set(find(sentence)))]
-        return float(-np.expm1(-_softplus(np.array(z or [self.bias])).sum()))
+        leak = _softplus(self.bias)
+        return float(-np.expm1(-(leak + (_softplus(np.array(z)) - leak).sum())))
 
     def locate(self, text: str, least: float = 0.5) -> list[tuple[int, int, float]]:
         """(start, end, score) of the sentences that reach ``least``, in code points of the text."""
@@ -139,7 +143,7 @@ class Model:
                 words.update(_WORD.findall(m[1].lower()))
                 end = m.end()
             elif words:
-                p = float(1 / (1 + np.exp(-np.clip(self._odds(words), -700, 700))))
+                p = float(-np.expm1(_softplus(self.bias) - _softplus(self._odds(words))))
                 found += [(start, end, p)] if p >= least else []
                 words = set()
         return found

@@ -1,0 +1,90 @@
+"""Base spans against plain patterns; the network's findings and the redaction."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+
+from kindred.llm import secrets as S
+from kindred.llm.common import table
+
+PATTERNS = (
+    ("assign", re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A), 8),
+    ("access", re.compile("AKIA[A-Z0-9]+"), 16), ("hex", re.compile("[0-9a-f]+"), 32),
+)
+
+
+def brute(text):
+    out = []
+    for k, (kind, pattern, least) in enumerate(PATTERNS):
+        out += [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for m in pattern.finditer(text or "") if len(m[2] if kind == "assign" else m[0]) >= least]
+    return [s for _, _, s in sorted(out)]
+
+
+def texts_of(n=3000):
+    rng = random.Random(1)
+    parts = ["password", "token", "=", ": ", '"', "AKIA", "ABCD1234", "0123456789abcdef", "xyz", " ", ".", "api_key", "API-KEY", "ſecret", "\n", "é", "secret", "😀"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(n)]
+
+
+def test_base_spans_against_plain_patterns():
+    for text in texts_of(20_000):
+        assert [f"{k}:{a}:{b}" for a, b, k in S.base_spans(text)] == brute(text), text
+
+
+def trained():
+    rng = random.Random(2)
+    hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    word = lambda: "".join(rng.choices("aeioutnrs", k=rng.randint(3, 22)))
+    windows = []
+    for _ in range(400):
+        text = " ".join([word() for _ in range(12)] + [f"password={hexes(20)}", word(), f"x {'AKIA' + hexes(16).upper()}", word()])
+        windows += S.training_windows(text)
+    return S.Model().fit([w for w, _ in windows], [c for _, c in windows])
+
+
+def test_network_finds_secrets_without_keywords_and_spares_words():
+    model, rng = trained(), random.Random(3)
+    texts = []
+    for _ in range(200):
+        texts.append("see the " + "".join(rng.choices("0123456789abcdef", k=20)) + " there")
+        texts.append("see the " + "".join(rng.choices("aeioutnrs", k=20)) + " there")
+    found = [bool(spans) for _, spans in S.find(texts, model)]
+    assert np.mean(found[::2]) > 0.9 and np.mean(found[1::2]) < 0.05
+
+
+def test_without_findings_nothing_is_added(documents):
+    model = S.train(documents([(i, f"plain words {i}") for i in range(20)]))
+    assert not np.isfinite(model.threshold)
+    assert S.find(["k 0123456789abcdef0123 z"], model) == [([], [])]
+
+
+def test_tables(spark, documents):
+    rows = list(enumerate([*texts_of(300), "", None])) + [(None, "token=abcdefgh1"), (0, "x"), (0, "x"), (999, "w " * 300_000 + "secret:abcdefgh")]
+    model = S.train(documents(rows))
+    got = {(r.doc_id, r.base_sha256): r for r in S.scan(documents(rows), model).collect()}
+    for i, t in rows:
+        base = brute(t)
+        row = got[i, hashlib.sha256(",".join(base).encode()).hexdigest()]
+        assert [row.n_assign, row.n_access, row.n_hex] == [sum(s.startswith(k) for s in base) for k in ("assign", "access", "hex")]
+        spans = row.spans.split(",") if row.spans else []
+        assert [s for s in spans if not s.startswith("model")] == base
+        assert spans == sorted(spans, key=lambda s: (int(s.split(":")[1]), S.KINDS.index(s.split(":")[0])))
+    assert S.scan(documents([]), model).collect() == []
+
+
+def test_redaction(documents):
+    rows = [(1, "a token=abcdefgh1 b"), (2, None), (3, "clean"), (4, "token = \"" + "0123456789abcdef" * 3 + "\" end"), (None, "")]
+    docs = documents(rows)
+    clean = S.redact(docs, S.Model())
+    assert clean.columns == docs.columns
+    got = {r.doc_id: (r.text, r.n_chars) for r in clean.collect()}
+    assert got == {1: ("a [SECRET] b", 12), 2: (None, None), 3: ("clean", 5), 4: ("[SECRET]\" end", 13), None: ("", 0)}
+
+
+def test_real_documents(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    for r in S.scan(docs, S.train(docs)).collect():
+        assert r.base_sha256 == hashlib.sha256(",".join(brute(rows[r.doc_id])).encode()).hexdigest()
