@@ -21,12 +21,12 @@ def _key(id_):
     return F.element_at(F.array(*[F.lit(k) for k in _KEYS]), (F.col(id_) % len(_KEYS) + 1).cast("int"))
 
 
-@check("t1_common_key", S.with_(S.CHROMA) + f"""select id, (i // 5 + 12 - {_SHIFT}[(id % 17 + 1)::int]) % 12 as line, i % 5 as beat,
-round(value, 6) + 0.0 as value from (select id, unnest(range(60)) as i, unnest(chroma) as value from chroma)""")
+@check("t1_common_key", S.with_(S.CHROMA) + f"""select id, (i // 6 + 12 - {_SHIFT}[(id % 17 + 1)::int]) % 12 as line, i % 6 as beat,
+round(value, 6) + 0.0 as value from (select id, unnest(range(72)) as i, unnest(chroma) as value from chroma)""")
 def t1_common_key(spark, sf):
     cells = I.chroma(spark, sf).select("id", _key("id").alias("key"), F.posexplode("chroma").alias("i", "value"))
-    line = D.to_common_key(F.floor(F.col("i") / 5), F.col("key"))
-    return rounded(cells.select("id", line.alias("line"), (F.col("i") % 5).cast("long").alias("beat"), "value"))
+    line = D.to_common_key(F.floor(F.col("i") / 6), F.col("key"))
+    return rounded(cells.select("id", line.alias("line"), (F.col("i") % 6).cast("long").alias("beat"), "value"))
 
 
 @check("t2_transpose", S.with_(S.NOTES) + f"""select id, array_to_string(list_transform(string_split(notes, ''),

@@ -132,7 +132,7 @@ _CHROMA = S.with_(S.VEC, S.CHROMA)
 
 
 @check("s7_malformed", _CHROMA + f"""select {_ID}, coalesce({_USABLE}, false) as accepted,
-case when {_USABLE} then 60 else 0 end::bigint as n from chroma join vec using (id)""")
+case when {_USABLE} then 72 else 0 end::bigint as n from chroma join vec using (id)""")
 def s7_malformed(spark, sf):
     good, rejected = files.parse_chroma(files.read_lines(spark, _written(spark, _chroma_lines(spark, sf), "out0.chroma")))
     return good.select("id", F.lit(True).alias("accepted"), F.size("chroma").cast("long").alias("n")).unionByName(

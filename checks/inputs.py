@@ -58,13 +58,15 @@ def notes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chroma(spark: SparkSession, sf: str) -> DataFrame:
-    values = F.slice(F.col("embedding").cast("array<double>"), 1, 60)
+    """The 64 values and eight zeros as 12 lines of six beats."""
+    values = F.concat(F.col("embedding").cast("array<double>"), F.array_repeat(F.lit(0.0), 8))
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), values.alias("chroma"))
 
 
 def chroma_var(spark: SparkSession, sf: str) -> DataFrame:
-    beats = (2 + F.col("vec_id") % 4).cast("int")
-    values = F.slice(F.col("embedding").cast("array<double>"), F.lit(1), F.lit(12) * beats)
+    """The 64 values, filled with zeros to six to nine beats."""
+    zeros = (8 + 12 * (F.col("vec_id") % 4)).cast("int")
+    values = F.concat(F.col("embedding").cast("array<double>"), F.array_repeat(F.lit(0.0), zeros))
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), values.alias("chroma"))
 
 

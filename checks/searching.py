@@ -10,13 +10,12 @@ from checks import sql as S
 from checks.frame import rounded
 from checks.registry import Registry
 from kindred.functions import correlation as C
-from kindred.functions.gaussian import jensen_shannon, symmetric_kullback_leibler
 from kindred.operators import ranking, scaling
 from kindred.operators import store as feature_store
 from kindred.operators.lsh import approximate_join, approximate_neighbours, approximate_search
-from kindred.operators.measures import is_comparable
+from kindred.operators.measures import failures, is_comparable
 from kindred.operators.pairing import QUERY, pair, query_points
-from kindred.operators.scale_out import materialise
+from kindred.operators.scale_out import materialise, running_total
 from kindred.plans import search as plans
 
 ALL = list(S.NAMES)
@@ -38,10 +37,11 @@ def _distances(store: DataFrame, queries, names) -> DataFrame:
 
 
 def _scaled(store: DataFrame, queries, names) -> DataFrame:
-    d = _distances(store, queries, names)
+    measured, few = plans.measured(store, queries, names)
+    d = materialise(measured, "distances")
     for n in names:
         d = d.filter(is_comparable(n))
-    d = scaling.with_bounds(d, scaling.bounds(d, names), few_queries=False)
+    d = scaling.with_bounds(d, scaling.bounds(d, names), few_queries=few is not None)
     return d.select(QUERY, "id", *[scaling.scaled(n) for n in names])
 
 
@@ -118,9 +118,8 @@ def _correlated(spark, sf, kernel) -> DataFrame:
 # One fact for all two-dimensional variants: chroma_var as rows (id, line, beat, value).
 def _cells(time_major: bool) -> str:
     line, beat = ("i % 12", "i // 12") if time_major else ("i // n", "i % n")
-    return f"""cells as (select id, n, {line} as line, {beat} as beat, value from (select vec_id as id, 2 + vec_id % 4 as n,
-    unnest(range(12 * (2 + vec_id % 4))) as i, unnest(embedding[1:(12 * (2 + vec_id % 4))::int]::double[]) as value
-    from embeddings))"""
+    return f"""cells as (select id, n, {line} as line, {beat} as beat, value from (select id, n, i, coalesce(embedding[(i + 1)::int]::double, 0) as value
+    from (select vec_id as id, 6 + vec_id % 4 as n, unnest(range(12 * (6 + vec_id % 4))) as i, embedding from embeddings)))"""
 
 
 def _full(time_major: bool, longest_first: bool, lines: str) -> str:
@@ -140,7 +139,7 @@ def _same(lines: str = "true") -> str:
 
 
 def _filtered(source: str) -> str:
-    """Unrolled recurrence over at most nine lags, as a join of each lag with the earlier ones."""
+    """Unrolled recurrence over at most 17 lags, as a join of each lag with the earlier ones."""
     return f"""steps as (select *, c - coalesce(lag(c) over (partition by id order by lag), first_c) as step
     from (select *, {source} from picked)),
 responses as (select a.id, a.lag, sum(0.8632712640 * pow(0.7265425280, a.lag - b.lag) * b.step) as y
@@ -229,6 +228,22 @@ def j2_gather_left(spark, sf):
     return _shape(feature_store.gather([f(spark, sf) for f in (I.vec, I.gauss, I.notes, I.chroma)], "left"))
 
 
+_LEFT_STORE = """store as (select * from vec left join gauss using (id) left join notes using (id) left join chroma using (id))"""
+_SEEN = ["rp", "notes", "mfcc"]
+
+
+@check("j2_search_left", S.with_(
+    S.VEC, S.GAUSS, S.NOTES, S.CHROMA, _LEFT_STORE, S.QUERY_ZERO, S.distances(),
+    f"found as (select *, {', '.join(f'min(d_{n}) over () as min_{n}, max(d_{n}) over () as max_{n}' for n in _SEEN)} from dist)",
+    f"scaled as (select query_id, id, {', '.join(f'{S.scaled(n)} as scaled_{n}' for n in _SEEN)} from found)",
+) + f"""select id, {S.rounded(_SEEN, 'scaled_')}, round(list_avg(list_filter([{', '.join(f'scaled_{n}' for n in _SEEN)}], lambda x: x is not null)), 6) + 0.0 as aggregated
+from scaled""")
+def j2_search_left(spark, sf):
+    """Items without a Gaussian or notes stay, scored over what they have."""
+    left = feature_store.gather([f(spark, sf) for f in (I.vec, I.gauss, I.notes, I.chroma)], "left")
+    return rounded(plans.search(left, [0], _SEEN, missing="keep").drop(QUERY))
+
+
 @check("j6_assemble", S.with_(S.VEC) + """select id, case when class < 5 then 64 else 0 end::bigint as n,
 case when class < 5 then round(rp[1], 6) + 0.0 end as first, case when class < 5 then round(bh[12], 6) + 0.0 end as last
 from vec where class <> 0""")
@@ -282,21 +297,12 @@ def f4_infinity(spark, sf):
 
 
 @check("a9_failures", _BAD + f"""select k.kernel, count_if(not ({_HEALTHY}))::bigint as not_positive_definite, 0::bigint as nan,
-count_if({_HEALTHY})::bigint as finite, count(*) as pairs from gauss_bad s, (select unnest(['skl', 'js']) as kernel) k group by 1""")
+count_if({_HEALTHY})::bigint as finite, 0::bigint as missing, count(*) as pairs from gauss_bad s, (select unnest(['skl', 'js']) as kernel) k group by 1""")
 def a9_failures(spark, sf):
+    """Distances that round-off made negative count as finite: which ones, depends on the order of summation."""
     table = I.gauss_bad(spark, sf)
-    pairs = pair(table, query_points(table, [0], ["mean", "cov"]))
-    args = ("mean", "cov", "q_mean", "q_cov")
-    both = pairs.select(
-        F.explode(F.create_map(
-            F.lit("skl"), symmetric_kullback_leibler(*args), F.lit("js"), jensen_shannon(*args)
-        )).alias("kernel", "result"))
-    status = F.col("result.status")
-    return both.groupBy("kernel").agg(
-        F.count_if(status == "not_positive_definite").alias("not_positive_definite"),
-        F.count_if(status == "nan").alias("nan"),
-        F.count_if(status.isin("ok", "negative")).alias("finite"),
-        F.count("*").alias("pairs"))
+    found = failures(pair(table, query_points(table, [0], ["mean", "cov"])))
+    return found.select("kernel", "not_positive_definite", "nan", (F.col("ok") + F.col("negative")).alias("finite"), "missing", "pairs")
 
 
 @check("f5_mean_cut", _DIST + """select query_id, id, round(d_bh, 6) + 0.0 as d_bh from (select *, avg(d_bh) over (partition by query_id) as m from dist)
@@ -326,10 +332,7 @@ def f6_candidates(spark, sf):
 def j3_distance_join(spark, sf):
     """The join form: one narrow table per distance."""
     tables = [plans.measured(I.stored(spark, sf), [0], [n])[0] for n in ALL]
-    joined = tables[0]
-    for other in tables[1:]:
-        joined = joined.join(other, [QUERY, "id"])
-    return rounded(joined.select(QUERY, "id", *[f"d_{n}" for n in ALL]))
+    return rounded(plans.join_distances(tables).select(QUERY, "id", *[f"d_{n}" for n in ALL]))
 
 
 @check("j5_distance_join_left", S.with_(S.VEC, S.GAUSS) + f"""select s.id, round({S.euclid('rp')}, 6) + 0.0 as d_rp,
@@ -338,7 +341,7 @@ where q.id = 0) g on g.id = s.id where q.id = 0""")
 def j5_distance_join_left(spark, sf):
     rp = plans.measured(I.vec(spark, sf), [0], ["rp"])[0]
     skl = plans.measured(I.gauss(spark, sf), [0], ["skl"])[0]
-    return rounded(rp.join(skl, [QUERY, "id"], "left").select("id", "d_rp", "d_skl"))
+    return rounded(plans.join_distances([rp, skl], "left").select("id", "d_rp", "d_skl"))
 
 
 @check("j7_all_queries", _DIST + f"select query_id, id, {_D} from dist")
@@ -422,9 +425,13 @@ def _search_columns(names=ALL) -> str:
     return f"query_id, id, {S.rounded(names, 'scaled_')}, round({S.mean_score(names)}, 6) + 0.0 as aggregated"
 
 
-@check("r6_sorted", S.RESULT.replace(S.QUERY_LIST, S.QUERY_ZERO) + f"select id, round({S.mean_score()}, 6) + 0.0 as aggregated from scaled order by {S.mean_score()}, id")
+@check("r6_sorted", S.RESULT.replace(S.QUERY_LIST, S.QUERY_ZERO) + f"select id, round({S.mean_score()}, 6) + 0.0 as aggregated, row_number() over (order by round({S.mean_score()}, 9), id) as position from scaled")
 def r6_sorted(spark, sf):
-    return rounded(plans.search(I.stored(spark, sf), [0]).select("id", "aggregated"))
+    """The position of every row in the order that the search gives."""
+    ranked = plans.search(I.stored(spark, sf), [0]).select("id", "aggregated")
+    # Written in order by as many tasks as there are ranges, so that the order of files and rows is the order of the result.
+    at = ranked.withColumn("_at", F.monotonically_increasing_id()).withColumn(QUERY, F.lit(0))
+    return rounded(running_total(at, [QUERY], ["_at"]).select("id", "aggregated", "position"))
 
 
 @check("r7_top_k", S.RESULT.replace(S.QUERY_LIST, S.QUERY_ZERO) + f"select {_search_columns()} from scaled order by {S.mean_score()}, id limit 20")

@@ -24,8 +24,8 @@ NOTES = """notes as (select user_id as id, string_agg(case event_type when 'clic
     from events group by user_id)"""
 
 # ct is the chroma matrix read beat by beat, so that a time shift is a shift of 12 entries
-CHROMA = """chroma as (select vec_id as id, embedding[1:60]::double[] as chroma,
-    list_transform(range(60), lambda i: embedding[((i % 12) * 5 + i // 12 + 1)::int]::double) as ct from embeddings)"""
+CHROMA = """chroma as (select id, chroma, list_transform(range(72), lambda i: chroma[((i % 12) * 6 + i // 12 + 1)::int]) as ct
+    from (select vec_id as id, list_concat(embedding::double[], list_transform(range(8), lambda i: 0.0::double)) as chroma from embeddings))"""
 
 STORE = "store as (select * from vec join gauss using (id) join notes using (id) join chroma using (id))"
 
@@ -61,16 +61,16 @@ JS = f"""greatest(0.5*ln({_mixed('m1', 'm1', 'c11')}*{_mixed('m2', 'm2', 'c22')}
 
 LEVENSHTEIN = "levenshtein(s.notes, q.notes)::double"
 
-# five time lags of two 12 x 5 matrices, the query being the fixed one
-_LAGS = ("q.ct[1:36], s.ct[25:60]", "q.ct[1:48], s.ct[13:60]", "q.ct, s.ct", "q.ct[13:60], s.ct[1:48]",
-         "q.ct[25:60], s.ct[1:36]")
+# six time lags of two 12 x 6 matrices, the query being the fixed one
+_LAGS = ("q.ct[1:36], s.ct[37:72]", "q.ct[1:48], s.ct[25:72]", "q.ct[1:60], s.ct[13:72]", "q.ct, s.ct",
+         "q.ct[13:72], s.ct[1:60]", "q.ct[25:72], s.ct[1:48]")
 LAGS = "[" + ", ".join(f"list_dot_product({lag})" for lag in _LAGS) + "]"
 
 
 def chroma_correlation(lags: str) -> str:
-    """High-pass of the five lags without their offset, then the maximum."""
+    """High-pass of the six lags without their offset, then the maximum."""
     y, terms = "0.0", ["0.0"]
-    for j in range(2, 6):
+    for j in range(2, 7):
         y = f"(0.7265425280*{y} + 0.8632712640*({lags}[{j}]-{lags}[{j - 1}]))"
         terms.append(y)
     return f"greatest({', '.join(terms)})"

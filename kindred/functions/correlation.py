@@ -77,7 +77,8 @@ def _lines(pairs: list[tuple[np.ndarray, np.ndarray]], shifts: range) -> list[np
 
 
 def _matrices(column: pa.Array, time_major: bool) -> list[np.ndarray | None]:
-    """One 12-line view per row; ``None`` for null or empty, the same object for a repeated row.
+    """One 12-line view per row; ``None`` for null, empty or a length that twelve lines do not share, the same object for
+    a repeated row.
 
     Either the query or the item repeats in neighbouring pairs.
     """
@@ -88,9 +89,12 @@ def _matrices(column: pa.Array, time_major: bool) -> list[np.ndarray | None]:
         if last is not None and len(flat) and np.array_equal(flat, last):
             out.append(out[-1])
             continue
-        last = flat if len(flat) else None
+        last = flat if len(flat) and not len(flat) % PITCHES else None
+        if last is None:
+            out.append(None)
+            continue
         shaped = flat.reshape(-1, PITCHES).T if time_major else flat.reshape(PITCHES, -1)
-        out.append(shaped if len(flat) else None)
+        out.append(shaped)
     return out
 
 

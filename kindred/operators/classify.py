@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import StandardScaler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,8 +40,12 @@ def _prepared(rows: DataFrame, feature: str, label: str) -> DataFrame:
 def train(rows: DataFrame, feature: str, label: str, iterations: int = 50, parallelism: int = 8) -> PipelineModel:
     """Scaler and one linear SVM per class, each trained on the whole table."""
     svm = LinearSVC(maxIter=iterations, regParam=0.01)
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size(feature)).alias("dim")).first()
+    # The scaler divides by the sample deviation; this factor makes it the population one.
+    factor = (size["n"] / max(1, size["n"] - 1)) ** 0.5
     stages = [
-        StandardScaler(inputCol="features", outputCol="scaled_features", withMean=True),
+        StandardScaler(inputCol="features", outputCol="sample_scaled", withMean=True),
+        ElementwiseProduct(inputCol="sample_scaled", outputCol="scaled_features", scalingVec=Vectors.dense([factor] * (size["dim"] or 0))),
         OneVsRest(classifier=svm, featuresCol="scaled_features", labelCol="label_code", parallelism=parallelism),
     ]
     return Pipeline(stages=stages).fit(_prepared(rows, feature, label))
@@ -56,9 +61,9 @@ def predict(model: PipelineModel, rows: DataFrame, feature: str, label: str) ->
 
 def check_dimension(model: PipelineModel, rows: DataFrame, feature: str) -> None:
     trained = len(model.stages[0].mean)
-    first = rows.select(F.size(feature).alias("n")).first()
-    if first is not None and first["n"] != trained:
-        raise ValueError(f"the model was trained on {trained} dimensions, the data has {first['n']}")
+    other = rows.select(F.size(feature).alias("n")).filter(F.coalesce(F.col("n") != trained, F.lit(True))).first()
+    if other is not None:
+        raise ValueError(f"the model was trained on {trained} dimensions, the data has {other['n']}")
 
 
 def accuracy(predicted: DataFrame, label: str) -> DataFrame:
@@ -66,10 +71,11 @@ def accuracy(predicted: DataFrame, label: str) -> DataFrame:
 
 
 def cross_validate(
-    rows: DataFrame, feature: str, label: str, folds: int = 10, iterations: int = 50, measure: str = "accuracy"
+    rows: DataFrame, feature: str, label: str, folds: int = 10, iterations: int = 50, measure: str = "accuracy",
+    fold_of: Column | None = None,
 ) -> DataFrame:
-    """``measure`` per fold; folds come from a hash of the id, so a retry sees the same split."""
-    cut = rows.withColumn("_fold", F.pmod(F.xxhash64("id"), F.lit(folds)))
+    """``measure`` per fold; folds come from a hash of the id, so a retry sees the same split, or from ``fold_of``."""
+    cut = rows.withColumn("_fold", F.pmod(F.xxhash64("id"), F.lit(folds)) if fold_of is None else fold_of)
     evaluator = MulticlassClassificationEvaluator(labelCol="label_code", predictionCol="prediction", metricName=measure)
     scores = []
     for fold in range(folds):

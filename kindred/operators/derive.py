@@ -41,10 +41,14 @@ def transpose_notes(notes: Column, key: Column) -> Column:
 
 
 def with_intervals(frames: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """Add ``interval`` and ``complete`` to every frame; a hot track is spread over partitions."""
-    counted = running_total(frames, ["track"], order_by, F.col("is_beat").cast("int"), "interval")
-    beats = frames.groupBy("track").agg(F.count_if("is_beat").alias("_beats"))
-    return counted.join(beats, "track").withColumn("complete", F.col("interval") < F.col("_beats")).drop("_beats")
+    """Add ``interval`` and ``complete`` to every frame, and with ``values`` the loudness below which a frame of the track is silent.
+
+    A hot track is spread over partitions."""
+    beat = F.col("is_beat").cast("int")
+    sums = {"_beats": beat, "_loudness": _total(F.col("values")), "_frames": F.lit(1)} if "values" in frames.columns else {"_beats": beat}
+    counted = running_total(frames, ["track"], order_by, beat, "interval", sums)
+    silence = {"silence": F.col("_loudness") / F.col("_frames") * SILENCE} if "values" in frames.columns else {}
+    return counted.withColumns({"complete": F.col("interval") < F.col("_beats"), **silence}).drop(*sums)
 
 
 def _total(values: Column) -> Column:
@@ -76,13 +80,12 @@ def dominant_bins(intervals: DataFrame, bins: int, averaged: bool = False) -> Da
 
     With ``averaged`` every frame of an interval counts as the mean of the interval.
     """
-    loudness = intervals.groupBy("track").agg((F.sum(_total(F.col("values"))) / F.count("*") * SILENCE).alias("_silence"))
     rows = intervals.filter("complete")
     if averaged:
-        rows = _summed(rows, ["track", "interval"], F.col("values"), bins, F.avg).drop("n_frames")
-    heard = rows.join(loudness, "track").withColumn(
+        rows = _summed(rows, ["track", "interval", "silence"], F.col("values"), bins, F.avg).drop("n_frames")
+    heard = rows.withColumn(
         "values",
-        F.when(_total(F.col("values")) > F.col("_silence"), _peaks(F.col("values"))).otherwise(
+        F.when(_total(F.col("values")) > F.col("silence"), _peaks(F.col("values"))).otherwise(
             F.transform("values", lambda _: F.lit(0.0))
         ),
     )

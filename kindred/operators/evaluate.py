@@ -61,9 +61,10 @@ def confusion(found: DataFrame) -> DataFrame:
 
 
 def confusion_matrix(found: DataFrame, classes: Sequence) -> DataFrame:
-    """One column per found class."""
-    counted = found.groupBy("combination", F.col("query_class").alias("true_class"))
-    return counted.pivot("class", list(classes)).count().na.fill(0)
+    """One column per found class, and ``other`` for neighbours of a class that is not listed."""
+    cells = [F.count_if(F.col("class").eqNullSafe(F.lit(c))).alias(str(c)) for c in classes]
+    other = F.count_if(~F.coalesce(F.col("class").isin(list(classes)), F.lit(False))).alias("other")
+    return found.groupBy("combination", F.col("query_class").alias("true_class")).agg(*cells, other)
 
 
 def hits(found: DataFrame) -> DataFrame:

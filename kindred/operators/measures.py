@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.functions import correlation, distances, gaussian, sequences
+from kindred.functions import correlation, distances, gaussian
 from kindred.operators.pairing import QUERY
 
 # Fixed value: larger Kullback-Leibler divergences are not compared.
@@ -23,19 +23,20 @@ class Measure:
     between: Callable[..., Column]
     similarity: bool = False
     limit: float | None = None
+    in_jvm: bool = False
 
 
 MEASURES: dict[str, Measure] = {
-    "rp": Measure(("rp",), distances.euclidean),
-    "rh": Measure(("rh",), distances.euclidean),
-    "bh": Measure(("bh",), distances.euclidean),
-    "notes": Measure(("notes",), sequences.edit_distance),
+    "rp": Measure(("rp",), distances.euclidean, in_jvm=True),
+    "rh": Measure(("rh",), distances.euclidean, in_jvm=True),
+    "bh": Measure(("bh",), distances.euclidean, in_jvm=True),
+    "notes": Measure(("notes",), distances.edit_distance, in_jvm=True),
     "chroma": Measure(("chroma",), correlation.chroma_correlation, similarity=True),
     "skl": Measure(
         ("mean", "cov"), lambda *c: gaussian.symmetric_kullback_leibler(*c)["distance"], limit=KL_LIMIT
     ),
     "js": Measure(("mean", "cov"), lambda *c: gaussian.jensen_shannon(*c)["distance"]),
-    "mfcc": Measure(("gaussian",), distances.euclidean),
+    "mfcc": Measure(("gaussian",), distances.euclidean, in_jvm=True),
 }
 
 # Columns computed once per item before it meets the queries.
@@ -70,3 +71,22 @@ def is_comparable(name: str, limits: dict[str, float] | None = None) -> Column:
     d = F.col(f"d_{name}")
     below = d < F.lit(float("inf"))
     return F.coalesce(below if limit is None else below & (d <= limit), F.lit(False))
+
+
+# The kernels that give a status next to the distance.
+WITH_STATUS = {"skl": gaussian.symmetric_kullback_leibler, "js": gaussian.jensen_shannon}
+
+
+def failures(pairs: DataFrame) -> DataFrame:
+    """How the Gaussian divergences of all pairs ended: a row per ``kernel`` with the number of pairs of every status.
+
+    ``pairs`` has ``mean, cov`` and ``q_mean, q_cov``. One pass, so that a user sees why items are missing from a search;
+    ``missing`` counts pairs without a summary on one side.
+    """
+    args = ("mean", "cov", "q_mean", "q_cov")
+    both = F.create_map(*[x for name, f in WITH_STATUS.items() for x in (F.lit(name), f(*args))])
+    status = F.col("result.status")
+    return pairs.select(F.explode(both).alias("kernel", "result")).groupBy("kernel").agg(
+        *[F.count_if(status == s).alias(s) for s in ("ok", "negative", "nan", "not_positive_definite")],
+        F.count_if(status.isNull()).alias("missing"), F.count("*").alias("pairs"),
+    )

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from kindred.operators.scale_out import BROADCAST_ROWS, materialise, small_keys
 
 QUERY = "query_id"
+# Catalogue rows that one task holds against a block of queries.
+LANE_ROWS = 2000
 
 
 @dataclass(frozen=True)
@@ -44,7 +46,10 @@ def query_points(
     else:
         found = catalogue.filter(F.col("id").isin(list(wanted)))
     points = found.select(F.col("id").alias(QUERY), *[F.col(f).alias(f"q_{f}") for f in features])
-    points = materialise(points.dropDuplicates([QUERY]), "queries")
+    # Of several rows with one id the one with the smallest hash of its features is the example.
+    first = F.struct(F.xxhash64(*[f"q_{f}" for f in features]).alias("_hash"), *[f"q_{f}" for f in features])
+    one = points.groupBy(QUERY).agg(F.min_by(first, first["_hash"]).alias("_p")).select(QUERY, *[f"_p.q_{f}" for f in features])
+    points = materialise(one, "queries")
     return QueryPoints(points, small_keys(points, QUERY, max_rows))
 
 
@@ -59,7 +64,7 @@ def pair(catalogue: DataFrame, points: QueryPoints, lanes: int | None = None) ->
         kind = points.df.schema[QUERY].dataType
         ids = F.array(*[F.lit(i) for i in points.ids]).cast(f"array<{kind.simpleString()}>")
         return catalogue.withColumn(QUERY, F.explode(ids)).join(F.broadcast(points.df), QUERY)
-    lanes = lanes or int(catalogue.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lanes = lanes or max(1, ceil(catalogue.count() / LANE_ROWS))
     blocks = max(1, ceil(points.df.count() / BROADCAST_ROWS))
     spread = catalogue.withColumn("_lane", F.pmod(F.xxhash64("id"), F.lit(lanes))).withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))

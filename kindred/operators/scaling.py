@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kindred.operators.measures import MEASURES, is_comparable
 from kindred.operators.pairing import QUERY
+from kindred.operators.scale_out import broadcast_if_small
 
 
 def statistics(distances: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -50,5 +51,5 @@ def scaled(name: str) -> Column:
 
 
 def with_bounds(distances: DataFrame, limits_df: DataFrame, few_queries: bool) -> DataFrame:
-    """Attach per-query bounds; they are broadcast only when the queries were proven few."""
-    return distances.join(F.broadcast(limits_df) if few_queries else limits_df, QUERY)
+    """Attach per-query bounds, one row each. Those of queries that were not proven few are written and counted first."""
+    return distances.join(F.broadcast(limits_df) if few_queries else broadcast_if_small(limits_df, computed=True), QUERY)

@@ -33,7 +33,31 @@ def _carried(store: DataFrame) -> list[str]:
     return [c for c in ("key", "scale", "bpm") if c in store.columns]
 
 
-def _finish(rows: DataFrame, names, weights, k, few) -> DataFrame:
+def _chosen(features: str | Sequence[str], weights: Mapping[str, float] | None) -> list[str]:
+    """The distances to measure: those with a weight, or the named ones."""
+    names = list(SUBSETS[features] if isinstance(features, str) else features)
+    if weights is None:
+        return names
+    unknown = [n for n in weights if n not in names]
+    if unknown or not weights:
+        raise ValueError(f"weights for distances that are not searched: {unknown}" if unknown else "no weights")
+    return [n for n in names if n in weights]
+
+
+def _usable(rows: DataFrame, names: Sequence[str], limits, missing: str) -> DataFrame:
+    """Rows that can be compared by all distances, or by any: then the others become null."""
+    comparable = [is_comparable(n, limits) for n in names]
+    if missing == "drop":
+        return rows.filter(reduce(lambda a, b: a & b, comparable))
+    if missing != "keep":
+        raise ValueError(f"missing must be 'drop' or 'keep', not {missing!r}")
+    some = rows.filter(reduce(lambda a, b: a | b, comparable))
+    return some.withColumns({f"d_{n}": F.when(c, F.col(f"d_{n}")) for n, c in zip(names, comparable)})
+
+
+def _finish(rows: DataFrame, names, weights, k, few, missing: str = "drop") -> DataFrame:
+    if missing == "keep":
+        weights = weights or dict.fromkeys(names, 1.0)
     score = mean_score(names) if weights is None else weighted_score(weights)
     ranked = rows.withColumn("aggregated", score)
     if k is not None:
@@ -62,19 +86,34 @@ def search(
     limits: Mapping[str, float] | None = None,
     distinct: bool = True,
     k: int | None = None,
+    missing: str = "drop",
 ) -> DataFrame:
     """Gathered search: one row per query and comparable item, best first.
 
-    ``features`` names a subset or lists distances. ``limits`` replaces the largest comparable
-    value of a distance. ``k`` keeps the best k per query; the default keeps all.
+    ``features`` names a subset or lists distances; ``weights`` measures and fuses only the distances it names. ``limits``
+    replaces the largest comparable value of a distance. ``k`` keeps the best k per query; the default keeps all.
+    ``missing="keep"`` also keeps items that lack some distances and scores them over those they have.
     """
-    names = list(SUBSETS[features] if isinstance(features, str) else features)
+    names = _chosen(features, weights)
     distances, few = measured(store, queries, names)
     distances = distinct_rows(distances) if distinct else distances
     cut = materialise(distances, "distances")
-    complete = cut.filter(reduce(lambda a, b: a & b, [is_comparable(n, limits) for n in names]))
+    complete = _usable(cut, names, limits, missing)
     rows = _scaled_rows(complete, bounds(complete, names, limits), names, _carried(store), few)
-    return _finish(rows, names, weights, k, few)
+    return _finish(rows, names, weights, k, few, missing)
+
+
+def join_distances(parts: Sequence[DataFrame], how: str = "inner") -> DataFrame:
+    """Narrow distance tables as one, joined on query and item. ``left`` keeps the items of the first, ``full`` those of any table.
+
+    A column that several tables carry is taken from the first that has it.
+    """
+    seen: set[str] = set()
+    kept = []
+    for part in parts:
+        kept.append(part.select(QUERY, "id", *[c for c in part.columns if c not in seen | {QUERY, "id"}]))
+        seen.update(part.columns)
+    return reduce(lambda left, right: left.join(right, [QUERY, "id"], how), kept)
 
 
 def search_tables(
@@ -85,13 +124,14 @@ def search_tables(
     limits: Mapping[str, float] | None = None,
     distinct: bool = True,
     k: int | None = None,
+    missing: str = "drop",
 ) -> DataFrame:
     """Search separate feature tables, each ``(table, distances it serves)``.
 
     Every distance is scaled over its whole table. The narrow results meet in one outer join, so
     one table of distances serves both the per-feature bounds and the final inner result.
     """
-    names = list(SUBSETS[features] if isinstance(features, str) else features)
+    names = _chosen(features, weights)
     parts, few, carry = [], [], []
     for table, served in tables:
         wanted = [n for n in served if n in names]
@@ -100,13 +140,13 @@ def search_tables(
             # copies of an item are dropped before the join, where they would multiply
             parts.append(distinct_rows(part) if distinct else part)
             few.append(ids)
-            carry += _carried(table)
-    wide = reduce(lambda left, right: left.join(right, [QUERY, "id"], "full"), parts)
+            carry += [c for c in _carried(table) if c not in carry]
+    wide = join_distances(parts, "full")
     cut = materialise(wide, "distances")
     known = max(few, key=len) if all(f is not None for f in few) else None
-    complete = cut.filter(reduce(lambda a, b: a & b, [is_comparable(n, limits) for n in names]))
+    complete = _usable(cut, names, limits, missing)
     rows = _scaled_rows(complete, bounds(cut, names, limits), names, carry, known)
-    return _finish(rows, names, weights, k, known)
+    return _finish(rows, names, weights, k, known, missing)
 
 
 def better_than_mean(rows: DataFrame, name: str) -> DataFrame:
@@ -122,37 +162,57 @@ def refine(
     limits: Mapping[str, float] | None = None,
     min_candidates: int = 0,
 ) -> DataFrame:
-    """Measure one distance per stage, on the rows that survived the earlier ones.
+    """Measure one distance after another, on the rows that survived the earlier cuts.
 
-    A stage is one job: it reads only its own feature column and writes ids and scaled values, one
-    row per distinct item.
+    Neighbouring stages that stay in the JVM are measured in one pass, as their features are small; their cuts follow on the
+    narrow table. Survivors are written, and broadcast if they are few, so that features of the catalogue are not shuffled.
     A cut that would leave a query fewer than ``min_candidates`` rows is not made.
     """
     carry, store = _carried(store), prepare(store, stages)
     points = query_points(store, queries, features_of(stages))
     few = points.ids is not None
     survivors, done = None, []
-    for name in stages:
-        wanted = features_of([name])
-        stage_points = type(points)(points.df.select(QUERY, *[f"q_{f}" for f in wanted]), points.ids)
+    for run in stage_runs(stages):
+        wanted = features_of(run)
+        run_points = type(points)(points.df.select(QUERY, *[f"q_{f}" for f in wanted]), points.ids)
         if survivors is None:
-            pairs = pair(store.select("id", *carry, *wanted), stage_points)
+            pairs = pair(store.select("id", *carry, *wanted), run_points)
         else:
-            rows = store.select("id", *wanted).join(survivors, "id")
-            pairs = rows.join(F.broadcast(stage_points.df) if few else stage_points.df, QUERY)
-        distances = measure(pairs, [name], [*carry, *done])
-        cut = materialise(distinct_rows(distances.filter(is_comparable(name, limits))), f"stage-{name}")
-        joined = with_bounds(cut, bounds(cut, [name], limits, with_mean=True), few)
-        better = better_than_mean(joined, name)
-        if min_candidates:
-            left = better.groupBy(QUERY).count().filter(F.col("count") >= min_candidates).select(QUERY)
-            left = F.broadcast(left) if few else left
-            better = better.join(left, QUERY, "left_semi").unionByName(joined.join(left, QUERY, "left_anti"))
-        survivors = better.select(QUERY, "id", *carry, *done, scaled(name))
-        done.append(f"scaled_{name}")
+            rows = store.select("id", *wanted).join(broadcast_if_small(survivors), "id")
+            pairs = rows.join(F.broadcast(run_points.df) if few else run_points.df, QUERY)
+        left = materialise(distinct_rows(measure(pairs, run, [*carry, *done])), "stage")
+        for name in run:
+            others = [f"d_{n}" for n in run[run.index(name) + 1 :]]
+            left = _cut(left.filter(is_comparable(name, limits)), name, limits, few, min_candidates)
+            done.append(f"scaled_{name}")
+            left = left.select(QUERY, "id", *carry, *done[:-1], *others, scaled(name))
+            left = materialise(left, "stage")
+        survivors = left
     return survivors.withColumn("aggregated", mean_score(list(stages))).orderBy(QUERY, *order_columns())
 
 
+def stage_runs(stages: Sequence[str]) -> list[list[str]]:
+    """Neighbouring stages measured in one pass: those whose distance stays in the JVM together, others alone."""
+    runs: list[list[str]] = []
+    for name in stages:
+        if runs and MEASURES[name].in_jvm and MEASURES[runs[-1][-1]].in_jvm:
+            runs[-1].append(name)
+        else:
+            runs.append([name])
+    return runs
+
+
+def _cut(rows: DataFrame, name: str, limits, few: bool, min_candidates: int) -> DataFrame:
+    """The rows better than the mean, with the bounds of all; a query that would keep too few keeps all."""
+    joined = with_bounds(rows, bounds(rows, [name], limits, with_mean=True), few)
+    better = better_than_mean(joined, name)
+    if not min_candidates:
+        return better
+    enough = better.groupBy(QUERY).count().filter(F.col("count") >= min_candidates).select(QUERY)
+    enough = F.broadcast(enough) if few else enough
+    return better.join(enough, QUERY, "left_semi").unionByName(joined.join(enough, QUERY, "left_anti"))
+
+
 def prefilter(
     store: DataFrame,
     queries: Sequence | DataFrame,

@@ -6,6 +6,8 @@ failing the job; ``accepted`` and ``rejected`` tell the two apart.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,12 +67,14 @@ def parse_beats(lines: DataFrame) -> DataFrame:
 
 
 def parse_notes(lines: DataFrame) -> DataFrame:
-    """``id; key; scale; [0..11, ..]``, one letter per note."""
+    """``id; key; scale; [0..11, ..]``, one letter per note; notes are null if one of them is not a number from 0 to 11."""
     parts = F.split("value", ";")
-    letters = F.transform(numbers(F.get(parts, F.lit(3))), lambda n: F.substring(F.lit(NOTE_LETTERS), n.cast("int") + 1, F.lit(1)))
+    values = numbers(F.get(parts, F.lit(3)))
+    whole = F.forall(values, lambda n: n.isNotNull() & (n >= 0) & (n < len(NOTE_LETTERS)) & (n == F.floor(n)))
+    letters = F.transform(values, lambda n: F.substring(F.lit(NOTE_LETTERS), n.cast("int") + 1, F.lit(1)))
     return lines.select(
         normalise(F.get(parts, F.lit(0))).alias("id"), F.trim(F.get(parts, F.lit(1))).alias("key"), F.trim(F.get(parts, F.lit(2))).alias("scale"),
-        F.array_join(letters, "").alias("notes"),
+        F.when(whole, F.array_join(letters, "")).alias("notes"),
     )
 
 
@@ -98,9 +102,10 @@ def parse_compact_timbre(lines: DataFrame) -> DataFrame:
 
 
 def is_chroma(body: Column) -> Column:
-    """Not empty, and starting like a matrix of non-negative values below two."""
+    """Starting like a matrix of non-negative values below two, with numbers only, the same count on each of twelve lines."""
     starts = [body.startswith(s) for s in CHROMA_STARTS]
-    return starts[0] | starts[1]
+    values = numbers(body)
+    return (starts[0] | starts[1]) & (F.size(values) % len(NOTE_LETTERS) == 0) & ~F.exists(values, lambda x: x.isNull())
 
 
 def parse_chroma(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -118,14 +123,39 @@ def parse_query_list(lines: DataFrame) -> DataFrame:
 def load_tables(spark: SparkSession, root: str, min_partitions: int | None = None) -> dict[str, DataFrame]:
     """All feature tables below ``root``: ``features<n>/out<n>.<type>``."""
 
+    parsed = _parsed(spark, root, min_partitions)
+    return {name: rows.filter(usable) for name, (rows, usable) in parsed.items()}
+
+
+def load_rejects(spark: SparkSession, root: str, min_partitions: int | None = None) -> DataFrame:
+    """What ``load_tables`` leaves out: ``file_type, id, reason`` of every line that could not be used."""
+    parts = [
+        rows.filter(~usable).select(
+            F.lit(name).alias("file_type"), "id",
+            F.when(F.coalesce(F.col("id"), F.lit("")) == "", F.lit("no id")).otherwise(F.lit("bad values")).alias("reason"),
+        )
+        for name, (rows, usable) in _parsed(spark, root, min_partitions).items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _parsed(spark: SparkSession, root: str, min_partitions: int | None) -> dict[str, tuple[DataFrame, Column]]:
+    """All lines of each file type, parsed, and whether a row can be used."""
+
     def lines(extension: str) -> DataFrame:
         return read_lines(spark, f"{root}/features[0-9]*/out[0-9]*.{extension}", min_partitions)
 
+    def with_vector(rows: DataFrame, vector: str) -> tuple[DataFrame, Column]:
+        return rows, _usable(rows, vector)
+
+    notes = parse_notes(lines("notes"))
+    chroma = parse_records(lines("chroma"))
+    chroma = chroma.select("id", F.when(is_chroma(F.col("body")), numbers(F.col("body"))).alias("chroma"))
     return {
-        "rp": accepted(parse_vectors(lines("rp"), "rp"), "rp"),
-        "rh": accepted(parse_vectors(lines("rh"), "rh"), "rh"),
-        "bh": accepted(parse_beats(lines("bh")), "bh"),
-        "notes": parse_notes(lines("notes")),
-        "chroma": accepted(parse_chroma(lines("chroma"))[0], "chroma"),
-        "mfcckl": accepted(parse_gaussians(lines("mfcckl")), "cov"),
+        "rp": with_vector(parse_vectors(lines("rp"), "rp"), "rp"),
+        "rh": with_vector(parse_vectors(lines("rh"), "rh"), "rh"),
+        "bh": with_vector(parse_beats(lines("bh")), "bh"),
+        "notes": (notes, F.coalesce((F.col("id") != "") & F.col("notes").isNotNull(), F.lit(False))),
+        "chroma": with_vector(chroma, "chroma"),
+        "mfcckl": with_vector(parse_gaussians(lines("mfcckl")), "cov"),
     }
