@@ -13,7 +13,7 @@ from checks.registry import Registry
 from checks.searching import _DIST, _DIST0, ALL
 from kindred.functions import ids
 from kindred.operators.pairing import QUERY
-from kindred.operators.scale_out import scratch_path
+from kindred.operators.scale_out import broadcast_if_small, scratch_path
 from kindred.plans import search as plans
 from kindred.sources import catalogue, feature_files as files, tables
 
@@ -139,6 +139,31 @@ def s7_malformed(spark, sf):
         rejected.select("id", F.lit(False).alias("accepted"), F.lit(0).cast("long").alias("n")))
 
 
+_BAD_NOTES = "case id % 4 when 0 then '[1, 12]' when 1 then '[x, 3]' when 2 then '[-1]' else '[1.5]' end"
+
+
+@check("s7_rejects", S.with_(S.VEC) + """select 'notes' as file_type, 'music/' || class || '/Songno' || id || 'livemp3' as id, 'bad values' as reason from vec where id % 3 = 0
+union all select 'chroma', 'music/' || class || '/Songno' || id || 'livemp3', 'bad values' from vec where id % 5 = 0
+union all select 'rp', 'music/' || class || '/Songno' || id || 'livemp3', 'bad values' from vec where id % 7 = 0
+union all select 'bh', '', 'no id' from vec where id % 11 = 0""")
+def s7_rejects(spark, sf):
+    """Bad lines among good ones, in every kind of file that is checked in its own way."""
+    vec, root = I.vec(spark, sf), scratch_path(spark, "rejects")
+    path, name = _path(), F.translate(_path(), ",", "")
+    good = F.lit("[[" + ", ".join(["0.5"] * 24) + "]]")
+    files_of = {
+        "notes": F.concat_ws("; ", path, F.lit("G"), F.lit("minor"), F.when(F.col("id") % 3 == 0, F.expr(_BAD_NOTES)).otherwise(F.lit("[0, 11]"))),
+        "chroma": F.concat_ws("; ", path, F.when(F.col("id") % 5 != 0, good).when(F.col("id") % 2 == 0, F.lit("[[0.5, 0.5]]")).otherwise(F.lit("[]"))),
+        "rp": F.concat(name, F.when(F.col("id") % 7 == 0, F.lit(",0.1,oops")).otherwise(F.lit(",0.1,0.2"))),
+        "rh": F.concat(name, F.lit(",1")),
+        "bh": F.concat(F.when(F.col("id") % 11 == 0, F.lit("")).otherwise(path), F.lit("; 120; [1, 2]")),
+        "mfcckl": F.concat(path, F.lit("; [1]; [[2]]")),
+    }
+    for kind, line in files_of.items():
+        vec.select(line.alias("value")).write.text(f"{root}/features0/out0.{kind}")
+    return files.load_rejects(spark, root)
+
+
 @check("s8_vectors", S.with_(S.VEC) + "select id, len(rp) as n, round(rp[40], 6) + 0.0 as last from vec")
 def s8_vectors(spark, sf):
     values = vector_to_array(array_to_vector("rp"))
@@ -158,7 +183,7 @@ from customer join nation on n_nationkey = c_nationkey left join region on r_reg
 def s11_corrections(spark, sf):
     nation, region = I.table(spark, sf, "nation"), I.table(spark, sf, "region")
     wrong = nation.join(region, nation.n_nationkey == region.r_regionkey).select(F.col("n_name").alias("wrong"), F.col("r_name").alias("right"))
-    customers = I.table(spark, sf, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    customers = I.table(spark, sf, "customer").join(broadcast_if_small(nation), F.col("c_nationkey") == F.col("n_nationkey"))
     return catalogue.correct_ids(customers.select("c_custkey", F.col("n_name").alias("id")), wrong)
 
 
@@ -166,7 +191,7 @@ def s11_corrections(spark, sf):
 def s12_compaction(spark, sf):
     root = scratch_path(spark, "compact")
     small = _written(spark, _vector_lines(spark, sf, "rh").repartition(16), "out0.rh")
-    tables.compact(spark, small, f"{root}/merged.rh", files=1)
+    tables.compact(spark, small, f"{root}/merged.rh", file_bytes=32 << 10)
     return _vector(files.parse_vectors(files.read_lines(spark, f"{root}/merged.rh"), "rh"), "rh")
 
 

@@ -12,7 +12,7 @@ from checks.registry import Registry
 from kindred.functions import correlation as C
 from kindred.operators import ranking, scaling
 from kindred.operators import store as feature_store
-from kindred.operators.lsh import approximate_join, approximate_neighbours, approximate_search
+from kindred.operators.lsh import approximate_join, approximate_neighbours, approximate_search, planes
 from kindred.operators.measures import failures, is_comparable
 from kindred.operators.pairing import QUERY, pair, query_points
 from kindred.operators.scale_out import materialise, running_total
@@ -186,22 +186,42 @@ def d6_chroma_lengths(spark, sf):
     return _correlated(spark, sf, C.chroma_correlation)
 
 
-@check("d11_lsh_neighbours")
+def _bucket(alias: str, feature: str, dim: int, table: int, width: float) -> str:
+    cell = (lambda i: f"{alias}.{feature}[{i + 1}]") if feature != "mfcc" else (lambda i: f"{alias}.{('m1', 'm2', 'c11', 'c12', 'c22')[i]}")
+    terms = " + ".join(f"{cell(i)} * ({p!r}::double)" for i, p in enumerate(planes(dim, table + 1)[table]))
+    return f"floor((0.0::double + {terms}) / {width!r}::double)"
+
+
+def _shared(feature: str, dim: int, tables: int, width: float) -> str:
+    return "(" + " or ".join(f"{_bucket('s', feature, dim, t, width)} = {_bucket('q', feature, dim, t, width)}" for t in range(tables)) + ")"
+
+
+# Widths of about a fifth of the deviation of the projections, so that no bucket of the fixture has a tenth of the rows.
+_RP_WIDTH, _MFCC_WIDTH = 0.025, 2.0
+
+
+@check("d11_lsh_neighbours", _ONE + f"""select s.id, round({S.euclid('rp')}, 6) + 0.0 as distance from vec s, vec q
+where q.id = 0 and {_shared('rp', 40, 4, _RP_WIDTH)} order by {S.euclid('rp')}, s.id limit 10""")
 def d11_lsh_neighbours(spark, sf):
-    return rounded(approximate_neighbours(I.vec(spark, sf), 0, "rp", k=10, bucket_length=10.0))
+    return rounded(approximate_neighbours(I.vec(spark, sf), 0, "rp", k=10, bucket_length=_RP_WIDTH, hash_tables=4))
 
 
-@check("d12_lsh_join")
+@check("d12_lsh_join", S.with_(S.VEC, S.QUERY_LIST) + f"""select q.id as query_id, s.id, round({S.euclid('rp')}, 6) + 0.0 as distance
+from vec s, vec q where q.id in (select id from queries) and {S.euclid('rp')} < 1.0 and {_shared('rp', 40, 2, _RP_WIDTH)}""")
 def d12_lsh_join(spark, sf):
     table = I.vec(spark, sf)
     points = table.join(I.query_list(spark, sf), "id", "left_semi")
-    return rounded(approximate_join(table, points, "rp", threshold=8.0, bucket_length=10.0))
+    return rounded(approximate_join(table, points, "rp", threshold=1.0, bucket_length=_RP_WIDTH))
 
 
-@check("p8_lsh_search")
+@check("p8_lsh_search", S.with_(S.FEATURES) + f"""select query_id, id, {S.rounded(['mfcc', 'rp', 'notes'], 'scaled_')},
+round((scaled_mfcc + scaled_rp + scaled_notes) / 3, 6) + 0.0 as aggregated from (select query_id, id,
+{', '.join(f"(d_{n} - min(d_{n}) over ()) / nullif(max(d_{n}) over () - min(d_{n}) over (), 0) as scaled_{n}" for n in ('mfcc', 'rp', 'notes'))}
+from (select 0::bigint as query_id, s.id, {S.MFCC} as d_mfcc, {S.euclid('rp')} as d_rp, {S.LEVENSHTEIN} as d_notes
+from store s, store q where q.id = 0 and {_shared('mfcc', 5, 8, _MFCC_WIDTH)} and {_shared('rp', 40, 8, _MFCC_WIDTH)}))""")
 def p8_lsh_search(spark, sf):
     table = feature_store.gather([I.vec(spark, sf), I.notes(spark, sf), I.gauss(spark, sf)])
-    return rounded(approximate_search(table, 0, approximate=("mfcc", "rp"), exact=("notes",), bucket_length=100.0))
+    return rounded(approximate_search(table, 0, approximate=("mfcc", "rp"), exact=("notes",), bucket_length=_MFCC_WIDTH, hash_tables=8))
 
 
 # --- gathering ---------------------------------------------------------------------------------

@@ -10,10 +10,11 @@ import argparse
 from pyspark.sql import functions as F
 
 from kindred.functions.ids import normalise
+from kindred.operators.lsh import approximate_search
 from kindred.operators.store import gather
 from kindred.plans import search as plans
 from kindred.session import session
-from kindred.sources.feature_files import load_tables
+from kindred.sources.feature_files import load_rejects, load_tables
 from kindred.sources.tables import write_results
 
 SERVED = {
@@ -23,37 +24,70 @@ SERVED = {
 
 def arguments(argv: list[str] | None) -> argparse.Namespace:
     parser = argparse.ArgumentParser("kindred", description="rank all songs by similarity to the given ones")
-    parser.add_argument("songs", nargs="+", help="song paths, as in the feature files")
+    parser.add_argument("songs", nargs="+", help="song paths, as in the feature files; or the word build, which writes --store")
     parser.add_argument("--root", default=".", help="folder that holds features0, features1, ..")
-    parser.add_argument("--strategy", default="gathered", choices=["gathered", "separate", "refine", "prefilter"])
+    parser.add_argument("--store", default=None, help="folder of a stored catalogue, used instead of the feature files")
+    parser.add_argument("--strategy", default="gathered", choices=["gathered", "separate", "refine", "prefilter", "lsh"])
     parser.add_argument("--features", default="all", help="a named subset, or distances joined by +")
     parser.add_argument("--stages", default="bh", choices=["bh", "chroma"], help="refine: which distance comes first")
     parser.add_argument("--top", type=int, default=None, help="keep the best rows only")
     parser.add_argument("--out", default=None, help="write the result here instead of showing it")
     parser.add_argument("--format", default="csv", choices=["csv", "parquet"])
-    return parser.parse_args(argv)
+    options = parser.parse_args(argv)
+    if options.strategy == "separate" and options.store:
+        parser.error("a stored catalogue is gathered; separate tables are read from --root")
+    if options.songs == ["build"] and not options.store:
+        parser.error("build needs --store")
+    if options.strategy == "lsh" and (len(options.songs) > 1 or options.features != "all"):
+        parser.error("lsh takes one song and its own features")
+    return options
+
+
+def catalogue(spark, options: argparse.Namespace):
+    """The gathered store, from its folder or from the feature files."""
+    if options.store and options.songs != ["build"]:
+        return spark.read.parquet(options.store)
+    tables = load_tables(spark, options.root)
+    return gather([tables[t] for t in ("chroma", "mfcckl", "notes", "rp", "rh", "bh")], distinct=True)
+
+
+def build(spark, options: argparse.Namespace) -> None:
+    """Parse once: the store sorted by id, and beside it the lines that could not be used."""
+    catalogue(spark, options).repartitionByRange("id").sortWithinPartitions("id").write.parquet(options.store)
+    load_rejects(spark, options.root).write.parquet(f"{options.store.rstrip('/')}-rejects")
 
 
 def run(spark, options: argparse.Namespace):
     """The result frame of a command line."""
     paths = spark.createDataFrame([(s,) for s in options.songs], "song string")
     queries = paths.select(normalise(F.col("song")).alias("id"))
-    tables = load_tables(spark, options.root)
     features = options.features.split("+") if "+" in options.features else options.features
     if isinstance(features, str) and features not in plans.SUBSETS:
         features = [features]
     if options.strategy == "separate":
+        tables = load_tables(spark, options.root)
         return plans.search_tables([(tables[t], SERVED[t]) for t in SERVED], queries, features, k=options.top)
-    store = gather([tables[t] for t in ("chroma", "mfcckl", "notes", "rp", "rh", "bh")], distinct=True)
+    store = catalogue(spark, options)
+    result = None
     if options.strategy == "refine":
-        return plans.refine(store, queries, plans.BH_FIRST if options.stages == "bh" else plans.CHROMA_FIRST)
-    if options.strategy == "prefilter":
-        return plans.prefilter(store, queries, features=features)
+        named = plans.SUBSETS[features] if isinstance(features, str) else features
+        stages = [n for n in (plans.BH_FIRST if options.stages == "bh" else plans.CHROMA_FIRST) if n in named]
+        result = plans.refine(store, queries, stages)
+    elif options.strategy == "prefilter":
+        result = plans.prefilter(store, queries, features=features)
+    elif options.strategy == "lsh":
+        song = queries.first()["id"]
+        result = approximate_search(store, song, ("mfcc", "rp"), ("notes",), hash_tables=16)
+    if result is not None:
+        return result if options.top is None else plans.top_k(result, options.top, None).orderBy("query_id", *plans.order_columns())
     return plans.search(store, queries, features, k=options.top)
 
 
 def main(argv: list[str] | None = None) -> None:
     options = arguments(argv)
+    if options.songs == ["build"]:
+        build(session(), options)
+        return
     result = run(session(), options)
     if options.out:
         write_results(result, options.out, form=options.format)

@@ -43,11 +43,8 @@ def concatenate(parts: str) -> Column:
     return F.concat(*names).alias("_".join(names))
 
 
-def distinct_rows(distances: DataFrame, one_per_id: bool = False) -> DataFrame:
-    """Drop repeated rows of a narrow table; ``one_per_id`` keeps one row per query and id."""
-    if one_per_id:
-        keys = [c for c in ("query_id", "id") if c in distances.columns]
-        return distances.dropDuplicates(keys)
+def distinct_rows(distances: DataFrame) -> DataFrame:
+    """Drop repeated rows of a narrow table."""
     return distances.distinct()
 
 

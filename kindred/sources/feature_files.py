@@ -24,9 +24,7 @@ _RECORD = rf"^(.*?\.(?:{'|'.join(EXTENSIONS)}))\s*[;,](.*)$"
 def read_lines(spark: SparkSession, pattern: str, min_partitions: int | None = None) -> DataFrame:
     """Text lines of all files that match a glob; many small files are packed into few splits."""
     lines = spark.read.text(pattern)
-    if min_partitions is None or lines.isEmpty():
-        return lines
-    return lines.repartition(min_partitions)
+    return lines if min_partitions is None else lines.repartition(min_partitions)
 
 
 def numbers(text: Column) -> Column:
@@ -45,11 +43,6 @@ def accepted(parsed: DataFrame, vector: str) -> DataFrame:
     return parsed.filter(_usable(parsed, vector))
 
 
-def rejected(parsed: DataFrame, vector: str) -> DataFrame:
-    """The other rows, for a side table."""
-    return parsed.filter(~_usable(parsed, vector))
-
-
 def parse_vectors(lines: DataFrame, name: str) -> DataFrame:
     """``id,v1,..,vn`` with optional ``b'..'`` wrapping."""
     fields = F.split("value", ",")

@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def compact(spark: SparkSession, pattern: str, path: str, files: int) -> None:
-    """Rewrite many small text files as few large ones, without a shuffle."""
-    spark.read.text(pattern).coalesce(files).write.text(path)
+FILE_BYTES = 128 << 20
+
+
+def compact(spark: SparkSession, pattern: str, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Rewrite many small text files as files of about ``file_bytes``; as many tasks write as there are files to be."""
+    sizes = spark.read.format("binaryFile").load(pattern).agg(F.sum("length").alias("bytes")).first()["bytes"] or 0
+    lines = spark.read.text(pattern)
+    files = max(1, -(-sizes // file_bytes))
+    (lines.coalesce(files) if files == 1 else lines.repartition(files)).write.text(path)
 
 
 def write_header_csv(vectors: DataFrame, name: str, path: str) -> None:
@@ -27,7 +33,11 @@ def read_header_csv(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def write_results(results: DataFrame, path: str, form: str = "csv", by_query: bool = True) -> None:
-    """One folder per query; rows of one query may be spread over many files."""
+    """One folder per query. Rows are dealt by ranges of query, score and id first, so that a query has few files, each in order,
+    and a long list is still written by many tasks."""
+    order = [c for c in ("query_id", "aggregated", "id") if c in results.columns]
+    if by_query:
+        results = results.repartitionByRange(*order).sortWithinPartitions(*order)
     writer = results.write.format(form).option("header", True)
     (writer.partitionBy("query_id") if by_query else writer).save(path)
 

@@ -73,3 +73,19 @@ def test_many_queries_need_no_cross_join(spark):
 def test_scratch_folder_is_the_one_of_the_session(spark):
     path = scale_out.scratch_path(spark, "x")
     assert path.startswith(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir())
+
+
+def test_a_hot_track_does_not_meet_on_its_key(spark):
+    """A third of all frames are of one track: what follows the running total shuffles partial aggregates only."""
+    from kindred.operators import derive
+
+    frames = spark.range(3000).select(
+        F.when(F.col("id") < 1000, F.lit(0)).otherwise(F.col("id")).alias("track"), F.col("id").alias("at"),
+        (F.col("id") % 7 == 0).alias("is_beat"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("values"),
+    )
+    intervals = derive.with_intervals(frames, ["at"])
+    plan = intervals._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(track" not in plan
+    assert intervals.filter("track = 0 and complete").count() == 994
+    silent = {r.silence for r in intervals.filter("track = 0").select("silence").distinct().collect()}
+    assert silent == {(sum(range(1000)) + 1000) / 1000 * 0.5}

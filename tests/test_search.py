@@ -270,17 +270,60 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_lsh_needs_no_shuffle_for_few_points(store):
-    few = lsh.approximate_join(store, store.filter("id < 3"), "rp", 0.8, bucket_length=1.0)
-    assert "hashpartitioning(entry" not in plan_of(few) and "BroadcastHashJoin [query_id" in plan_of(few)
+def test_lsh_join_of_many_points_is_the_same(store, monkeypatch):
+    twice = store.unionByName(store.filter("id < 20"))
+    points = twice.filter("id < 9")
+    few = sorted(tuple(r) for r in lsh.approximate_join(twice, points, "rp", 0.8, bucket_length=1.0).collect())
+    monkeypatch.setattr(lsh, "broadcast_if_small", lambda df, **_: df)
+    many = sorted(tuple(r) for r in lsh.approximate_join(twice, points, "rp", 0.8, bucket_length=1.0).collect())
+    assert few and few == many and len({r[:2] for r in few}) == len(few)
 
 
-def test_lsh_join_of_many_points_is_the_same(store, monkeypatch):
-    few = rows(lsh.approximate_join(store, store.filter("id < 9"), "rp", 0.8, bucket_length=1.0))
-    monkeypatch.setattr("kindred.operators.pairing.small_keys", lambda *_: None)
-    many = rows(lsh.approximate_join(store, store.filter("id < 9"), "rp", 0.8, bucket_length=1.0))
-    assert few.keys() == many.keys() and few
-    assert all(few[k]["distance"] == pytest.approx(many[k]["distance"]) for k in few)
+def test_lsh_without_the_query(store):
+    assert lsh.approximate_neighbours(store, -5, "rp", 3).collect() == []
+    assert lsh.approximate_search(store, -5, ("rp",), ("notes",)).collect() == []
+    assert lsh.approximate_join(store.limit(0), store, "rp", 1.0).collect() == []
+
+
+def test_no_bucket_holds_a_tenth(spark):
+    from checks import inputs
+
+    vectors = lsh._vectors(inputs.vec(spark, "/root/testdata/sf0.01"), "rp")
+    dim = lsh.dimension(vectors)
+    n = vectors.count()
+    sizes = lsh.entries(vectors, dim, lsh.width_of(vectors, dim), 4).groupBy("_table", "_bucket").count()
+    assert sizes.agg(F.max("count")).first()[0] <= n / 10
+
+
+def test_lsh_recall(spark):
+    from checks import inputs
+
+    vec = inputs.vec(spark, "/root/testdata/sf0.01")
+    exact = {r.id for r in plans.measured(vec, [0], ["rp"])[0].orderBy("d_rp").limit(10).collect()}
+    found = {r.id for r in lsh.approximate_neighbours(vec, 0, "rp", 10, hash_tables=48).collect()}
+    assert len(exact & found) >= 9
+
+
+def test_weights_choose_the_distances(store):
+    got = plans.search(store, [0], weights={"rp": 1.0}).first()
+    assert "scaled_rp" in got.asDict() and "scaled_bh" not in got.asDict()
+    with pytest.raises(ValueError):
+        plans.search(store, [0], "fast", weights={"rp": 1.0})
+    with pytest.raises(ValueError):
+        plans.search(store, [0], missing="maybe")
+
+
+def test_items_with_missing_features_can_stay(store):
+    holed = store.withColumn("notes", F.when(F.col("id") % 2 == 0, F.col("notes"))).withColumn("mean", F.when(F.col("id") != 7, F.col("mean")))
+    names = ["rp", "notes", "mfcc"]
+    assert plans.search(holed, [0], names).count() < N
+    kept = {r.id: r for r in plans.search(holed, [0], names, missing="keep").collect()}
+    assert len(kept) == N and kept[7].aggregated == pytest.approx(kept[7].scaled_rp)
+    assert plans.search(holed, [0], weights={"rp": 1.0}).count() == N
+
+
+def test_stages_of_the_jvm_are_measured_together():
+    assert plans.stage_runs(plans.BH_FIRST) == [["bh", "rh", "notes", "rp"], ["js"], ["skl"], ["mfcc"], ["chroma"]]
 
 
 def test_refining_a_bucketed_store_shuffles_no_arrays(spark, store):
