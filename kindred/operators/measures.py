@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions import correlation, distances, gaussian
-from kindred.operators.pairing import QUERY
+from kindred.functions.blocks import against
+from kindred.operators.pairing import QUERY, QueryPoints, pair
 
 # Fixed value: larger Kullback-Leibler divergences are not compared.
 KL_LIMIT = 10000.0
@@ -57,12 +58,41 @@ def prepare(store: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def measure(pairs: DataFrame, names: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
     """Project pairs of a prepared store to ids and distances ``d_<name>``; the feature arrays end here."""
-    columns = []
-    for name in names:
-        m = MEASURES[name]
-        item, query = [F.col(f) for f in m.features], [F.col(f"q_{f}") for f in m.features]
-        columns.append(m.between(*item, *query).alias(f"d_{name}"))
-    return pairs.select(QUERY, "id", *carry, *columns)
+    return pairs.select(QUERY, "id", *carry, *[_between(n).alias(f"d_{n}") for n in names])
+
+
+# The Arrow functions behind the distances that are measured in Python.
+KERNELS = {"chroma": correlation.chroma_correlation, "skl": gaussian.symmetric_kullback_leibler, "js": gaussian.jensen_shannon}
+
+
+def measure_block(store: DataFrame, points: QueryPoints, names: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """Like ``measure`` of all pairs, for queries proven few: the arrays of an item go to Python once, not once per query.
+
+    The queries, at most 512 rows and 64 MB by ``query_points``, are a broadcast variable of the kernels.
+    """
+    in_python = [n for n in names if n in KERNELS]
+    if not in_python:
+        return measure(pair(store, points), names, carry)
+    in_jvm = [n for n in names if n not in KERNELS]
+    held = points.df.orderBy(QUERY).toArrow()
+    spark = store.sparkSession
+    shared = spark.sparkContext.broadcast(held.select([f"q_{f}" for f in features_of(in_python)]))
+    found = [
+        against(KERNELS[n].func, shared, [f"q_{f}" for f in MEASURES[n].features])(*MEASURES[n].features).alias(f"_d_{n}")
+        for n in in_python
+    ]
+    items = store.select("id", *carry, *features_of(in_jvm), *found)
+    kind = points.df.schema[QUERY].dataType.simpleString()
+    ids = F.array(*[F.lit(i) for i in held[QUERY].to_pylist()]).cast(f"array<{kind}>")
+    each = items.select("*", F.posexplode(ids).alias("_at", QUERY))
+    each = each.join(F.broadcast(points.df.select(QUERY, *[f"q_{f}" for f in features_of(in_jvm)])), QUERY) if in_jvm else each
+    values = {n: F.get(f"_d_{n}", F.col("_at")) for n in in_python} | {n: _between(n) for n in in_jvm}
+    return each.select(QUERY, "id", *carry, *[values[n].alias(f"d_{n}") for n in names])
+
+
+def _between(name: str) -> Column:
+    m = MEASURES[name]
+    return m.between(*[F.col(f) for f in m.features], *[F.col(f"q_{f}") for f in m.features])
 
 
 def is_comparable(name: str, limits: dict[str, float] | None = None) -> Column:

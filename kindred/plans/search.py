@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.operators.measures import MEASURES, features_of, is_comparable, measure, prepare
+from kindred.operators.measures import MEASURES, features_of, is_comparable, measure, measure_block, prepare
 from kindred.operators.pairing import QUERY, pair, query_points
 from kindred.operators.ranking import SUBSETS, mean_score, nearest, order_columns, top_k, weighted_score
 from kindred.operators.scale_out import broadcast_if_small, materialise
@@ -75,6 +75,8 @@ def measured(store: DataFrame, queries: Sequence | DataFrame, names: Sequence[st
     """Distances of every item to every query, and the query ids if they are few."""
     store = prepare(store, names)
     points = query_points(store, queries, features_of(names))
+    if points.ids is not None:
+        return measure_block(store, points, names, _carried(store)), points.ids
     return measure(pair(store, points), names, _carried(store)), points.ids
 
 
