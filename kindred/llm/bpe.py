@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import latin, text_or_empty, via_arrow
+from kindred.llm.common import latin, only_cache, text_or_empty, via_arrow
 
 CACHED_WORDS = 200_000
 CACHED_LENGTH = 64
@@ -228,6 +228,7 @@ def codec_of(held) -> Codec:
     """The codec of a broadcast automaton, one per Python worker."""
     key = f"{held.id}" if hasattr(held, "id") else str(id(held))
     digest = getattr(held.value, "key", key)
+    only_cache("bpe", _codecs.clear)
     if digest not in _codecs:
         _codecs.clear()
         _codecs[digest] = Codec(held.value)

@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from kindred.operators.scale_out import materialise
 
-__all__ = ["bucket_of", "latin", "materialise", "table", "text_or_empty", "via_arrow"]
+__all__ = ["bucket_of", "latin", "materialise", "only_cache", "table", "text_or_empty", "via_arrow"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,19 @@ def via_arrow(
     return df.mapInArrow(run, from_arrow_schema(schema))
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def only_cache(owner: str, drop: Callable[[], None]) -> None:
+    """Called by an operator before it fills its cache: Python workers live on from one operator to the next, so what
+    another one has cached is dropped."""
+    if owner not in _caches:
+        for other in _caches.values():
+            other()
+        _caches.clear()
+        _caches[owner] = drop
+
+
 def bucket_of(columns: Sequence[str], n: int) -> Column:
     """A number below ``n`` that depends on the values only, so a repeated task deals rows alike."""
     return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")

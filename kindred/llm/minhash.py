@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from kindred.llm.common import materialise, text_or_empty, via_arrow
+from kindred.llm.common import materialise, only_cache, text_or_empty, via_arrow
 from kindred.operators.scale_out import broadcast_if_small
 
 WORDS = 5
@@ -29,7 +29,7 @@ PERCENT = 85
 M, K = 14, 4
 CHUNK_ROWS = 1024
 CHUNK_SHINGLES = 1 << 20
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 BLOCK = 512
 
 
@@ -90,6 +90,7 @@ SIGNATURES = pa.schema([
 
 
 def _signatures(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    only_cache("minhash", _hashes.clear)
     for at in range(0, batch.num_rows, BLOCK):
         part = batch.slice(at, BLOCK)
         sets = [shingles(t) for t in part["text"].to_pylist()]
@@ -266,6 +267,7 @@ def links_of(source: DataFrame, classes: DataFrame) -> DataFrame:
     ])
 
     def shingle(batch: pa.RecordBatch) -> pa.RecordBatch:
+        only_cache("minhash", _hashes.clear)
         keep, sets = [], []
         for i, (text, a, b) in enumerate(zip(batch["text"], batch["k1"].to_pylist(), batch["k2"].to_pylist(), strict=True)):
             data = shingles(text.as_py()).tobytes()

@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from kindred.llm.common import bucket_of, latin, materialise, text_or_empty, via_arrow
+from kindred.llm.common import bucket_of, latin, materialise, only_cache, text_or_empty, via_arrow
 
 GROUP = 20_000
 FAN_IN = 8
 NEARLY_FULL = 16
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 CACHED_LENGTH = 64
 END = np.array([1], "<u4").tobytes()
 
@@ -78,6 +78,7 @@ _tokens: dict[int, WordTokens] = {}
 def _words_of(held) -> WordTokens:
     spec = held.value
     key = zlib.crc32(spec.encode()) << 32 | len(spec)
+    only_cache("packing", _tokens.clear)
     if key not in _tokens:
         _tokens.clear()
         _tokens[key] = WordTokens(spec)

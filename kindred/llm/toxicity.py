@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import text_or_empty, via_arrow
+from kindred.llm.common import only_cache, text_or_empty, via_arrow
 from kindred.llm.labelled import PER_CLASS, held_out, labelled_sample
 
 PREFIXES = (4, 5, 6, 7)
@@ -24,7 +24,7 @@ STEPS = 150
 RATE = 0.1
 SHRINK = 1e-3
 BIAS = -4.0
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 
 _END = re.compile(r"[.!?\n]+")
 _WORD = re.compile(r"\w+")
@@ -121,6 +121,9 @@ class Model:
         self.bias = float(bias)
         return self
 
+    def forget(self) -> None:
+        self._weights = None
+
     def _odds(self, words: set[str]) -> float:
         if self._weights is None:
             self._weights = _Weights(self.features)
@@ -172,6 +175,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        only_cache("toxicity", held.value.forget)
         model, scores, places = held.value, [], []
         for cell in batch["text"]:
             text = cell.as_py()
