@@ -1,7 +1,7 @@
 """Feature text files to typed columns, without Python in the loop.
 
 Lines are parsed by column functions only. A line that cannot be parsed gives nulls instead of
-failing the job; ``accepted`` and ``rejected`` tell the two apart.
+failing the job; ``accepted`` drops it and ``load_rejects`` lists it.
 """
 
 from __future__ import annotations

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.__main__ import arguments, run
+from kindred.__main__ import arguments, build, run
 from kindred.functions import ids
 from kindred.sources import catalogue, feature_files as files, tables
 
@@ -37,7 +37,7 @@ def test_ids(spark, f, value, want):
 def test_vectors(spark):
     parsed = files.parse_vectors(lines(spark, "a b.mp3,1.5, 2.0", "b'c.mp3',b'3',b'-4e-2'", "broken", "x,1,oops"), "v")
     assert {(r.id, tuple(r.v)) for r in files.accepted(parsed, "v").collect()} == {("abmp3", (1.5, 2.0)), ("cmp3", (3.0, -0.04))}
-    assert {r.id for r in files.rejected(parsed, "v").collect()} == {"broken", "x"}
+    assert parsed.count() == 4
 
 
 def test_beats_and_notes(spark):
@@ -45,7 +45,9 @@ def test_beats_and_notes(spark):
     assert (beat.id, beat.bpm, beat.bh) == ("abmp3", 116.27, [0.0, 1.5, 2.0])
     note = files.parse_notes(lines(spark, "a.mp3; G#; minor; [0, 1, 10, 11, 2, 9]")).first()
     assert (note.id, note.key, note.scale, note.notes) == ("amp3", "G#", "minor", "ABKLCJ")
-    assert files.rejected(files.parse_beats(lines(spark, "no delimiters")), "bh").count() == 1
+    assert files.accepted(files.parse_beats(lines(spark, "no delimiters")), "bh").count() == 0
+    bad = files.parse_notes(lines(spark, *[f"a.mp3; G; minor; {x}" for x in ("[1, 12]", "[x]", "[-1]", "[1.5]", "[]", "")]))
+    assert [r.notes for r in bad.collect()] == [None] * 6
 
 
 @pytest.mark.parametrize("extension", ids.EXTENSIONS)
@@ -63,9 +65,9 @@ def test_gaussians(spark):
 
 
 def test_malformed_chroma_goes_to_the_rejects(spark):
-    good, bad = files.parse_chroma(lines(spark, "a.mp3; [[0.1, 0.2], [1.0, 0.0]]", "b.mp3; []", "c.mp3; [[2.0]]", "d; [[0.1]]"))
-    assert [(r.id, r.chroma) for r in good.collect()] == [("amp3", [0.1, 0.2, 1.0, 0.0])]
-    assert {r.id for r in bad.collect()} == {"bmp3", "cmp3", ""}
+    good, bad = files.parse_chroma(lines(spark, f"a.mp3; [[0.1, 0.2], [1.0, 0.0]{', [0, 1]' * 10}]", "e.mp3; [[0.1, 0.2], [1.0, 0.0]]", "b.mp3; []", "c.mp3; [[2.0]]", "d; [[0.1]]"))
+    assert [(r.id, r.chroma) for r in good.collect()] == [("amp3", [0.1, 0.2, 1.0, 0.0] + [0.0, 1.0] * 10)]
+    assert {r.id for r in bad.collect()} == {"emp3", "bmp3", "cmp3", ""}
 
 
 def test_query_list(spark):
@@ -157,3 +159,19 @@ def test_command_line_options(spark, songs):
     assert run(spark, arguments([song, "--root", songs, "--features", "js+rp", "--top", "2"])).count() == 2
     assert "scaled_mfcc" in run(spark, arguments([song, "--root", songs, "--features", "mfcc"])).columns
     assert run(spark, arguments([song, "--root", songs, "--strategy", "refine"])).count() <= 5
+
+
+def test_a_stored_catalogue_gives_the_same_answers(spark, songs, tmp_path):
+    song, store = "music/Class 0/Song 1, no. 0.mp3", str(tmp_path / "store")
+    build(spark, arguments(["build", "--root", songs, "--store", store]))
+    assert [(r.file_type, r.id, r.reason) for r in spark.read.parquet(store + "-rejects").collect()] == [("chroma", "music/Class1/Song2no1mp3", "bad values")]
+    for extra in ([], ["--strategy", "prefilter", "--top", "2"], ["--strategy", "refine", "--features", "bh+rh"], ["--strategy", "lsh"]):
+        from_files = [r.id for r in run(spark, arguments([song, "--root", songs, *extra])).collect()]
+        stored = [r.id for r in run(spark, arguments([song, "--store", store, *extra])).collect()]
+        assert stored == from_files and len(stored) == (2 if "--top" in extra else len(stored))
+
+
+@pytest.mark.parametrize("options", [["build"], ["a", "--store", "x", "--strategy", "separate"], ["a", "b", "--strategy", "lsh"]])
+def test_options_that_do_not_fit_are_refused(options):
+    with pytest.raises(SystemExit):
+        arguments(options)
