@@ -254,12 +254,13 @@ def links_of(source: DataFrame, classes: DataFrame) -> DataFrame:
     clusters = components(candidate_edges(classes), "clusters").select(F.col("node").alias("rep"), F.col("label").alias("cluster"))
     members = materialise(clusters.join(classes.select("rep", "n", "k1", "k2"), "rep"), "members")
     sizes = members.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum("n").alias("total")).select(
-        "cluster", F.greatest(F.ceil(F.col("rows") / CHUNK_ROWS), F.ceil(F.col("total") / CHUNK_SHINGLES)).cast("int").alias("chunks"), "total"
+        "cluster", F.greatest(F.ceil(F.col("rows") / CHUNK_ROWS), F.ceil(F.col("total") / CHUNK_SHINGLES)).cast("int").alias("chunks"), "rows", "total"
     )
     sizes = materialise(sizes, "sizes")
-    small = sizes.filter("chunks = 1").agg(F.sum("total")).first()[0] or 0
-    bins = max(1, -(-small // CHUNK_SHINGLES))
-    placed = members.join(sizes.drop("total"), "cluster").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    # Clusters of one chunk share bins of about a chunk.
+    small = sizes.filter("chunks = 1").agg(F.sum("rows").alias("rows"), F.sum("total").alias("total")).first()
+    bins = max(1, -(-(small["rows"] or 0) // CHUNK_ROWS), -(-(small["total"] or 0) // CHUNK_SHINGLES))
+    placed = members.join(sizes.drop("rows", "total"), "cluster").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     placed = materialise(placed.select("rep", "k1", "k2", "cluster", "chunks", "chunk"), "placed")
     texts = source.withColumnRenamed("doc_id", "rep").join(broadcast_if_small(placed, max_rows=200_000), "rep")
     schema = pa.schema([
