@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import text_or_empty, via_arrow
+from kindred.llm.common import only_cache, text_or_empty, via_arrow
 from kindred.llm.labelled import PER_CLASS, held_out, labelled_sample
 
 DIMENSIONS = 64
@@ -154,6 +154,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        only_cache("quality", lambda: None)
         out = np.empty(batch.num_rows)
         for at in range(0, batch.num_rows, BLOCK):
             out[at : at + BLOCK] = held.value.score(batch["text"].slice(at, BLOCK).to_pylist())
@@ -173,6 +174,7 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     def score(texts):
         import pandas as pd
 
+        only_cache("quality", lambda: None)
         return pd.Series(held.value.score(texts.tolist()))
 
     return docs.filter(score(text_or_empty()) >= THRESHOLD)
