@@ -80,7 +80,7 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The k best (score, smaller id first) of one query, as far as they are known."""
+    """The k best ids (score, smaller id first) of one query, as far as they are known; an id has one place, with its best score."""
 
     __slots__ = ("ids", "k", "scores")
 
@@ -92,9 +92,10 @@ class Best:
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
         scores, ids = np.concatenate([self.scores, scores]), np.concatenate([self.ids, ids])
-        order = np.lexsort((ids, -scores))[: self.k] if scores.min(initial=0) > -LONG else np.array(
-            sorted(range(len(ids)), key=lambda i: (-int(scores[i]), int(ids[i])))[: self.k], dtype=int
+        order = np.lexsort((ids, -scores)) if scores.min(initial=0) > -LONG else np.array(
+            sorted(range(len(ids)), key=lambda i: (-int(scores[i]), int(ids[i]))), dtype=int
         )
+        order = order[np.sort(np.unique(ids[order], return_index=True)[1])[: self.k]]
         self.scores, self.ids = scores[order], ids[order]
 
 
@@ -228,13 +229,14 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, n_pivots: int = PIVOTS, blo
     An empty table, or one without queries, gives no rows.
     """
     spark = vectors.sparkSession
+    vectors = vectors.dropDuplicates(["vec_id", "v"])
     sample = sample_of(vectors)
     stored = pivot_table(vectors, sample, n_pivots)
     queries = stored.filter(is_query)
     dim = max(1, (queries.agg(F.max(F.size("v") + F.size("d")).alias("n")).first()["n"] or 1))
     per_block = max(1, block_bytes // (8 * dim))
     n_blocks = max(1, -(-queries.count() // per_block))
-    block_of = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))
+    block_of = F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks))
     partial = None
     for b in range(n_blocks):
         # One block at a time is in the driver; it holds about per_block queries, whatever the table's size.

@@ -32,6 +32,28 @@ def test_against_brute_force_with_ties_and_bad_vectors(spark):
     assert found(spark, rows) == brute(rows)
 
 
+def test_copies_of_an_id_take_one_place(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.integers(-3, 4, 6) / 64).tolist()) for i in range(100)]
+    copies = rows + [(1000, [1.0] * 6)] * 25
+    several = rows + [(1000, [1.0 + n / 64] * 6) for n in range(25)] + [(20, [n / 64] * 6) for n in range(30)]
+
+    def top(rows, **options):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+        out = T.top_k(T.quantised(df), F.col("vec_id") % 20 == 0, **options).collect()
+        return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out)
+
+    assert top(copies) == brute(copies)
+    best = {}
+    for q, v in several:
+        for i, w in several if q % 20 == 0 else ():
+            if i != q:
+                score = sum(int(64 * a) * int(64 * b) for a, b in zip(v, w, strict=True))
+                best.setdefault(q, {})[i] = max(score, best.get(q, {}).get(i, score))
+    expected = [(q, n, i, s) for q, found in best.items() for n, (i, s) in enumerate(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:20], 1)]
+    assert top(several) == sorted(expected) == top(several, block_bytes=8 * 24 * 16)
+
+
 def test_blocks_of_queries(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.standard_normal(8).tolist()) for i in range(400)]
