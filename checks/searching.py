@@ -211,7 +211,7 @@ from vec s, vec q where q.id in (select id from queries) and {S.euclid('rp')} <
 def d12_lsh_join(spark, sf):
     table = I.vec(spark, sf)
     points = table.join(I.query_list(spark, sf), "id", "left_semi")
-    return rounded(approximate_join(table, points, "rp", threshold=1.0, bucket_length=_RP_WIDTH))
+    return rounded(approximate_join(table, points, "rp", threshold=1.0, bucket_length=_RP_WIDTH, hash_tables=2))
 
 
 @check("p8_lsh_search", S.with_(S.FEATURES) + f"""select query_id, id, {S.rounded(['mfcc', 'rp', 'notes'], 'scaled_')},

@@ -77,7 +77,7 @@ def run(spark, options: argparse.Namespace):
         result = plans.prefilter(store, queries, features=features)
     elif options.strategy == "lsh":
         song = queries.first()["id"]
-        result = approximate_search(store, song, ("mfcc", "rp"), ("notes",), hash_tables=16)
+        result = approximate_search(store, song, ("mfcc", "rp"), ("notes",))
     if result is not None:
         return result if options.top is None else plans.top_k(result, options.top, None).orderBy("query_id", *plans.order_columns())
     return plans.search(store, queries, features, k=options.top)

@@ -354,3 +354,17 @@ def test_items_go_to_python_once(store, spark):
     assert got.keys() == plain.keys() and len(got) == 4 * N
     for key, row in got.items():
         assert all(row[c] == pytest.approx(plain[key][c], nan_ok=True) for c in ("d_rp", "d_chroma", "d_skl", "d_js"))
+
+
+def test_lsh_recall_of_the_defaults(spark):
+    from checks import inputs
+
+    vec = inputs.vec(spark, "/root/testdata/sf0.01").cache()
+    ids = sorted(r.id for r in vec.select("id").collect())[::50]
+    exact = plans.measured(vec, ids, ["rp"])[0].collect()
+    points = vec.filter(F.col("id").isin(ids))
+    met = {(r.query_id, r.id) for r in lsh.approximate_join(vec, points, "rp", float("inf")).collect()}
+    nearest = [(q, r.id) for q in ids for r in sorted((r for r in exact if r.query_id == q), key=lambda r: (r.d_rp, r.id))[:10]]
+    assert np.mean([pair in met for pair in nearest]) >= 0.9
+    found = {r.id for r in lsh.approximate_neighbours(vec, ids[0], "rp", 10).collect()}
+    assert len(found & {i for q, i in nearest if q == ids[0]}) >= 9
