@@ -60,6 +60,39 @@ def test_without_findings_nothing_is_added(documents):
     assert S.find(["k 0123456789abcdef0123 z"], model) == [([], [])]
 
 
+def with_few_findings(n=18):
+    """Documents of which ``n`` have a finding of a pattern, after many without, and one with a key that no pattern knows."""
+    rng = random.Random(5)
+    hexes = lambda: "".join(rng.choices("0123456789abcdef", k=20))
+    word = lambda: "".join(rng.choices("aeioutnrs", k=rng.randint(16, 22)))
+    rows = [(i, f"see the {word()} there and {word()}") for i in range(300)]
+    rows += [(1000 + i, f"see the password={hexes()} there and {word()}") for i in range(n)]
+    return rows, [(2000, f"see the {hexes()} there")]
+
+
+def test_few_findings_turn_the_network_on(spark, documents):
+    rows, hidden = with_few_findings()
+    model = S.train(documents(rows))
+    assert np.isfinite(model.threshold)
+    spans = {r.doc_id: r.spans for r in S.scan(documents(rows + hidden), model).collect()}
+    assert spans[2000] == "model:8:28"
+    assert np.mean(["model" in spans[i] for i, _ in rows[:300]]) < 0.05
+    assert S.redact(documents(hidden), model).first().text == "see the [SECRET] there"
+    assert np.isfinite(S.train(documents(with_few_findings(1)[0])).threshold)
+
+
+def test_stage_with_the_network_on(spark, documents, monkeypatch):
+    import corpus_pipeline
+
+    models, fit = [], S.train
+    monkeypatch.setattr(S, "train", lambda docs: models.append(fit(docs)) or models[0])
+    rows, hidden = with_few_findings()
+    clean = {r.doc_id: r.text for r in corpus_pipeline.without_secrets(spark, documents(rows + hidden), "").collect()}
+    assert np.isfinite(models[0].threshold)
+    for (i, text), (_, spans) in zip(rows + hidden, S.find([t for _, t in rows + hidden], models[0]), strict=True):
+        assert clean[i] == S.replaced(text, spans, "[SECRET]")
+
+
 def test_tables(spark, documents):
     rows = list(enumerate([*texts_of(300), "", None])) + [(None, "token=abcdefgh1"), (0, "x"), (0, "x"), (999, "w " * 300_000 + "secret:abcdefgh")]
     model = S.train(documents(rows))
