@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, exact_dedup, minhash, packing, quality, secrets, topk, toxicity, url_filter, warc
+from kindred.llm import bpe, exact_dedup, line_dedup, minhash, packing, quality, secrets, topk, toxicity, url_filter, warc
 from kindred.llm.common import table
 
 QUERIES: dict = {}
@@ -176,3 +176,29 @@ def op9_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.filter_urls(pages, URL_RULES).drop("url")
+
+
+@query(
+    "op11_line_runs",
+    r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+    ), l AS (
+      SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d
+    ), k AS (
+      SELECT r, doc_id, line, pos, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key
+      FROM l
+    ), f AS (
+      SELECT key, max(doc_id) AS holder FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+    ), m AS (
+      SELECT r, k.doc_id, line, pos, f.key IS NOT NULL AND k.doc_id IS DISTINCT FROM holder AS dropped FROM k LEFT JOIN f USING (key)
+    )
+    SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+    FROM m GROUP BY r
+    """,
+)
+def op11_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
