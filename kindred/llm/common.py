@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from kindred.operators.scale_out import materialise
 
-__all__ = ["bucket_of", "latin", "materialise", "only_cache", "table", "text_or_empty", "via_arrow"]
+__all__ = ["bucket_of", "latin", "materialise", "only_cache", "parts_of", "table", "text_or_empty", "via_arrow"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,22 @@ def via_arrow(
     return df.mapInArrow(run, from_arrow_schema(schema))
 
 
+def parts_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of the batches, in parts of about ``size`` bytes; a longer text is a part of its own."""
+    ids, texts, held = [], [], 0
+    for batch in batches:
+        for i, text in zip(batch["doc_id"], batch["text"]):
+            n = text.as_buffer().size
+            if texts and held + n > size:
+                yield ids, texts
+                ids, texts, held = [], [], 0
+            ids.append(i.as_py())
+            texts.append(text.as_py())
+            held += n
+    if texts:
+        yield ids, texts
+
+
 _caches: dict[str, Callable[[], None]] = {}
 
 

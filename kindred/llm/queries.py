@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, exact_dedup, line_dedup, minhash, packing, quality, secrets, topk, toxicity, url_filter, warc
+from kindred.llm import alignment, bpe, exact_dedup, line_dedup, minhash, packing, prefix_trie, quality, secrets, topk, toxicity, url_filter, warc
 from kindred.llm.common import table
 
 QUERIES: dict = {}
@@ -22,8 +23,9 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-BYTE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-WORD_VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 @query("op3_bpe_automaton")
@@ -202,3 +204,55 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query(
+    "op12_prefix_trie",
+    """
+    WITH o AS (
+      SELECT conv_id AS c, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, name) AS ts
+      FROM (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS name
+        FROM conversations WHERE conv_id IS NOT NULL
+      ) GROUP BY conv_id
+    ), h AS (
+      SELECT c, ts, xor(4294967295, list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+        lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+          lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))) % 9 AS h
+      FROM o
+    ), r AS (
+      SELECT h.c, list_concat(coalesce(b.ts, [])[1:h.h], h.ts[h.h + 1:]) AS ts FROM h LEFT JOIN o b ON b.c = h.c - h.c % 5
+    ), p AS (
+      SELECT c, d, ts[1:d] AS pre, d = len(ts) AS ends, CASE WHEN d = 0 THEN 0 ELSE octet_length(encode(ts[d].text)) END AS bytes
+      FROM (SELECT c, ts, unnest(range(len(ts) + 1)) AS d FROM r)
+    ), n AS (
+      SELECT pre, d, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+             sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+      FROM p GROUP BY pre, d
+    ), m AS (
+      SELECT p.c, p.d, n.conv_id FROM p JOIN n USING (pre, d)
+    ), k AS (
+      SELECT n.conv_id, n.d, n.n_convs, n.bytes, n.ends_sha256, m.conv_id AS parent_conv_id
+      FROM n LEFT JOIN m ON m.c = n.conv_id AND m.d = n.d - 1
+    ), s AS (
+      SELECT a.conv_id, a.d, a.n_convs, a.bytes, count(b.conv_id) AS n_children
+      FROM k a LEFT JOIN k b ON b.parent_conv_id = a.conv_id AND b.d = a.d + 1 GROUP BY ALL
+    ), u AS (
+      SELECT m.conv_id, m.d, count(*) FILTER (s.n_children = 0) AS n_leaves, sum((s.n_convs - 1) * s.bytes) AS saved_tokens
+      FROM s JOIN m ON m.c = s.conv_id AND m.d <= s.d GROUP BY ALL
+    )
+    SELECT k.conv_id, CAST(k.d AS BIGINT) AS depth, k.parent_conv_id, k.n_convs, s.n_children, u.n_leaves,
+           CAST(u.saved_tokens AS BIGINT) AS saved_tokens, k.ends_sha256
+    FROM k JOIN s USING (conv_id, d) JOIN u USING (conv_id, d)
+    """,
+)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return prefix_trie.trie_nodes(prefix_trie.rebuilt(prefix_trie.conversations_of(turns)))
+
+
+@query("op13_merge_path")
+def op13_merge_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, PIECE_MODEL)

@@ -46,5 +46,5 @@ def test_run_and_registration(spark):
     from __spark_entry__ import oracle_sql, queries
 
     names = {k.split("_")[0] for k in queries() if re.match(r"op\d+_", k)}
-    assert names == {f"op{n}" for n in range(1, 11)} and "pipeline" in queries() and "pipeline" not in oracle_sql()
+    assert names == {f"op{n}" for n in range(1, 14)} and "pipeline" in queries() and "pipeline" not in oracle_sql()
     assert queries()["pipeline"](spark, SF).count() > 0
