@@ -8,8 +8,11 @@ is left. No task ever holds more than a group: if underfull bins stay too many f
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from kindred.llm.common import bucket_of, latin, materialise, only_cache, text_or_empty, via_arrow
+from kindred.llm.bpe import byte_letters
+from kindred.llm.common import bucket_of, latin, materialise, only_cache, parts_of, text_or_empty
 
 GROUP = 20_000
 FAN_IN = 8
 NEARLY_FULL = 16
 CACHED_WORDS = 200_000
-CACHED_LENGTH = 64
+# Bytes of text that are encoded together.
+PART = 2 << 20
+# Characters of the longest word that is merged here.
+OWN_LENGTH = 40
 END = np.array([1], "<u4").tobytes()
 
 
@@ -33,12 +40,84 @@ _LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\\s{_LET
 # Python counts these among white space, Unicode does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _UNIT = re.compile(r"[^\x20\x09-\x0D]+")
+_NONE = np.iinfo(np.int32).max
+
+
+class WordMerges:
+    """Byte-pair merges of many words at once: words of one length are the rows of a table, and each round merges the first pair of lowest rank of every row."""
+
+    def __init__(self, vocabulary: dict[str, int], merges: list, suffix: str) -> None:
+        letters = {b: c for c, b in byte_letters().items()}
+        self.inner = np.array([vocabulary[letters[b]] for b in range(256)], np.int64)
+        self.last = np.array([vocabulary[letters[b] + suffix] for b in range(256)], np.int64)
+        self.nothing = max(vocabulary.values()) + 1
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
+        keys = np.array([vocabulary[x] * self.nothing + vocabulary[y] for x, y in pairs], np.int64)
+        self.merged = np.array([vocabulary[x + y] for x, y in pairs], np.int64)
+        self.rank = np.argsort(keys, kind="stable").astype(np.int32)
+        self.keys = keys[self.rank]
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = np.where(np.maximum(left, right) < self.nothing, left * self.nothing + right, -1)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], _NONE)
+
+    def _rows(self, tokens: np.ndarray) -> np.ndarray:
+        """Merges the rows of ``tokens`` in place and gives their lengths; behind them stands ``nothing``."""
+        size = tokens.shape[1]
+        lengths, rows = np.full(len(tokens), size), np.arange(len(tokens))
+        t, ranks, places = tokens, self._ranks(tokens[:, :-1], tokens[:, 1:]), np.arange(size)
+        while size > 1 and len(rows):
+            at = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(rows)), at]
+            go = best < _NONE
+            tokens[rows[~go]] = t[~go]
+            t, ranks, rows, at, best = t[go], ranks[go], rows[go], at[go], best[go]
+            each = np.arange(len(rows))
+            after = places > at[:, None]
+            t = np.where(after, np.pad(t[:, 1:], ((0, 0), (0, 1)), constant_values=self.nothing), t)
+            t[each, at] = self.merged[best]
+            ranks = np.where(after[:, :-1], np.pad(ranks[:, 1:], ((0, 0), (0, 1)), constant_values=_NONE), ranks)
+            has = at < size - 1
+            ranks[each[has], at[has]] = self._ranks(t[each[has], at[has]], t[each[has], at[has] + 1])
+            has = at > 0
+            ranks[each[has], at[has] - 1] = self._ranks(t[each[has], at[has] - 1], t[each[has], at[has]])
+            lengths[rows] -= 1
+        return lengths
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after another, and their number per word. Words are not empty and have no line feed."""
+        data = np.frombuffer("\n".join(words).encode(), np.uint8)
+        ends = np.append(np.flatnonzero(data == 10), len(data))
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        sizes, lengths, done = ends - starts, np.zeros(len(words), np.int64), []
+        for size in np.unique(sizes).tolist():
+            rows = np.flatnonzero(sizes == size)
+            cells = data[starts[rows][:, None] + np.arange(size)]
+            tokens = self.inner[cells]
+            tokens[:, -1] = self.last[cells[:, -1]]
+            lengths[rows] = self._rows(tokens)
+            done.append((rows, tokens))
+        first = np.cumsum(lengths) - lengths
+        ids = np.zeros(int(lengths.sum()), "<u4")
+        for rows, tokens in done:
+            used = tokens < self.nothing
+            ids[(first[rows][:, None] + np.arange(tokens.shape[1]))[used]] = tokens[used]
+        return ids, lengths
+
+
+class _Numbers(dict):
+    """Numbers words in the order of their first appearance."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 class WordTokens:
-    """Little-endian ids of whole texts. The vocabulary drops white space, so words are encoded one by one and remembered,
-    for two generations of ``cached`` words. Texts within U+00FF are lower-cased and split here; others are cut at
-    white space and left to the library, as are texts that may hold special tokens."""
+    """Little-endian ids of whole texts. The vocabulary drops white space, so words are encoded one by one and remembered until there are more than
+    ``cached``. What lies within U+00FF is lower-cased, split and merged here; a longer word, and what stands between white space beside other letters or
+    may hold special tokens, is left to the library, under a name that begins with a space."""
 
     def __init__(self, spec: str, cached: int = CACHED_WORDS) -> None:
         from tokenizers import Tokenizer
@@ -46,30 +125,62 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        model = json.loads(spec)["model"]
+        self.merges = WordMerges(model["vocab"], model["merges"], model["end_of_word_suffix"])
         self.cached = cached
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers = _Numbers()
+        self.ids, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     @staticmethod
     def words(text: str) -> list[str]:
         if latin(text) and "<|" not in text and not _SEPARATORS.search(text):
             return _LATIN.findall(text.lower())
-        return _UNIT.findall(text)
+        out: list[str] = []
+        for unit in _UNIT.findall(text):
+            if latin(unit) and "<|" not in unit and not _SEPARATORS.search(unit):
+                out += _LATIN.findall(unit.lower())
+            else:
+                out.append(f" {unit}")
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        lengths, parts = np.zeros(len(words), np.int64), []
+        own = [i for i, w in enumerate(words) if w[0] != " " and len(w) <= OWN_LENGTH]
+        if own:
+            ids, lengths[own] = self.merges.encode([words[i] for i in own])
+            parts.append((own, ids))
+        others = [i for i, w in enumerate(words) if w[0] == " " or len(w) > OWN_LENGTH]
+        coded = [c.ids for c in self.tokenizer.encode_batch_fast([words[i].lstrip(" ") for i in others], add_special_tokens=False)]
+        lengths[others] = [len(c) for c in coded]
+        parts += [([i], np.array(c, "<u4")) for i, c in zip(others, coded, strict=True)]
+        first = np.cumsum(lengths) - lengths
+        found = np.zeros(int(lengths.sum()), "<u4")
+        for places, ids in parts:
+            found[_ragged(first[places], lengths[places])] = ids
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+        self.ids = np.concatenate([self.ids, found])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.words(t) for t in texts]
-        missing = set().union(*split) - self.young.keys()
-        known = {w: self.old[w] for w in missing if w in self.old}
-        new = [w for w in missing if w not in known]
-        coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(new, coded, strict=True))
-        self.young.update(known)
-        found = [b"".join([self.young[w] for w in words]) for words in split]
-        for w in [w for w in new if len(w) > CACHED_LENGTH]:
-            del self.young[w]
-        if len(self.young) > self.cached:
-            self.old, self.young = self.young, {}
-        return found
+        count, known = sum(map(len, split)), len(self.numbers)
+        numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), np.int64, count)
+        if len(self.numbers) > known:
+            self._learn(list(islice(self.numbers, known, None)))
+        first = self.ends[numbers]
+        lengths = self.ends[numbers + 1] - first
+        ids = self.ids[_ragged(first, lengths)]
+        upto = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *map(len, split)])].tolist()
+        if len(self.numbers) > self.cached or len(self.ids) > 8 * self.cached:
+            self._forget()
+        return [ids[a:b].tobytes() for a, b in zip(upto, upto[1:])]
+
+
+def _ragged(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places ``first, first + 1, ..`` of every stretch, one stretch after another."""
+    return np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
 
 
 _tokens: dict[int, WordTokens] = {}
@@ -104,17 +215,14 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, id: str = "doc_id",
     with open(path, encoding="utf-8") as f:
         held = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows: list[tuple] = []
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            coded = _words_of(held).encode(part["text"].to_pylist())
-            for doc, ids in zip(part["doc_id"].to_pylist(), coded, strict=True):
-                rows += [(doc, *p) for p in pieces_of(ids + END, capacity)]
-        columns = zip(*rows, strict=True) if rows else [[]] * 5
-        return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, PIECES, strict=True)], schema=PIECES)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in parts_of(batches, PART):
+            coded = _words_of(held).encode(texts)
+            rows = [(doc, *p) for doc, data in zip(ids, coded, strict=True) for p in pieces_of(data + END, capacity)]
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PIECES, strict=True)], schema=PIECES)
 
-    return via_arrow(docs.select(F.col(id).cast("long").alias("doc_id"), text_or_empty(text).alias("text")), work, PIECES)
+    source = docs.select(F.col(id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
+    return source.mapInArrow(work, from_arrow_schema(PIECES))
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,12 +281,17 @@ def _packed(items: DataFrame, size: str, order: list[str], groups: int, capacity
 
 
 def pack(pieces: DataFrame, capacity: int, group: int = GROUP, fan_in: int = FAN_IN) -> DataFrame:
-    """``pieces`` (any columns and a positive ``length`` of at most ``capacity``) with ``sequence_id`` and ``offset``."""
-    columns = pieces.columns
-    stored = materialise(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    """``pieces`` (any columns and a positive ``length`` of at most ``capacity``) with ``sequence_id`` and ``offset``.
+
+    Columns that have these two names already are replaced. Every row is packed, repeated ones too. An empty table gives no rows.
+    """
+    names = {c: f"_c{i}" for i, c in enumerate(pieces.columns) if c not in ("sequence_id", "offset")}
+    columns = [F.col(n).alias(c) for c, n in names.items()]
+    given = pieces.select(*[F.col(c).alias(n) for c, n in names.items()], F.monotonically_increasing_id().alias("_row"))
+    stored = materialise(given, "pieces")
     n = stored.count()
     groups, level = max(1, -(-n // group)), 0
-    packed = materialise(_packed(stored, "length", ["_row"], groups, capacity, level), "packed")
+    packed = materialise(_packed(stored, names["length"], ["_row"], groups, capacity, level), "packed")
     open_ = packed.select("bin", "used").distinct()
     moves = None
     while groups > 1:

@@ -58,6 +58,16 @@ def test_documents(documents, library):
     assert P.pack_documents(documents([]), WORD_VOCABULARY).collect() == []
 
 
+def test_any_columns_are_carried(spark):
+    df = spark.createDataFrame([(i, 300 + i % 5, "a", "b", "c", "d", "e", "f") for i in range(50)], "id long, length int, offset string, bin string, used string, _row string, item string, sequence_id string")
+    got = P.pack(df, 1024, group=20, fan_in=2)
+    assert sorted(got.columns) == sorted(["id", "length", "bin", "used", "_row", "item", "sequence_id", "offset"])
+    rows = got.collect()
+    check(rows, 1024)
+    assert {r.bin + r.used + r._row + r.item for r in rows} == {"bcde"} and len(rows) == 50
+    assert P.pack(df.filter("false"), 1024).collect() == []
+
+
 @pytest.mark.parametrize("kind", ["mixed", "small", "large", "equal"])
 def test_tree_packs_nearly_as_well_as_one_group(spark, kind):
     rng = np.random.default_rng(4)
