@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -85,7 +85,8 @@ def half_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 SIGNATURES = pa.schema([
-    ("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("halves", pa.list_(pa.int64())),
+    ("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()),
+    ("halves", pa.list_(pa.int64())),
 ])
 
 
@@ -102,7 +103,8 @@ def _signatures(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         keys = np.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], dtype="S16")
         keys = np.frombuffer(keys.tobytes().ljust(16 * len(sets), b"\0"), np.int64).reshape(-1, 2)
         columns = [[len(s) for s in sets], keys[:, 0].copy(), keys[:, 1].copy(), halves]
-        yield pa.record_batch([part["doc_id"], *[pa.array(c, f.type) for c, f in zip(columns, list(SIGNATURES)[1:], strict=True)]], schema=SIGNATURES)
+        given = [part[c] for c in ("doc_id", "t1", "t2")]
+        yield pa.record_batch([*given, *[pa.array(c, f.type) for c, f in zip(columns, list(SIGNATURES)[3:], strict=True)]], schema=SIGNATURES)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -224,35 +226,46 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     are judged by themselves: their component is null and they are kept. Repeated rows come back as often as they stand
     there, all with the same result. Other columns are not read; an empty table gives no rows.
     """
-    source = docs.select(F.col(id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
+    return _judged(docs, id, text).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _text_keys(text: str) -> list[Column]:
+    return [F.xxhash64(F.lit(i), text_or_empty(text)).alias(f"t{i}") for i in (1, 2)]
+
+
+def _judged(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """``near_duplicates`` with ``t1, t2``, which name the text of a row."""
+    signed = docs.select(F.col(id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"), *_text_keys(text))
+    source = signed.select("doc_id", "text")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from _signatures(batch)
 
-    rows = materialise(source.mapInArrow(sign, from_arrow_schema(SIGNATURES)), "signatures")
+    rows = materialise(signed.mapInArrow(sign, from_arrow_schema(SIGNATURES)), "signatures")
     linked = rows.filter("n > 0 and doc_id is not null")
-    classes = materialise(
-        linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("halves").alias("halves")), "classes"
-    )
+    # A class has a number of its own, as an id may stand for several texts; the written table fixes it.
+    grouped = linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("halves").alias("halves"))
+    classes = materialise(grouped.withColumn("rep", F.monotonically_increasing_id()), "classes")
     links = materialise(links_of(source, classes), "links")
     named = components(links)
-    smallest = named.groupBy("label").agg(F.min("node").alias("component_id"))
+    ids = classes.select(F.col("rep").alias("node"), "first")
+    smallest = named.join(ids, "node").groupBy("label").agg(F.min("first").alias("component_id"))
     of_rep = materialise(named.join(smallest, "label").select(F.col("node").alias("rep"), "component_id"), "groups")
     of_class = materialise(
-        classes.select("k1", "k2", "rep").join(of_rep, "rep", "left").select("k1", "k2", F.coalesce("component_id", "rep").alias("component_id")), "named"
+        classes.select("k1", "k2", "rep", "first").join(of_rep, "rep", "left").select("k1", "k2", F.coalesce("component_id", "first").alias("component_id")), "named"
     )
-    plain = rows.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2")
+    plain = rows.select("doc_id", "t1", "t2", F.col("n").alias("n_shingles"), "k1", "k2")
     joined = plain.filter("n_shingles > 0 and doc_id is not null").join(of_class, ["k1", "k2"])
     alone = plain.filter("n_shingles = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
-    columns = ("doc_id", "n_shingles", "component_id")
+    columns = ("doc_id", "t1", "t2", "n_shingles", "component_id")
     return joined.select(*columns).unionByName(alone.select(*columns)).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def links_of(source: DataFrame, classes: DataFrame) -> DataFrame:
     """Verified links ``a, b`` between classes: enough of them to connect what is linked."""
     clusters = components(candidate_edges(classes), "clusters").select(F.col("node").alias("rep"), F.col("label").alias("cluster"))
-    members = materialise(clusters.join(classes.select("rep", "n", "k1", "k2"), "rep"), "members")
+    members = materialise(clusters.join(classes.select("rep", "first", "n", "k1", "k2"), "rep"), "members")
     sizes = members.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum("n").alias("total")).select(
         "cluster", F.greatest(F.ceil(F.col("rows") / CHUNK_ROWS), F.ceil(F.col("total") / CHUNK_SHINGLES)).cast("int").alias("chunks"), "rows", "total"
     )
@@ -261,8 +274,8 @@ def links_of(source: DataFrame, classes: DataFrame) -> DataFrame:
     small = sizes.filter("chunks = 1").agg(F.sum("rows").alias("rows"), F.sum("total").alias("total")).first()
     bins = max(1, -(-(small["rows"] or 0) // CHUNK_ROWS), -(-(small["total"] or 0) // CHUNK_SHINGLES))
     placed = members.join(sizes.drop("rows", "total"), "cluster").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    placed = materialise(placed.select("rep", "k1", "k2", "cluster", "chunks", "chunk"), "placed")
-    texts = source.withColumnRenamed("doc_id", "rep").join(broadcast_if_small(placed, max_rows=200_000), "rep")
+    placed = materialise(placed.select("rep", F.col("first").alias("doc_id"), "k1", "k2", "cluster", "chunks", "chunk"), "placed")
+    texts = source.join(broadcast_if_small(placed, max_rows=200_000), "doc_id")
     schema = pa.schema([
         ("rep", pa.int64()), ("cluster", pa.int64()), ("chunks", pa.int32()), ("chunk", pa.int32()), ("shingles", pa.large_binary()),
     ])
@@ -290,7 +303,14 @@ def links_of(source: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
-    dropped = near_duplicates(docs, id, text).filter(~F.col("kept")).select("doc_id").distinct()
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns, whatever their names.
+
+    A row is judged by its id and its text: where one id stands for several texts, only those in a component with a smaller id go. Rows that repeat an id
+    and a text stay or go together. Null ids, null and empty texts stay; an empty table gives no rows.
+    """
+    dropped = _judged(docs, id, text).filter(~F.col("kept")).select("doc_id", "t1", "t2").distinct()
     dropped = broadcast_if_small(materialise(dropped, "dropped"), max_rows=200_000)
-    return docs.join(dropped.withColumnRenamed("doc_id", "_dropped"), F.col(id) == F.col("_dropped"), "left_anti")
+    columns = [F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)]
+    marked = docs.select(*columns, F.col(id).cast("long").alias("doc_id"), *_text_keys(text))
+    kept = marked.join(dropped, ["doc_id", "t1", "t2"], "left_anti")
+    return kept.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -69,6 +69,14 @@ def test_null_ids_repeated_rows_and_empty_tables(documents):
     assert sorted(str(r.doc_id) for r in left.collect()) == ["2", "9", "None", "None"]
 
 
+def test_a_clean_row_of_a_dropped_id_stays(documents):
+    a, b = " ".join(f"w{i}" for i in range(80)), " ".join(f"v{i}" for i in range(80))
+    docs = documents([(1, a), (5, a + " end"), (5, b), (6, b + " end")]).selectExpr("*", "'x' AS _dropped", "'x' AS t1", "'x' AS _c0", "'x' AS component_id")
+    left = M.keep_one(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [(1, a), (5, b)]
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     order = random.Random(1).sample(range(n), n)
