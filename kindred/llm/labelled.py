@@ -37,7 +37,8 @@ def labelled_sample(
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = [known.filter(F.col("label") == c).orderBy(*order).limit(per_class) for c in (0, 1)]
     few = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * per_class rows of two numbers
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(few, "doc_id")
+    # An id that stands in very many rows gives each of its texts once.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(few, "doc_id").distinct()
     size = F.sum(F.length("text") + 1).over(
         Window.partitionBy("label").orderBy(*order, "text").rowsBetween(Window.unboundedPreceding, 0)
     )

@@ -167,14 +167,18 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` whose text is not rejected, with all their columns."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of ``docs`` whose text is not rejected, with all their columns, whatever their names.
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
+    Null and empty texts are scored like any other; ids are not read, so null ones and repeated rows are kept or rejected by
+    their texts. Without labels every score is 0.5 and nothing is kept. An empty table gives no rows.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
+    def score(texts: pa.Array) -> pa.Array:
         only_cache("quality", lambda: None)
-        return pd.Series(held.value.score(texts.tolist()))
+        out = np.empty(len(texts))
+        for at in range(0, len(texts), BLOCK):
+            out[at : at + BLOCK] = held.value.score(texts.slice(at, BLOCK).to_pylist())
+        return pa.array(out)
 
-    return docs.filter(score(text_or_empty()) >= THRESHOLD)
+    return docs.filter(F.arrow_udf(score, "double")(text_or_empty()) >= THRESHOLD)

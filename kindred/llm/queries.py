@@ -146,7 +146,8 @@ def op7_secret_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
-    return scored.withColumn("n_offending", F.size("offending")).drop("offending")
+    spans = F.array_join(F.transform("offending", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return scored.withColumn("n_offending", F.size("offending")).withColumn("offending", spans)
 
 
 @query("op9_residual_packing")

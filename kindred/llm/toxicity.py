@@ -152,6 +152,11 @@ class Model:
         return found
 
 
+    def strongest(self, text: str) -> list[tuple[int, int, float]]:
+        """The one sentence that adds most, the first of equals; none without words."""
+        return sorted(self.locate(text, -1.0), key=lambda s: -s[2])[:1]
+
+
 MODULUS, REMAINDER = 5, 0
 THRESHOLD = 0.5
 SCORES = pa.schema([
@@ -168,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, score, predicted, offending`` of every row; only the text decides.
 
-    ``offending`` has the sentences that reach the threshold on their own, for documents that are predicted toxic. Null counts as
+    ``offending`` has the sentences that reach the threshold on their own, for documents that are predicted toxic; where weaker ones only sum up, the strongest. Null counts as
     empty; repeated rows come back as often as they stand there; a null id is not held out. Without labels of both classes all
     scores are nearly the share of toxic labels.
     """
@@ -180,7 +185,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         for cell in batch["text"]:
             text = cell.as_py()
             scores.append(model.score(text))
-            found = model.locate(text) if scores[-1] >= THRESHOLD else []
+            found = (model.locate(text) or model.strongest(text)) if scores[-1] >= THRESHOLD else []
             places.append([{"start": a, "end": b, "score": p} for a, b, p in found])
         return pa.record_batch([batch["doc_id"], pa.array(scores, pa.float64()), pa.array(places, SCORES.field("offending").type)], schema=SCORES)
 

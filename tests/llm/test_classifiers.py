@@ -37,8 +37,9 @@ def test_toxicity_on_held_out_rows_and_its_sentences(spark):
     assert all(zlib.crc32(str(i).encode()) % 5 == 0 for i in held.doc_id)
     texts = {r.doc_id: r.text for r in docs.join(spark.createDataFrame([(int(i),) for i in held.doc_id[held.predicted == 1]], "doc_id long"), "doc_id").collect()}
     for row in held[held.predicted == 1].itertuples():
+        assert len(row.offending) > 0
         for place in row.offending:
-            assert not set(texts[row.doc_id][place["start"] : place["end"]]) & set(".!?\n") and place["score"] >= 0.5
+            assert not set(texts[row.doc_id][place["start"] : place["end"]]) & set(".!?\n") and (place["score"] >= 0.5 or len(row.offending) == 1)
 
 
 def examples(rng, n=120):
@@ -58,6 +59,15 @@ def test_blame_settles_on_the_sentence():
     assert model.score("abcde. " * 5000) < 0.5  # a long text is no evidence
 
 
+def test_weak_sentences_that_sum_up_show_the_strongest():
+    model = toxicity.Model()
+    model.features, model.bias = {"bad": 1.4, "two": 0.1}, -2.0
+    text = "one bad. two bad. three bad"
+    assert model.score(text) > 0.5 and model.locate(text) == []
+    assert [text[a:b] for a, b, _ in model.strongest(text)] == ["two bad"]
+    assert model.strongest("") == model.strongest("...") == []
+
+
 def test_noisy_or_is_that_of_the_sentences():
     model = toxicity.Model()
     model.features, model.bias = {"bad": 3.0, "worse": 4.0}, -2.0
@@ -93,6 +103,19 @@ def test_rows_that_need_a_defined_result(spark, documents, module):
     assert score(documents([]), module.train(documents([]), labels)).collect() == []
 
 
+def test_rejection_reads_texts_only(spark, documents):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], LABELS)
+    rows = [(i, "Some words, as usual. " * 9 if i % 2 else "####!!! 00 ###") for i in range(40)] + [(None, "Some words, as usual."), (50, None), (51, ""), (1, "###")]
+    docs = documents(rows).selectExpr("*", *[f"'x' AS {c}" for c in ("_c0", "held_out", "predicted")])
+    model = quality.train(docs, labels)
+    want = sorted(str((i, t)) for i, t in rows if model.score([t or ""])[0] >= quality.THRESHOLD)
+    left = quality.keep_good(docs, model)
+    assert left.columns == docs.columns and 0 < len(want) < len(rows)
+    assert sorted(str((r.doc_id, r.text)) for r in left.collect()) == want
+    assert quality.keep_good(docs, quality.train(docs, spark.createDataFrame([], LABELS))).collect() == []
+    assert quality.keep_good(documents([]), model).collect() == []
+
+
 def test_samples_are_bounded_and_leave_out_contradictions(spark, documents):
     rows = [(i, f"text {i}") for i in range(50)] + [(60, "y" * 400)]
     marks = [(i, i % 2, 0) for i in range(50)] + [(60, 1, 0), (7, 0, 0)]

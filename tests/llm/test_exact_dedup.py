@@ -65,6 +65,12 @@ def test_keys_that_clash_are_replaced(documents):
     assert sorted(got, key=str) == brute(rows)
 
 
+def test_columns_of_any_name_are_carried(documents):
+    docs = documents([(1, "a  b"), (2, "a b"), (3, None)]).selectExpr("*", *[f"'x' AS {c}" for c in ("_id", "_sha", "_c0", "keep_id", "text_sha256")])
+    left = E.keep_distinct(docs)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 3]
+
+
 def test_empty_table(documents):
     assert E.exact_dedup(documents([])).collect() == []
     assert E.keep_distinct(documents([])).collect() == []

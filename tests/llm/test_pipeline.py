@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 import corpus_pipeline as C
 from kindred.llm import quality, secrets
 from kindred.llm.common import materialise, table
@@ -42,6 +44,25 @@ def test_stages(spark):
     assert {r.doc_id for r in outputs[4]} == set(inputs[4])
 
 
+@pytest.mark.parametrize("rows", [[], [(None, None), (None, "same text"), (1, "same text"), (1, "same text"), (2, ""), (3, "w " * 200_000), (4, None)]])
+def test_stages_on_odd_rows(spark, documents, rows):
+    """Every stage takes nulls, repeats, long texts, no rows and columns of any name; all but the last keep the columns."""
+    docs = documents(rows).selectExpr("*", *[f"'x' AS {c}" for c in ("_clean", "_dropped", "_sha", "_id", "_c0", "_text", "t1", "component_id", "sequence_id")])
+    for name, stage in C.STAGES:
+        out = materialise(stage(spark, docs, SF), "odd")
+        given = {(r.doc_id, r.text) for r in docs.collect()}
+        if name == "packing":
+            assert {r.doc_id for r in out.collect()} == {i for i, _ in given}
+            continue
+        assert out.columns == docs.columns
+        left = [(r.doc_id, r.text) for r in out.collect()]
+        assert set(left) <= given
+        if name == "exact dedup":
+            assert len({t or "" for _, t in left}) == len(left) == len({t or "" for _, t in given})
+        # Stages that dropped all would leave nothing to try the others on.
+        docs = out if name != "quality" else docs
+
+
 def test_run_and_registration(spark):
     from __spark_entry__ import oracle_sql, queries
 

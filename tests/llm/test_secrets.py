@@ -162,6 +162,17 @@ def test_redaction(documents):
     assert got == {1: ("a [SECRET] b", 12), 2: (None, None), 3: ("clean", 5), 4: ("[SECRET]\" end", 13), None: ("", 0)}
 
 
+def test_redaction_of_odd_rows(documents):
+    rows = [(None, "password=abcdefgh12"), (1, None), (2, ""), (3, "password=abcdefgh12"), (3, "password=abcdefgh12"), (4, "w " * 100_000)]
+    docs = documents(rows).selectExpr("*", *[f"'x' AS {c}" for c in ("_clean", "_text", "_c0")])
+    got = S.redact(docs, S.Model())
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text, r.n_chars) for r in got.collect()), key=str) == sorted(
+        [(None, "[SECRET]", 8), (1, None, None), (2, "", 0), (3, "[SECRET]", 8), (3, "[SECRET]", 8), (4, "w " * 100_000, 200_000)], key=str
+    )
+    assert S.redact(documents([]), S.Model()).collect() == []
+
+
 def test_real_documents(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     rows = {r.doc_id: r.text for r in docs.collect()}
