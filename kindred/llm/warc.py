@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from kindred.llm.common import materialise, via_arrow
-from kindred.operators.scale_out import scratch_path
+from kindred.operators.scale_out import broadcast_if_small, scratch_path
 
 SEGMENT_BYTES = 32 << 10
 CHUNK_BYTES = 8 << 10
@@ -27,6 +27,8 @@ CHUNK_BYTES = 8 << 10
 REVISIT_BYTES = 1000
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
+# Names of archives that are compressed as a whole, so that Spark does not split them.
+WHOLE = r"\.(gz|gzip|zst|zstd|lz4|snappy|deflate)$"
 
 
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
@@ -66,9 +68,11 @@ def _head(kind: str, record_id: str, length: int, **fields: object) -> bytes:
     return ("\r\n".join([*lines, f"Content-Length: {length}"]) + END).encode()
 
 
-def records_of(page_id: int | None, url: str | None, payload: bytes, refers_to: str | None, segment_bytes: int) -> Iterator[bytes]:
+def records_of(
+    page_id: int | None, url: str | None, payload: bytes, refers_to: str | None, segment_bytes: int, copy: int | None = None
+) -> Iterator[bytes]:
     """The records of a page: a revisit, a response, or a response in segments."""
-    record_id = page_record_id(page_id, hashlib.sha1(payload).hexdigest())
+    record_id = page_record_id(page_id, hashlib.sha1(payload).hexdigest(), copy)
     target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "") or None
     named = {"WARC_Target_URI": target, "WARC_Payload_Digest": _digest(payload)}
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -90,33 +94,52 @@ def records_of(page_id: int | None, url: str | None, payload: bytes, refers_to:
         yield _head("continuation", f"{record_id}:{n}", len(part), **more) + part
 
 
-def page_record_id(page_id: int | None, digest: str) -> str:
-    return f"urn:page:{'' if page_id is None else page_id}:{digest}"
+def page_record_id(page_id: int | None, digest: str, copy: int | None = None) -> str:
+    return f"urn:page:{'' if page_id is None else page_id}:{digest}" + ("" if copy is None else f":copy{copy}")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``copy``: null, but a number of their own for all but the first of those that repeat an id and a payload."""
+    keys = [F.col("page_id"), F.xxhash64("payload").alias("x1"), F.xxhash64(F.lit(1), "payload").alias("x2")]
+    repeated = materialise(rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated")
+    single = F.lit(None).cast("long").alias("copy")
+    if repeated.isEmpty():
+        return rows.select("*", single)
+    same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("_x1") == F.xxhash64("payload")) & (F.col("_x2") == F.xxhash64(F.lit(1), "payload"))
+    key = broadcast_if_small(repeated.select(F.col("page_id").alias("_page"), F.col("x1").alias("_x1"), F.col("x2").alias("_x2")))
+    # The written table fixes the numbers.
+    copies = materialise(rows.join(key, same).withColumn("copy", F.monotonically_increasing_id()), "copies")
+    first = copies.groupBy("_page", "_x1", "_x2").agg(F.min("copy").alias("first")).select(F.col("first").alias("_first"))
+    first = broadcast_if_small(first, computed=True)
+    alone = rows.join(key, same, "left_anti").select("*", single)
+    later = copies.join(first, F.col("copy") == F.col("_first"), "left")
+    return alone.unionByName(later.select(*rows.columns, F.when(F.col("_first").isNull(), F.col("copy")).alias("copy")))
 
 
 def write_archives(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", payload: str = "html", segment_bytes: int = SEGMENT_BYTES) -> None:
     """Write one record per page below ``path``; null payloads are empty.
 
     Of the pages with equal payloads of at least ``REVISIT_BYTES`` the one with the largest id is the response and the
-    others revisit it. A null id counts as the smallest.
+    others revisit it. A null id counts as the smallest. Rows that repeat an id and a payload have a record each; a revisit refers to the first of them.
     """
     rows = pages.select(
         F.col(id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
         F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"),
-    ).withColumn("same", F.when(F.octet_length("payload") >= REVISIT_BYTES, F.sha2("payload", 256)))
+    )
+    rows = _numbered(rows).withColumn("same", F.when(F.octet_length("payload") >= REVISIT_BYTES, F.sha2("payload", 256)))
     groups = materialise(
         rows.filter("same is not null").groupBy("same").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
         .filter("n > 1").drop("n"), "payloads",
     )
     joined = rows.join(groups, "same", "left").select(
-        "page_id", "url", "payload", (F.col("same").isNull() | F.col("page_id").eqNullSafe(F.col("keeper")) | F.col("keeper").isNull()).alias("own"), "keeper"
+        "page_id", "url", "payload", (F.col("same").isNull() | F.col("page_id").eqNullSafe(F.col("keeper")) | F.col("keeper").isNull()).alias("own"), "keeper", "copy"
     )
 
     def build(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for page_id, address, data, own, keeper in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for page_id, address, data, own, keeper, copy in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             refers = None if own else page_record_id(keeper, hashlib.sha1(data).hexdigest())
-            out += records_of(page_id, address, data, refers, segment_bytes)
+            out += records_of(page_id, address, data, refers, segment_bytes, copy)
         return pa.record_batch([pa.array(out, pa.large_binary())], schema=pa.schema([("value", pa.large_binary())]))
 
     lines = via_arrow(joined, build, pa.schema([("value", pa.large_binary())]))
@@ -189,12 +212,25 @@ class Parser:
         return None if self.head is None else self._finish("the archive ends inside the record")
 
 
+def _least_split(spark: SparkSession) -> int:
+    """Bytes of a file up to which Spark never splits it."""
+    size = lambda key: spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(f"spark.sql.files.{key}"))
+    return min(size("maxPartitionBytes"), size("openCostInBytes"))
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the archives below ``path``; broken ones have an ``error``."""
+    """All records of the archives below ``path``; broken ones have an ``error``.
+
+    Archives are read where they lie, line by line. Those that Spark may split, which are large and not compressed as a whole, are brought together
+    first: the lines of one meet in one task, sorted by their place, and pass through it one after another.
+    """
     lines = spark.read.option("lineSep", "\n").text(path).select(
-        F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("at"),
+        F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"),
     )
+    splits = (F.col("size") > _least_split(spark)) & ~F.col("file").rlike(WHOLE)
+    whole = lines.filter(~splits).select("line", "file")
+    split = lines.filter(splits).repartition("file").sortWithinPartitions("file", "at", "n").select("line", "file")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser, file, found, size = Parser(), None, [], 0
@@ -214,7 +250,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         found += [last] if last else []
         yield pa.RecordBatch.from_pylist(found, schema=RECORD)
 
-    return lines.mapInArrow(parse, from_arrow_schema(RECORD))
+    schema = from_arrow_schema(RECORD)
+    return whole.mapInArrow(parse, schema).unionByName(split.mapInArrow(parse, schema))
 
 
 def reassemble(records: DataFrame) -> DataFrame:
@@ -282,7 +319,7 @@ def payloads(records: DataFrame) -> DataFrame:
 def digests(read: DataFrame) -> DataFrame:
     """Per page ``page_id, payload_bytes, payload_digest, record_type, refers_to``, from payloads of its own or of the response it revisits.
 
-    Rows that repeat an id and a payload have one record id and come back once. Records with an ``error`` end the job:
+    One row per record, so one per page written, also where pages repeat an id and a payload. Records with an ``error`` end the job:
     an archive that was just written must be whole.
     """
     sound = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("broken record: "), F.coalesce("record_id", F.lit("?")), F.lit(" "), "error")))
@@ -301,7 +338,11 @@ def digests(read: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
-    """Write ``pages`` as archives in the shared folder, read them back and return ``digests``."""
+    """Write ``pages`` as archives in the shared folder, read them back and return ``digests``: a row per page.
+
+    Null payloads are empty, null ids stay null and count as the smallest, repeated rows come back as often as they stand there. Other columns are not
+    read. An empty table gives no rows.
+    """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write_archives(pages, path, **options)

@@ -10,7 +10,7 @@ from kindred.llm import warc as W
 
 
 def brute(rows):
-    data = {(i, (h or "").encode()) for i, _, h in rows}
+    data = [(i, (h or "").encode()) for i, _, h in rows]
     out = []
     for i, payload in data:
         ids = [x for x, p in data if p == payload and x is not None]
@@ -35,6 +35,37 @@ def test_round_trip(spark):
         assert got == brute(rows)
 
 
+def test_repeated_rows_have_records_of_their_own(spark, tmp_path):
+    long = "p" * 1500
+    rows = [(1, "a", "x"), (1, "a", "x"), (1, "b", "x"), (None, "a", ""), (None, "a", None), (None, "b", None), (5, "u", long), (5, "u", long), (5, "v", long), (4, "u", long), (4, "u", long)]
+    got = sorted((tuple(r) for r in W.round_trip(pages(spark, rows)).collect()), key=str)
+    assert got == brute(rows) and len(got) == len(rows)
+    W.write_archives(pages(spark, rows), str(tmp_path / "w"))
+    records = W.read_records(spark, str(tmp_path / "w")).collect()
+    assert len({r.record_id for r in records}) == len(rows)
+    ids = {r.record_id for r in records if r.type == "response"}
+    assert {r.refers_to for r in records if r.type == "revisit"} <= ids
+
+
+def test_an_archive_that_spark_splits(spark, tmp_path):
+    blocks = [bytes([97 + i % 26]) * (i * 37 % 5000) + b"\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\n" * (i % 3) for i in range(300)]
+    data = b"".join(record("resource", f"r{i}", b) for i, b in enumerate(blocks))
+    (tmp_path / "one.warc").write_bytes(data)
+    (tmp_path / "two.warc.gz").write_bytes(gzip.compress(data.replace(b"<r", b"<z")))
+    keys = ("spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        for k in keys:
+            spark.conf.set(k, "20000")
+        assert spark.read.text(str(tmp_path / "one.warc")).rdd.getNumPartitions() > 10
+        got = W.read_records(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)
+    assert all(r.error is None for r in got)
+    assert {r.record_id: bytes(r.block) for r in got} == {f"{x}{i}": b for i, b in enumerate(blocks) for x in "rz"} and len(got) == 600
+
+
 def test_empty_table(spark):
     assert W.round_trip(pages(spark, [])).collect() == []
 
