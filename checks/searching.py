@@ -10,9 +10,8 @@ from checks import sql as S
 from checks.frame import rounded
 from checks.registry import Registry
 from kindred.functions import correlation as C
-from kindred.operators import ranking, scaling
+from kindred.operators import lsh, ranking, scaling
 from kindred.operators import store as feature_store
-from kindred.operators.lsh import approximate_join, approximate_neighbours, approximate_search, planes
 from kindred.operators.measures import failures, is_comparable
 from kindred.operators.pairing import QUERY, pair, query_points
 from kindred.operators.scale_out import materialise, running_total
@@ -186,42 +185,71 @@ def d6_chroma_lengths(spark, sf):
     return _correlated(spark, sf, C.chroma_correlation)
 
 
-def _bucket(alias: str, feature: str, dim: int, table: int, width: float) -> str:
-    cell = (lambda i: f"{alias}.{feature}[{i + 1}]") if feature != "mfcc" else (lambda i: f"{alias}.{('m1', 'm2', 'c11', 'c12', 'c22')[i]}")
-    terms = " + ".join(f"{cell(i)} * ({p!r}::double)" for i, p in enumerate(planes(dim, table + 1)[table]))
-    return f"floor((0.0::double + {terms}) / {width!r}::double)"
+# Cell widths of about 1.7 deviations of the projections, and the share of the rows that a query is held against.
+_RP_WIDTH, _MFCC_WIDTH, _SHARE, _SEARCH_SHARE = 0.21, 5.8, 0.2, 0.3
 
 
-def _shared(feature: str, dim: int, tables: int, width: float) -> str:
-    return "(" + " or ".join(f"{_bucket('s', feature, dim, t, width)} = {_bucket('q', feature, dim, t, width)}" for t in range(tables)) + ")"
+def _shared(feature: str, dim: int, source: str, width: float) -> list[str]:
+    """CTE ``shared_<feature>``: in how many tables a row stands in a bucket that the query asks."""
+    vector = f"s.{feature}" if feature != "mfcc" else "[s.m1, s.m2, s.c11, s.c12, s.c22]"
+    bits = lambda what: f"('0x' || substr(md5('{lsh.SEED}:' || i || ':' || {what}), 1, 8))::bigint"
+    return [
+        f"""planes_{feature} as (select i, list(v order by j) as plane, {bits("'offset'")} / 4294967296::double as off
+            from (select i, j, {bits('j')} / 2147483648::double - 1 as v from range({lsh.TABLES * lsh.PER_TABLE}) a(i), range({dim}) b(j)) group by i)""",
+        f"""cells_{feature} as (select id, i, floor(y) as c, floor(y) + case when y - floor(y) < 0.5 then -1 else 1 end as near from (
+            select s.id, i, list_dot_product({vector}, plane) / sqrt(list_dot_product(plane, plane)) / {width}::double + off as y
+            from {source} s, planes_{feature}))""",
+        f"""shared_{feature} as (select query_id, id, count(*) as shared from (
+            select q.id as query_id, s.id, s.i // {lsh.PER_TABLE} as t from cells_{feature} s join cells_{feature} q using (i)
+            where q.id in (select id from queries) and (s.c = q.c or s.c = q.near) group by all having count(*) = {lsh.PER_TABLE}) group by all)""",
+    ]
+
+
+def _candidates(shared: str, source: str, share: float) -> str:
+    """CTE ``candidates``: whole levels of shared tables within a share of the rows, and the first level."""
+    return f"""candidates as (select query_id, id from (
+        select *, count(*) over (partition by query_id order by shared desc) as upto, max(shared) over (partition by query_id) as most from {shared})
+        where upto <= {share} * (select count(*) from {source}) or shared = most)"""
 
 
-# Widths of about a fifth of the deviation of the projections, so that no bucket of the fixture has a tenth of the rows.
-_RP_WIDTH, _MFCC_WIDTH = 0.025, 2.0
+_RP_INDEX = [S.VEC, *_shared("rp", 40, "vec", _RP_WIDTH)]
+_PAIRS = f"select p.query_id, s.id, round({S.euclid('rp')}, 6) + 0.0 as distance from {{}} p join vec s on s.id = p.id join vec q on q.id = p.query_id"
+_FIFTIETH = "queries as (select vec_id as id from embeddings where vec_id % 50 = 0)"
 
 
-@check("d11_lsh_neighbours", _ONE + f"""select s.id, round({S.euclid('rp')}, 6) + 0.0 as distance from vec s, vec q
-where q.id = 0 and {_shared('rp', 40, 4, _RP_WIDTH)} order by {S.euclid('rp')}, s.id limit 10""")
+@check("d11_lsh_neighbours", S.with_(S.QUERY_ZERO, *_RP_INDEX, _candidates("shared_rp", "vec", _SHARE)) + f"""
+select id, distance from ({_PAIRS.format('candidates')} order by {S.euclid('rp')}, s.id limit 10)""")
 def d11_lsh_neighbours(spark, sf):
-    return rounded(approximate_neighbours(I.vec(spark, sf), 0, "rp", k=10, bucket_length=_RP_WIDTH, hash_tables=4))
+    return rounded(lsh.approximate_neighbours(I.vec(spark, sf), 0, "rp", k=10, bucket_length=_RP_WIDTH, share=_SHARE))
 
 
-@check("d12_lsh_join", S.with_(S.VEC, S.QUERY_LIST) + f"""select q.id as query_id, s.id, round({S.euclid('rp')}, 6) + 0.0 as distance
-from vec s, vec q where q.id in (select id from queries) and {S.euclid('rp')} < 1.0 and {_shared('rp', 40, 2, _RP_WIDTH)}""")
+@check("d12_lsh_join", S.with_(S.QUERY_LIST, *_RP_INDEX) + _PAIRS.format("shared_rp") + f" where {S.euclid('rp')} < 8.0")
 def d12_lsh_join(spark, sf):
     table = I.vec(spark, sf)
     points = table.join(I.query_list(spark, sf), "id", "left_semi")
-    return rounded(approximate_join(table, points, "rp", threshold=1.0, bucket_length=_RP_WIDTH, hash_tables=2))
+    return rounded(lsh.approximate_join(table, points, "rp", threshold=8.0, bucket_length=_RP_WIDTH))
+
+
+@check("d12_lsh_join_close", S.with_(_FIFTIETH, *_RP_INDEX, _candidates("shared_rp", "vec", _SHARE)) + _PAIRS.format("candidates")
+       + f" where {S.euclid('rp')} < 0.9")
+def d12_lsh_join_close(spark, sf):
+    table = I.vec(spark, sf)
+    return rounded(lsh.approximate_join(table, table.filter("id % 50 = 0"), "rp", threshold=0.9, bucket_length=_RP_WIDTH, share=_SHARE))
 
 
-@check("p8_lsh_search", S.with_(S.FEATURES) + f"""select query_id, id, {S.rounded(['mfcc', 'rp', 'notes'], 'scaled_')},
+@check("p8_lsh_search", S.with_(
+    S.FEATURES, S.QUERY_ZERO, *_shared("mfcc", 5, "store", _MFCC_WIDTH), *_shared("rp", 40, "store", _RP_WIDTH),
+    "together as (select query_id, id, sum(shared) as shared from (from shared_mfcc union all from shared_rp) group by all)",
+    _candidates("together", "store", _SEARCH_SHARE),
+) + f"""select query_id, id, {S.rounded(['mfcc', 'rp', 'notes'], 'scaled_')},
 round((scaled_mfcc + scaled_rp + scaled_notes) / 3, 6) + 0.0 as aggregated from (select query_id, id,
 {', '.join(f"(d_{n} - min(d_{n}) over ()) / nullif(max(d_{n}) over () - min(d_{n}) over (), 0) as scaled_{n}" for n in ('mfcc', 'rp', 'notes'))}
-from (select 0::bigint as query_id, s.id, {S.MFCC} as d_mfcc, {S.euclid('rp')} as d_rp, {S.LEVENSHTEIN} as d_notes
-from store s, store q where q.id = 0 and {_shared('mfcc', 5, 8, _MFCC_WIDTH)} and {_shared('rp', 40, 8, _MFCC_WIDTH)}))""")
+from (select p.query_id, s.id, {S.MFCC} as d_mfcc, {S.euclid('rp')} as d_rp, {S.LEVENSHTEIN} as d_notes
+from candidates p join store s on s.id = p.id join store q on q.id = p.query_id))""")
 def p8_lsh_search(spark, sf):
     table = feature_store.gather([I.vec(spark, sf), I.notes(spark, sf), I.gauss(spark, sf)])
-    return rounded(approximate_search(table, 0, approximate=("mfcc", "rp"), exact=("notes",), bucket_length=_MFCC_WIDTH, hash_tables=8))
+    widths = {"mfcc": _MFCC_WIDTH, "rp": _RP_WIDTH}
+    return rounded(lsh.approximate_search(table, 0, ("mfcc", "rp"), ("notes",), widths, share=_SEARCH_SHARE))
 
 
 # --- gathering ---------------------------------------------------------------------------------
