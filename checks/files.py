@@ -15,7 +15,7 @@ from kindred.functions import ids
 from kindred.operators.pairing import QUERY
 from kindred.operators.scale_out import broadcast_if_small, scratch_path
 from kindred.plans import search as plans
-from kindred.sources import catalogue, feature_files as files, tables
+from kindred.sources import catalogue, feature_files as files, growing_store, tables
 
 check = Registry()
 
@@ -142,10 +142,13 @@ def s7_malformed(spark, sf):
 _BAD_NOTES = "case id % 4 when 0 then '[1, 12]' when 1 then '[x, 3]' when 2 then '[-1]' else '[1.5]' end"
 
 
-@check("s7_rejects", S.with_(S.VEC) + """select 'notes' as file_type, 'music/' || class || '/Songno' || id || 'livemp3' as id, 'bad values' as reason from vec where id % 3 = 0
-union all select 'chroma', 'music/' || class || '/Songno' || id || 'livemp3', 'bad values' from vec where id % 5 = 0
-union all select 'rp', 'music/' || class || '/Songno' || id || 'livemp3', 'bad values' from vec where id % 7 = 0
-union all select 'bh', '', 'no id' from vec where id % 11 = 0""")
+_LINE = "'music/' || class || '/Song no. ' || id || ', live.mp3'"
+
+
+@check("s7_rejects", S.with_(S.VEC) + f"""select 'notes' as file_type, {_ID}, 'bad values' as reason, {_LINE} || '; G; minor; ' || {_BAD_NOTES} as line from vec where id % 3 = 0
+union all select 'chroma', {_ID}, 'bad values', {_LINE} || case when id % 2 = 0 then '; [[0.5, 0.5]]' else '; []' end from vec where id % 5 = 0
+union all select 'rp', {_ID}, 'bad values', replace({_LINE}, ',', '') || ',0.1,oops' from vec where id % 7 = 0
+union all select 'bh', '', 'no id', '; 120; [1, 2]' from vec where id % 11 = 0""")
 def s7_rejects(spark, sf):
     """Bad lines among good ones, in every kind of file that is checked in its own way."""
     vec, root = I.vec(spark, sf), scratch_path(spark, "rejects")
@@ -161,7 +164,34 @@ def s7_rejects(spark, sf):
     }
     for kind, line in files_of.items():
         vec.select(line.alias("value")).write.text(f"{root}/features0/out0.{kind}")
-    return files.load_rejects(spark, root)
+    return files.load_rejects(spark, root).select("file_type", "id", "reason", "line")
+
+
+@check("j8_incremental", S.with_(S.VEC) + f"""select {_ID}, case when id % 3 = 0 then 1 else 2 end as version, (120 + id)::double as bpm,
+printf('%.6f', rp[40])::double as last, (select count(*) from vec) as items, true as only_once from vec""")
+def j8_incremental(spark, sf):
+    """Files come in two lots, the chroma of every third item with the second; the third build finds nothing new, whole and half copies change nothing."""
+    vec, root = I.vec(spark, sf), scratch_path(spark, "growing")
+    path, name, store = _path(), F.translate(_path(), ",", ""), scratch_path(spark, "grown")
+    values = lambda x: F.array_join(F.transform(x, lambda v: F.format_string("%.6f", v)), ", ")
+    lines = {
+        "rp": F.concat(name, F.lit(","), values("rp")), "rh": F.concat(name, F.lit(","), values("rh")),
+        "bh": F.concat(path, F.lit("; "), (F.col("id") + 120).cast("string"), F.lit("; ["), values("bh"), F.lit("]")),
+        "notes": F.concat(path, F.lit("; G; minor; [0, 11]")), "mfcckl": F.concat(path, F.lit("; [1]; [[2]]")),
+        "chroma": F.concat(path, F.lit("; [["), F.array_join(F.array_repeat(F.lit("0.5"), 24), ", "), F.lit("]]")),
+    }
+    first, late = vec.filter("id % 3 < 2"), vec.filter("id % 3 = 2")
+    for kind, line in lines.items():
+        (first if kind != "chroma" else vec.filter("id % 3 = 0")).select(line.alias("value")).write.text(f"{root}/features0/out0.{kind}")
+    growing_store.extend(spark, root, store)
+    for kind, line in lines.items():
+        lot = late if kind != "chroma" else vec.filter("id % 3 > 0")
+        lot.unionByName(vec.filter("id % 6 = 0")).select(line.alias("value")).write.text(f"{root}/features1/out0.{kind}")
+    growing_store.extend(spark, root, store)
+    found = growing_store.extend(spark, root, store)
+    return found.rows.select(
+        "id", "version", "bpm", F.element_at("rp", 40).alias("last"), F.lit(found.items).alias("items"), F.lit(found.unique).alias("only_once"),
+    )
 
 
 @check("s8_vectors", S.with_(S.VEC) + "select id, len(rp) as n, round(rp[40], 6) + 0.0 as last from vec")

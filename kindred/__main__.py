@@ -10,11 +10,12 @@ import argparse
 from pyspark.sql import functions as F
 
 from kindred.functions.ids import normalise
-from kindred.operators.lsh import approximate_search
-from kindred.operators.store import gather
+from kindred.operators.lsh import EUCLIDEAN, approximate_search
+from kindred.operators.store import Catalogue, gather
 from kindred.plans import search as plans
 from kindred.session import session
-from kindred.sources.feature_files import load_rejects, load_tables
+from kindred.sources.feature_files import load_tables
+from kindred.sources.growing_store import extend, open_catalogue, rejects
 from kindred.sources.tables import write_results
 
 SERVED = {
@@ -38,23 +39,24 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
         parser.error("a stored catalogue is gathered; separate tables are read from --root")
     if options.songs == ["build"] and not options.store:
         parser.error("build needs --store")
-    if options.strategy == "lsh" and (len(options.songs) > 1 or options.features != "all"):
-        parser.error("lsh takes one song and its own features")
+    named = plans.SUBSETS.get(options.features, options.features.split("+"))
+    if options.strategy == "lsh" and not any(n in EUCLIDEAN for n in named):
+        parser.error(f"lsh needs one of {', '.join(EUCLIDEAN)}")
     return options
 
 
 def catalogue(spark, options: argparse.Namespace):
     """The gathered store, from its folder or from the feature files."""
-    if options.store and options.songs != ["build"]:
-        return spark.read.parquet(options.store)
+    if options.store:
+        return open_catalogue(spark, options.store) or spark.read.parquet(options.store)
     tables = load_tables(spark, options.root)
     return gather([tables[t] for t in ("chroma", "mfcckl", "notes", "rp", "rh", "bh")], distinct=True)
 
 
 def build(spark, options: argparse.Namespace) -> None:
-    """Parse once: the store sorted by id, and beside it the lines that could not be used."""
-    catalogue(spark, options).repartitionByRange("id").sortWithinPartitions("id").write.parquet(options.store)
-    load_rejects(spark, options.root).write.parquet(f"{options.store.rstrip('/')}-rejects")
+    """Parse the files that the store does not hold yet, each once; beside it stand the lines that could not be used."""
+    extend(spark, options.root, options.store)
+    rejects(spark, options.store).write.mode("overwrite").parquet(f"{options.store.rstrip('/')}-rejects")
 
 
 def run(spark, options: argparse.Namespace):
@@ -76,8 +78,12 @@ def run(spark, options: argparse.Namespace):
     elif options.strategy == "prefilter":
         result = plans.prefilter(store, queries, features=features)
     elif options.strategy == "lsh":
-        song = queries.first()["id"]
-        result = approximate_search(store, song, ("mfcc", "rp"), ("notes",))
+        # Of all distances the three of the recorded approximate search, if no others are named.
+        named = "notes_mfcc_rp" if features == "all" else features
+        named = plans.SUBSETS[named] if isinstance(named, str) else named
+        close = [n for n in named if n in EUCLIDEAN]
+        rows = store.rows if isinstance(store, Catalogue) else store
+        result = approximate_search(rows, queries, close, [n for n in named if n not in close])
     if result is not None:
         return result if options.top is None else plans.top_k(result, options.top, None).orderBy("query_id", *plans.order_columns())
     return plans.search(store, queries, features, k=options.top)

@@ -3,12 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+@dataclass(frozen=True)
+class Catalogue:
+    """``rows`` of a store and what is known about them; ``unique`` says that no id occurs twice."""
+
+    rows: DataFrame
+    unique: bool
+    items: int
+    dimensions: dict[str, int]
+
+
 def one_copy(table: DataFrame) -> DataFrame:
     """Drop whole-row copies; rows are compared by id and two hashes of their content."""
     content = [F.xxhash64(*table.columns), F.hash(*table.columns)]

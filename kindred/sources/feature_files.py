@@ -6,6 +6,7 @@ failing the job; ``accepted`` drops it and ``load_rejects`` lists it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,9 +23,16 @@ _RECORD = rf"^(.*?\.(?:{'|'.join(EXTENSIONS)}))\s*[;,](.*)$"
 
 
 def read_lines(spark: SparkSession, pattern: str, min_partitions: int | None = None) -> DataFrame:
-    """Text lines of all files that match a glob; many small files are packed into few splits."""
-    lines = spark.read.text(pattern)
-    return lines if min_partitions is None else lines.repartition(min_partitions)
+    """Text lines of all files that match a glob; many small files are packed into few splits.
+
+    ``min_partitions`` is a least number: lines are dealt out anew only if the scan has fewer splits.
+    """
+    return _at_least(spark.read.text(pattern), min_partitions)
+
+
+def _at_least(lines: DataFrame, min_partitions: int | None) -> DataFrame:
+    enough = min_partitions is None or lines.rdd.getNumPartitions() >= min_partitions
+    return lines if enough else lines.repartition(min_partitions)
 
 
 def numbers(text: Column) -> Column:
@@ -43,23 +51,24 @@ def accepted(parsed: DataFrame, vector: str) -> DataFrame:
     return parsed.filter(_usable(parsed, vector))
 
 
-def parse_vectors(lines: DataFrame, name: str) -> DataFrame:
-    """``id,v1,..,vn`` with optional ``b'..'`` wrapping."""
+def parse_vectors(lines: DataFrame, name: str, keep: Sequence[str] = ()) -> DataFrame:
+    """``id,v1,..,vn`` with optional ``b'..'`` wrapping. Here and below, ``keep`` names columns of the lines that stay."""
     fields = F.split("value", ",")
     values = F.transform(F.slice(fields, 2, F.greatest(F.size(fields) - 1, F.lit(0))),
                          lambda x: unwrap_bytes(x).try_cast("double"))
-    return lines.select(normalise(unwrap_bytes(F.get(fields, F.lit(0)))).alias("id"), values.alias(name))
+    return lines.select(normalise(unwrap_bytes(F.get(fields, F.lit(0)))).alias("id"), values.alias(name), *keep)
 
 
-def parse_beats(lines: DataFrame) -> DataFrame:
+def parse_beats(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """``id; bpm; [values]``"""
     parts = F.split("value", ";")
     return lines.select(
-        normalise(F.get(parts, F.lit(0))).alias("id"), F.trim(F.get(parts, F.lit(1))).try_cast("double").alias("bpm"), numbers(F.get(parts, F.lit(2))).alias("bh")
+        normalise(F.get(parts, F.lit(0))).alias("id"), F.trim(F.get(parts, F.lit(1))).try_cast("double").alias("bpm"), numbers(F.get(parts, F.lit(2))).alias("bh"),
+        *keep,
     )
 
 
-def parse_notes(lines: DataFrame) -> DataFrame:
+def parse_notes(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """``id; key; scale; [0..11, ..]``, one letter per note; notes are null if one of them is not a number from 0 to 11."""
     parts = F.split("value", ";")
     values = numbers(F.get(parts, F.lit(3)))
@@ -67,31 +76,31 @@ def parse_notes(lines: DataFrame) -> DataFrame:
     letters = F.transform(values, lambda n: F.substring(F.lit(NOTE_LETTERS), n.cast("int") + 1, F.lit(1)))
     return lines.select(
         normalise(F.get(parts, F.lit(0))).alias("id"), F.trim(F.get(parts, F.lit(1))).alias("key"), F.trim(F.get(parts, F.lit(2))).alias("scale"),
-        F.when(whole, F.array_join(letters, "")).alias("notes"),
+        F.when(whole, F.array_join(letters, "")).alias("notes"), *keep,
     )
 
 
-def parse_records(lines: DataFrame) -> DataFrame:
+def parse_records(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Mixed-delimiter records: the id ends at an audio extension, the rest is ``body``."""
     return lines.select(
         normalise(F.regexp_extract("value", _RECORD, 1)).alias("id"),
-        F.regexp_replace(F.regexp_extract("value", _RECORD, 2), r"\s", "").alias("body"),
+        F.regexp_replace(F.regexp_extract("value", _RECORD, 2), r"\s", "").alias("body"), *keep,
     )
 
 
-def parse_gaussians(lines: DataFrame) -> DataFrame:
+def parse_gaussians(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """``id; [mean]; [[covariance]]``: n values hold d means and d x d covariances, n = d + d * d."""
     values = numbers(F.translate("body", ";", ","))
     dim = F.round((F.sqrt(4 * F.size("all") + 1) - 1) / 2).cast("int")
-    parsed = parse_records(lines).select("id", values.alias("all"))
+    parsed = parse_records(lines, keep).select("id", values.alias("all"), *keep)
     return parsed.select(
-        "id", F.slice("all", F.lit(1), dim).alias("mean"), F.slice("all", dim + 1, F.size("all") - dim).alias("cov")
+        "id", F.slice("all", F.lit(1), dim).alias("mean"), F.slice("all", dim + 1, F.size("all") - dim).alias("cov"), *keep
     )
 
 
-def parse_compact_timbre(lines: DataFrame) -> DataFrame:
+def parse_compact_timbre(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """``id; [mean]; [var]; [upper covariance]`` as one vector."""
-    return parse_records(lines).select("id", numbers(F.translate("body", ";", ",")).alias("mfcc"))
+    return parse_records(lines, keep).select("id", numbers(F.translate("body", ";", ",")).alias("mfcc"), *keep)
 
 
 def is_chroma(body: Column) -> Column:
@@ -113,42 +122,54 @@ def parse_query_list(lines: DataFrame) -> DataFrame:
     return lines.select(normalise(F.split_part("value", F.lit(":"), F.lit(1))).alias("id"))
 
 
-def load_tables(spark: SparkSession, root: str, min_partitions: int | None = None) -> dict[str, DataFrame]:
-    """All feature tables below ``root``: ``features<n>/out<n>.<type>``."""
+# The file types of a catalogue, and the vector that a usable line must have.
+FILE_TYPES = {"rp": "rp", "rh": "rh", "bh": "bh", "notes": "notes", "chroma": "chroma", "mfcckl": "cov"}
+
+
+def parsed_lines(lines: DataFrame, file_type: str) -> DataFrame:
+    """Every line (``value``) of a ``file`` once: ``id`` and its features, ``usable``, and for the others the ``reason`` and the ``line`` itself."""
+    keep = ["value", "file"]
+    if file_type == "chroma":
+        rows = parse_records(lines, keep).select("id", F.when(is_chroma(F.col("body")), numbers(F.col("body"))).alias("chroma"), *keep)
+    elif file_type in ("rp", "rh"):
+        rows = parse_vectors(lines, file_type, keep)
+    else:
+        parsers = {"bh": parse_beats, "notes": parse_notes, "mfcckl": parse_gaussians, "mfcc": parse_compact_timbre}
+        rows = parsers[file_type](lines, keep)
+    if file_type == "notes":
+        usable = F.coalesce((F.col("id") != "") & F.col("notes").isNotNull(), F.lit(False))
+    else:
+        usable = _usable(rows, FILE_TYPES.get(file_type, file_type))
+    reason = F.when(F.coalesce(F.col("id"), F.lit("")) == "", F.lit("no id")).otherwise(F.lit("bad values"))
+    return rows.select(
+        *[c for c in rows.columns if c not in keep], usable.alias("usable"), F.when(~usable, reason).alias("reason"),
+        F.when(~usable, F.col("value")).alias("line"), "file",
+    )
+
 
-    parsed = _parsed(spark, root, min_partitions)
-    return {name: rows.filter(usable) for name, (rows, usable) in parsed.items()}
+def load_tables(
+    spark: SparkSession, root: str, min_partitions: int | None = None, compact: bool = False, brackets: bool = False
+) -> dict[str, DataFrame]:
+    """All feature tables below ``root``: ``features<n>/out<n>.<type>``.
+
+    ``compact`` adds the compact timbre files, ``mfcc``. ``brackets`` drops ``[ ]`` from the ids as well.
+    """
+    found = {}
+    for name in [*FILE_TYPES, *(["mfcc"] if compact else [])]:
+        rows = _all_lines(spark, root, name, min_partitions).filter("usable").drop("usable", "reason", "line", "file")
+        found[name] = rows.withColumn("id", normalise(F.col("id"), brackets=True)) if brackets else rows
+    return found
 
 
 def load_rejects(spark: SparkSession, root: str, min_partitions: int | None = None) -> DataFrame:
-    """What ``load_tables`` leaves out: ``file_type, id, reason`` of every line that could not be used."""
+    """What ``load_tables`` leaves out: ``file_type, id, reason, line, file`` of every line that could not be used."""
     parts = [
-        rows.filter(~usable).select(
-            F.lit(name).alias("file_type"), "id",
-            F.when(F.coalesce(F.col("id"), F.lit("")) == "", F.lit("no id")).otherwise(F.lit("bad values")).alias("reason"),
-        )
-        for name, (rows, usable) in _parsed(spark, root, min_partitions).items()
+        _all_lines(spark, root, name, min_partitions).filter(~F.col("usable")).select(F.lit(name).alias("file_type"), "id", "reason", "line", "file")
+        for name in FILE_TYPES
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
-def _parsed(spark: SparkSession, root: str, min_partitions: int | None) -> dict[str, tuple[DataFrame, Column]]:
-    """All lines of each file type, parsed, and whether a row can be used."""
-
-    def lines(extension: str) -> DataFrame:
-        return read_lines(spark, f"{root}/features[0-9]*/out[0-9]*.{extension}", min_partitions)
-
-    def with_vector(rows: DataFrame, vector: str) -> tuple[DataFrame, Column]:
-        return rows, _usable(rows, vector)
-
-    notes = parse_notes(lines("notes"))
-    chroma = parse_records(lines("chroma"))
-    chroma = chroma.select("id", F.when(is_chroma(F.col("body")), numbers(F.col("body"))).alias("chroma"))
-    return {
-        "rp": with_vector(parse_vectors(lines("rp"), "rp"), "rp"),
-        "rh": with_vector(parse_vectors(lines("rh"), "rh"), "rh"),
-        "bh": with_vector(parse_beats(lines("bh")), "bh"),
-        "notes": (notes, F.coalesce((F.col("id") != "") & F.col("notes").isNotNull(), F.lit(False))),
-        "chroma": with_vector(chroma, "chroma"),
-        "mfcckl": with_vector(parse_gaussians(lines("mfcckl")), "cov"),
-    }
+def _all_lines(spark: SparkSession, root: str, file_type: str, min_partitions: int | None) -> DataFrame:
+    lines = spark.read.text(f"{root}/features[0-9]*/out[0-9]*.{file_type}").select("value", F.col("_metadata.file_path").alias("file"))
+    return parsed_lines(_at_least(lines, min_partitions), file_type)

@@ -13,11 +13,19 @@ FILE_BYTES = 128 << 20
 
 
 def compact(spark: SparkSession, pattern: str, path: str, file_bytes: int = FILE_BYTES) -> None:
-    """Rewrite many small text files as files of about ``file_bytes``; as many tasks write as there are files to be."""
-    sizes = spark.read.format("binaryFile").load(pattern).agg(F.sum("length").alias("bytes")).first()["bytes"] or 0
-    lines = spark.read.text(pattern)
-    files = max(1, -(-sizes // file_bytes))
-    (lines.coalesce(files) if files == 1 else lines.repartition(files)).write.text(path)
+    """Rewrite many small text files as files of about ``file_bytes``.
+
+    The scan packs small files and cuts large ones to splits of that size, and each is written as one file: no line is shuffled.
+    """
+    wanted = {"maxPartitionBytes": str(file_bytes), "openCostInBytes": "0", "minPartitionNum": "1"}
+    before = {k: spark.conf.get(f"spark.sql.files.{k}", None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(f"spark.sql.files.{k}", v)
+        spark.read.text(pattern).write.text(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(f"spark.sql.files.{k}") if v is None else spark.conf.set(f"spark.sql.files.{k}", v)
 
 
 def write_header_csv(vectors: DataFrame, name: str, path: str) -> None:

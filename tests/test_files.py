@@ -1,12 +1,14 @@
 """Feature files with their dirty cases, class files and the command line."""
 
+import shutil
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kindred.__main__ import arguments, build, run
 from kindred.functions import ids
-from kindred.sources import catalogue, feature_files as files, tables
+from kindred.sources import catalogue, feature_files as files, growing_store, tables
 
 
 def lines(spark, *text):
@@ -70,6 +72,27 @@ def test_malformed_chroma_goes_to_the_rejects(spark):
     assert {r.id for r in bad.collect()} == {"emp3", "bmp3", "cmp3", ""}
 
 
+def test_compaction_and_the_partition_hint_need_no_shuffle(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(40):
+        (tmp_path / "in" / f"out{i}.rh").write_text("".join(f"{i},{j}\n" for j in range(400)))
+    (tmp_path / "in" / "out99.rh").write_text("".join(f"99,{j}\n" for j in range(20_000)))
+    before = {k: spark.conf.get(f"spark.sql.files.{k}", None) for k in ("maxPartitionBytes", "openCostInBytes", "minPartitionNum")}
+    sizes = [p.stat().st_size for p in (tmp_path / "in").iterdir()]
+    tables.compact(spark, str(tmp_path / "in" / "*.rh"), str(tmp_path / "out"), file_bytes=16_000)
+    written = [p.stat().st_size for p in (tmp_path / "out").glob("part-*")]
+    assert sum(written) == sum(sizes) and max(written) <= 16_100 and len(written) <= 2 * sum(sizes) / 16_000
+    assert before == {k: spark.conf.get(f"spark.sql.files.{k}", None) for k in before}
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == sorted(
+        [f"{i},{j}" for i in range(40) for j in range(400)] + [f"99,{j}" for j in range(20_000)]
+    )
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    n = files.read_lines(spark, str(tmp_path / "out")).rdd.getNumPartitions()
+    assert "Exchange" not in plan(files.read_lines(spark, str(tmp_path / "out"), n))
+    more = files.read_lines(spark, str(tmp_path / "out"), n + 5)
+    assert "Exchange" in plan(more) and more.rdd.getNumPartitions() == n + 5
+
+
 def test_query_list(spark):
     got = files.parse_query_list(lines(spark, "music/A b.mp3     :       3", "music/c.mp3"))
     assert [r.id for r in got.collect()] == ["music/Abmp3", "music/cmp3"]
@@ -171,7 +194,42 @@ def test_a_stored_catalogue_gives_the_same_answers(spark, songs, tmp_path):
         assert stored == from_files and len(stored) == (2 if "--top" in extra else len(stored))
 
 
-@pytest.mark.parametrize("options", [["build"], ["a", "--store", "x", "--strategy", "separate"], ["a", "b", "--strategy", "lsh"]])
+def test_a_store_grows_by_new_files_only(spark, songs, tmp_path):
+    root, store = tmp_path / "songs", str(tmp_path / "store")
+    shutil.copytree(f"{songs}/features0", root / "features0")
+    first = growing_store.extend(spark, str(root), store)
+    assert (first.items, first.unique, first.dimensions["rp"], first.rows.count()) == (3, True, 1440, 3)
+    before = sorted(p.name for p in (tmp_path / "store").iterdir())
+    assert growing_store.extend(spark, str(root), store).items == 3  # no new file, nothing written
+    assert sorted(p.name for p in (tmp_path / "store").iterdir()) == before
+    shutil.copytree(f"{songs}/features1", root / "features1", ignore=shutil.ignore_patterns("*.bh"))
+    assert growing_store.extend(spark, str(root), store).items == 3  # nothing is complete without bh
+    # A build that was cut off leaves a version without facts; the next one writes over it.
+    shutil.copytree(tmp_path / "store/version=1", tmp_path / "store/version=3")
+    shutil.copy(f"{songs}/features1/out0.bh", root / "features1" / "out0.bh")
+    grown = growing_store.extend(spark, str(root), store)
+    assert grown.items == 5 and grown.rows.count() == 5 and grown.unique
+    assert {r.id for r in grown.rows.filter("version = 3").collect()} == {f"music/Class1/Song{i}no1mp3" for i in (0, 1)}
+    bad = growing_store.rejects(spark, store).collect()
+    assert [(r.file_type, r.id, r.reason, r.line) for r in bad] == [("chroma", "music/Class1/Song2no1mp3", "bad values", "music/Class 1/Song 2, no. 1.mp3; []")]
+    assert bad[0].file.endswith("features1/out0.chroma")
+    at_once = growing_store.extend(spark, songs, str(tmp_path / "other"))
+    columns = [c for c in grown.rows.columns if c != "version"]
+    assert sorted(map(str, at_once.rows.select(columns).collect())) == sorted(map(str, grown.rows.select(columns).collect()))
+    with pytest.raises(FileNotFoundError):
+        growing_store.extend(spark, str(tmp_path / "nowhere"), store)
+
+
+def test_an_unreadable_line_is_parsed_once_and_compact_timbre_is_loaded(spark, songs, tmp_path):
+    root = tmp_path / "songs"
+    shutil.copytree(songs, root)
+    (root / "features0" / "out0.mfcc").write_text("music/[x] a.mp3; [1.0, 2.0]; [3.0]; [4.0]\nbroken\n")
+    found = files.load_tables(spark, str(root), compact=True, brackets=True)["mfcc"].collect()
+    assert [(r.id, r.mfcc) for r in found] == [("music/xamp3", [1.0, 2.0, 3.0, 4.0])]
+    assert "mfcc" not in files.load_tables(spark, str(root))
+
+
+@pytest.mark.parametrize("options", [["build"], ["a", "--store", "x", "--strategy", "separate"], ["a", "--strategy", "lsh", "--features", "chroma+notes"]])
 def test_options_that_do_not_fit_are_refused(options):
     with pytest.raises(SystemExit):
         arguments(options)
