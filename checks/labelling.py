@@ -9,7 +9,7 @@ from checks import sql as S
 from checks.frame import rounded
 from checks.registry import Registry
 from kindred.functions import ids
-from kindred.operators import classify, labels as L
+from kindred.operators import classify, labels as L, linear_models
 from kindred.operators.scale_out import running_total, scratch_path
 from kindred.operators.store import concatenate
 
@@ -164,6 +164,33 @@ def c13_label_cross_validation(spark, sf):
     return scores.select("label", F.col("accuracy").between(0, 1).alias("is_share"))
 
 
+@check("c13_stratified_folds", _VEC + """select class, fold, count(*) as n from (
+select class, ((row_number() over (partition by class order by id) - 1) % 4)::int as fold from vec) group by all""")
+def c13_stratified_folds(spark, sf):
+    dealt = linear_models.stratified_folds(I.vec(spark, sf).select("id", "class"), "class", 4, by=["id"])
+    return dealt.groupBy("class", "fold").agg(F.count("*").alias("n"))
+
+
+def _separable(spark, sf):
+    """Vectors that one component tells apart by class, whatever the other forty say."""
+    own = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: F.when(c == F.col("class"), 2.0).otherwise(0.0))
+    return I.vec(spark, sf).select("id", "class", F.concat(own, "rp").alias("x"))
+
+
+@check("c12_separable", _VEC + "select count(*) as scored, count(*) as right from vec")
+def c12_separable(spark, sf):
+    """Any linear model that is trained right knows all rows of a separable table."""
+    rows = _separable(spark, sf)
+    models = linear_models.train_together(rows, "x", "class", iterations=40)
+    found = linear_models.predict_together(models, rows, "x")
+    return found.agg(F.count("*").alias("scored"), F.count_if(F.col("predicted") == F.col("class")).alias("right"))
+
+
+@check("c13_separable", "select unnest(range(3))::int as fold, 1.0::double as accuracy")
+def c13_separable(spark, sf):
+    return classify.cross_validate(_separable(spark, sf), "x", "class", folds=3, iterations=40)
+
+
 @check("c14_saved_model", _VEC + "select count(*) as scored, 0::bigint as changed from vec")
 def c14_saved_model(spark, sf):
     """Predictions before and after saving, row by row."""

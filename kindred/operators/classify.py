@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -12,6 +11,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindred.operators.linear_models import measures_of, predict_together, stratified_folds, train_together
+from kindred.operators.scale_out import materialise
+
 
 def standardise(rows: DataFrame, feature: str) -> DataFrame:
     """Zero mean and unit population deviation per dimension; a constant dimension becomes 0.
@@ -74,14 +76,19 @@ def cross_validate(
     rows: DataFrame, feature: str, label: str, folds: int = 10, iterations: int = 50, measure: str = "accuracy",
     fold_of: Column | None = None,
 ) -> DataFrame:
-    """``measure`` per fold; folds come from a hash of the id, so a retry sees the same split, or from ``fold_of``."""
-    cut = rows.withColumn("_fold", F.pmod(F.xxhash64("id"), F.lit(folds)) if fold_of is None else fold_of)
-    evaluator = MulticlassClassificationEvaluator(labelCol="label_code", predictionCol="prediction", metricName=measure)
-    scores = []
-    for fold in range(folds):
-        model = train(cut.filter(F.col("_fold") != fold), feature, label, iterations)
-        held_out = _prepared(cut.filter(F.col("_fold") == fold), feature, label)
-        scores.append((fold, float(evaluator.evaluate(model.transform(held_out)))))
+    """``measure`` per fold (accuracy, f1, weightedPrecision or weightedRecall).
+
+    Folds are dealt within each class, see ``stratified_folds``, or come from ``fold_of``. The models of all classes and folds are trained together.
+    """
+    cut = stratified_folds(rows, label, folds, name="_fold") if fold_of is None else rows.withColumn("_fold", fold_of)
+    cut = materialise(cut.select("id", feature, label, "_fold"), "folds")
+    models = train_together(cut, feature, label, "_fold", folds, iterations)
+    judged = predict_together(models, cut, feature, "_fold").filter(F.col("predicted").isNotNull() & F.col(label).isNotNull())
+    counts: dict[int, dict] = {f: {} for f in range(folds)}
+    # At most a row for every fold and pair of classes.
+    for r in judged.groupBy("_fold", F.col(label).alias("true"), "predicted").count().collect():
+        counts[r["_fold"]][r["true"], r["predicted"]] = r["count"]
+    scores = [(f, measures_of(c)[measure]) for f, c in counts.items() if c]
     return rows.sparkSession.createDataFrame(scores, f"fold int, `{measure}` double")
 
 

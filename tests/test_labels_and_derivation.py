@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators import classify, derive, evaluate, labels
+from kindred.operators import classify, derive, evaluate, labels, linear_models
 
 
 def test_classes_from_ids(spark):
@@ -70,6 +70,67 @@ def test_classifier_learns_saves_and_checks_dimensions(spark, tmp_path):
     assert len(folds) == 2 and all(r.accuracy > 0.8 for r in folds)
 
 
+@pytest.fixture(scope="module")
+def points(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(4, 6)) * 2
+    data = [(i, (centres[i % 4] + rng.normal(size=6)).tolist(), f"class {i % 4}") for i in range(400)]
+    return spark.createDataFrame(data, "id long, v array<double>, class string").repartition(7).cache()
+
+
+def test_folds_are_dealt_within_classes(spark, points):
+    odd = points.filter("id % 4 < 3 or id < 20").unionByName(points.filter("id = 0"))
+    dealt = linear_models.stratified_folds(odd, "class", 3)
+    assert dealt.count() == odd.count() and dealt.filter("id = 0").select("fold").distinct().count() == 1
+    counts = {}
+    for r in dealt.dropDuplicates(["id"]).groupBy("class", "fold").count().collect():
+        counts.setdefault(r["class"], {0: 0, 1: 0, 2: 0})[r.fold] = r["count"]
+    assert len(counts) == 4 and all(max(c.values()) - min(c.values()) <= 1 for c in counts.values())
+    assert linear_models.stratified_folds(odd.limit(0), "class", 3).collect() == []
+
+
+def test_all_folds_and_classes_are_trained_by_one_pass_an_iteration(spark, points):
+    """Every model ends where its loss, over the rows it may see, has no slope left."""
+    rows = points.withColumn("fold", (F.col("id") % 3).cast("int"))
+    models = linear_models.train_together(rows, "v", "class", "fold", 3, iterations=60)
+    assert models.passes == 61 and models.weights.shape == (3, 4, 6)
+    table = rows.toPandas()
+    x_all = np.array(table.v.tolist())
+    for fold in range(3):
+        x = x_all[table.fold != fold]
+        mean, std = x.mean(0), x.std(0)
+        z = (x - mean) / std
+        for c, name in enumerate(models.classes):
+            y = np.where(table["class"][table.fold != fold] == name, 1, -1)
+            w = models.weights[fold, c] * std
+            b = models.bias[fold, c] + models.weights[fold, c] @ mean
+            short = np.maximum(0, 1 - y * (z @ w + b))
+            assert np.abs(-2 * (y * short) @ z / len(y) + linear_models.REGULARISATION * w).max() < 1e-6
+            assert abs((y * short).mean()) < 1e-6
+    judged = linear_models.predict_together(models, rows, "v", "fold").toPandas()
+    margins = np.einsum("nd,ncd->nc", np.array(judged.v.tolist()), models.weights[judged.fold]) + models.bias[judged.fold]
+    assert (judged.predicted == np.array(models.classes)[margins.argmax(1)]).all()
+    scores = {r.fold: r.f1 for r in classify.cross_validate(points, "v", "class", 3, 60, "f1", (F.col("id") % 3).cast("int")).collect()}
+    for fold, part in judged.groupby("fold"):
+        by_hand = 0
+        for name in models.classes:
+            hit = ((part["class"] == name) & (part.predicted == name)).sum()
+            p, r = hit / max(1, (part.predicted == name).sum()), hit / (part["class"] == name).sum()
+            by_hand += (2 * p * r / (p + r) if p + r else 0) * (part["class"] == name).mean()
+        assert scores[fold] == pytest.approx(by_hand)
+
+
+def test_rows_that_cannot_be_learnt_from(spark, points):
+    odd = points.unionByName(spark.createDataFrame([(900, None, "class 1"), (901, [1.0], "class 1"), (902, [0.0] * 6, None)], "id long, v array<double>, class string"))
+    models = linear_models.train_together(odd, "v", "class", iterations=5)
+    same = linear_models.train_together(points, "v", "class", iterations=5)
+    assert np.allclose(models.weights, same.weights)
+    judged = {r.id: r.predicted for r in linear_models.predict_together(models, odd, "v").collect()}
+    assert judged[900] is judged[901] is None and judged[902] is not None and len(judged) == 403
+    none = linear_models.train_together(points.limit(0), "v", "class")
+    assert none.passes == 0 and {r.predicted for r in linear_models.predict_together(none, points, "v").collect()} == {None}
+
+
 def test_evaluation_by_hand(spark):
     results = spark.createDataFrame(
         [(0, 0, 0.0), (0, 1, 0.1), (0, 2, 0.2), (1, 0, 0.1), (1, 1, 0.0), (1, 2, 0.3)], "query_id int, id int, scaled_rp double")
