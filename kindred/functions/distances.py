@@ -31,3 +31,10 @@ def edit_distance(a: Column, b: Column, at_most: int | None = None) -> Column:
     """Levenshtein distance; with ``at_most`` larger distances give -1 and cost less."""
     exact = F.levenshtein(a, b) if at_most is None else F.levenshtein(a, b, at_most)
     return exact.cast("double")
+
+
+def edit_distance_within(a: Column, b: Column, limit: float) -> Column:
+    """Levenshtein distance up to ``limit``, else null. Sequences whose lengths differ by more are not compared, of the others only a band of the table is filled."""
+    most = int(limit)
+    near = F.abs(F.length(a) - F.length(b)) <= most
+    return F.when(near, F.nullif(edit_distance(a, b, most), F.lit(-1.0)))

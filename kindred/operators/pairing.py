@@ -9,7 +9,7 @@ from math import ceil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.operators.scale_out import BROADCAST_ROWS, materialise, small_keys
+from kindred.operators.scale_out import BROADCAST_BYTES, BROADCAST_ROWS, bytes_of, materialise, running_total, small_keys
 
 QUERY = "query_id"
 # Catalogue rows that one task holds against a block of queries.
@@ -53,6 +53,15 @@ def query_points(
     return QueryPoints(points, small_keys(points, QUERY, max_rows))
 
 
+def query_blocks(points: QueryPoints) -> DataFrame:
+    """``points`` with ``_block``: queries dealt so that no block has more rows or bytes than may be broadcast (a single larger query is a block of its own)."""
+    size = sum((bytes_of(f.name, f.dataType) for f in points.df.schema.fields), F.lit(0))
+    part = F.greatest(F.lit(1.0) / BROADCAST_ROWS, size / F.lit(float(BROADCAST_BYTES)))
+    sizes = running_total(points.df.select(QUERY, part.alias("_part")), [], [QUERY], F.col("_part"), "_upto")
+    block = sizes.select(QUERY, F.greatest(F.ceil(F.round("_upto", 9)), F.lit(1)).cast("int").alias("_block"))
+    return materialise(points.df.join(block, QUERY), "blocks")
+
+
 def pair(catalogue: DataFrame, points: QueryPoints, lanes: int | None = None) -> DataFrame:
     """Each catalogue row once per query.
 

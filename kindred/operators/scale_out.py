@@ -43,15 +43,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _bytes_of(value: Column | str, dtype: DataType) -> Column:
+def bytes_of(value: Column | str, dtype: DataType) -> Column:
     value = F.col(value) if isinstance(value, str) else value
     if isinstance(dtype, ArrayType):
         if isinstance(dtype.elementType, NumericType):
             return F.coalesce(F.size(value) * 8, F.lit(0))
-        sizes = F.transform(value, lambda x: _bytes_of(x, dtype.elementType).cast("long"))
+        sizes = F.transform(value, lambda x: bytes_of(x, dtype.elementType).cast("long"))
         return F.coalesce(F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0))
     if isinstance(dtype, StructType):
-        return sum((_bytes_of(value[f.name], f.dataType) for f in dtype.fields), F.lit(16))
+        return sum((bytes_of(value[f.name], f.dataType) for f in dtype.fields), F.lit(16))
     if isinstance(dtype, (StringType, BinaryType)):
         return F.coalesce(F.octet_length(value), F.lit(0)) + 16
     if isinstance(dtype, (NumericType, BooleanType, DateType, TimestampType)):
@@ -66,7 +66,7 @@ def small_keys(
 
     Reads at most ``max_rows + 1`` keys and sizes, never the rows themselves.
     """
-    size = sum((_bytes_of(f.name, f.dataType) for f in df.schema.fields), F.lit(0))
+    size = sum((bytes_of(f.name, f.dataType) for f in df.schema.fields), F.lit(0))
     rows = df.select(F.col(key).alias("key"), size.alias("bytes")).take(max_rows + 1)
     if len(rows) > max_rows or sum(r["bytes"] for r in rows) > max_bytes:
         return None
@@ -82,7 +82,7 @@ def broadcast_if_small(
     """
     df = materialise(df, "lookup") if computed else df
     head = df.limit(max_rows + 1)
-    size = sum((_bytes_of(f.name, f.dataType) for f in df.schema.fields), F.lit(0))
+    size = sum((bytes_of(f.name, f.dataType) for f in df.schema.fields), F.lit(0))
     row = head.agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).first()
     if row["n"] > max_rows or (row["bytes"] or 0) > max_bytes:
         return df

@@ -14,21 +14,28 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.operators.measures import MEASURES, features_of, is_comparable, measure, measure_block, prepare
+from kindred.operators.measures import MEASURES, features_of, is_comparable, measure, measure_block, measure_blocks, prepare
 from kindred.operators.pairing import QUERY, pair, query_points
 from kindred.operators.ranking import SUBSETS, mean_score, nearest, order_columns, top_k, weighted_score
-from kindred.operators.scale_out import broadcast_if_small, materialise
+from kindred.operators.scale_out import broadcast_if_small, materialise, small_keys
 from kindred.operators.scaling import bounds, scaled, with_bounds
-from kindred.operators.store import distinct_rows
+from kindred.operators.store import Catalogue, distinct_rows
 
 # The two recorded refinement orders.
 CHROMA_FIRST = ("chroma", "js", "skl", "mfcc", "rp", "rh", "bh", "notes")
 BH_FIRST = ("bh", "rh", "notes", "rp", "js", "skl", "mfcc", "chroma")
 
 
+def _opened(store: DataFrame | Catalogue, distinct: bool | None) -> tuple[DataFrame, bool]:
+    """The rows, and whether copies have to be looked for: not in a catalogue that is known to have none."""
+    if isinstance(store, Catalogue):
+        return store.rows, not store.unique if distinct is None else distinct
+    return store, distinct is None or distinct
+
+
 def _carried(store: DataFrame) -> list[str]:
     return [c for c in ("key", "scale", "bpm") if c in store.columns]
 
@@ -71,33 +78,38 @@ def _scaled_rows(distances: DataFrame, limits_df: DataFrame, names, carry, few)
     )
 
 
-def measured(store: DataFrame, queries: Sequence | DataFrame, names: Sequence[str]) -> tuple[DataFrame, list | None]:
+def measured(
+    store: DataFrame, queries: Sequence | DataFrame, names: Sequence[str], limits: Mapping[str, float] | None = None
+) -> tuple[DataFrame, list | None]:
     """Distances of every item to every query, and the query ids if they are few."""
     store = prepare(store, names)
     points = query_points(store, queries, features_of(names))
     if points.ids is not None:
-        return measure_block(store, points, names, _carried(store)), points.ids
-    return measure(pair(store, points), names, _carried(store)), points.ids
+        return measure_block(store, points, names, _carried(store), limits), points.ids
+    return measure_blocks(store, points, names, _carried(store), limits), points.ids
 
 
 def search(
-    store: DataFrame,
+    store: DataFrame | Catalogue,
     queries: Sequence | DataFrame,
     features: str | Sequence[str] = "all",
     weights: Mapping[str, float] | None = None,
     limits: Mapping[str, float] | None = None,
-    distinct: bool = True,
+    distinct: bool | None = None,
     k: int | None = None,
     missing: str = "drop",
 ) -> DataFrame:
     """Gathered search: one row per query and comparable item, best first.
 
+    ``distinct`` drops copies of items, which shuffles the narrow distances; it is on unless the store is a catalogue that is known to have none.
+
     ``features`` names a subset or lists distances; ``weights`` measures and fuses only the distances it names. ``limits``
     replaces the largest comparable value of a distance. ``k`` keeps the best k per query; the default keeps all.
     ``missing="keep"`` also keeps items that lack some distances and scores them over those they have.
     """
     names = _chosen(features, weights)
-    distances, few = measured(store, queries, names)
+    store, distinct = _opened(store, distinct)
+    distances, few = measured(store, queries, names, limits)
     distances = distinct_rows(distances) if distinct else distances
     cut = materialise(distances, "distances")
     complete = _usable(cut, names, limits, missing)
@@ -138,7 +150,7 @@ def search_tables(
     for table, served in tables:
         wanted = [n for n in served if n in names]
         if wanted:
-            part, ids = measured(table, queries, wanted)
+            part, ids = measured(table, queries, wanted, limits)
             # copies of an item are dropped before the join, where they would multiply
             parts.append(distinct_rows(part) if distinct else part)
             few.append(ids)
@@ -151,14 +163,18 @@ def search_tables(
     return _finish(rows, names, weights, k, known, missing)
 
 
+def is_better(name: str) -> Column:
+    d, mean = F.col(f"d_{name}"), F.col(f"mean_{name}")
+    return d > mean if MEASURES[name].similarity else d < mean
+
+
 def better_than_mean(rows: DataFrame, name: str) -> DataFrame:
     """Keep rows strictly better than the mean of their query."""
-    d, mean = F.col(f"d_{name}"), F.col(f"mean_{name}")
-    return rows.filter(d > mean if MEASURES[name].similarity else d < mean)
+    return rows.filter(is_better(name))
 
 
 def refine(
-    store: DataFrame,
+    store: DataFrame | Catalogue,
     queries: Sequence | DataFrame,
     stages: Sequence[str] = BH_FIRST,
     limits: Mapping[str, float] | None = None,
@@ -167,9 +183,12 @@ def refine(
     """Measure one distance after another, on the rows that survived the earlier cuts.
 
     Neighbouring stages that stay in the JVM are measured in one pass, as their features are small; their cuts follow on the
-    narrow table. Survivors are written, and broadcast if they are few, so that features of the catalogue are not shuffled.
+    narrow table, which is written once: of few queries, the bounds of a cut come to the driver and go into the next one as a few numbers. Survivors that are few
+    are looked up in the scan, where a store sorted by id is read in part only; otherwise they are broadcast if they are small, so that features of the catalogue are not shuffled.
     A cut that would leave a query fewer than ``min_candidates`` rows is not made.
     """
+    store, distinct = _opened(store, None)
+    once = distinct_rows if distinct else lambda df: df
     carry, store = _carried(store), prepare(store, stages)
     points = query_points(store, queries, features_of(stages))
     few = points.ids is not None
@@ -180,19 +199,27 @@ def refine(
         if survivors is None:
             pairs = pair(store.select("id", *carry, *wanted), run_points)
         else:
-            rows = store.select("id", *wanted).join(broadcast_if_small(survivors), "id")
+            rows = _survivors_of(store.select("id", *wanted), survivors)
             pairs = rows.join(F.broadcast(run_points.df) if few else run_points.df, QUERY)
-        left = materialise(distinct_rows(measure(pairs, run, [*carry, *done])), "stage")
+        left = materialise(once(measure(pairs, run, [*carry, *done], limits)), "stage")
         for name in run:
             others = [f"d_{n}" for n in run[run.index(name) + 1 :]]
             left = _cut(left.filter(is_comparable(name, limits)), name, limits, few, min_candidates)
             done.append(f"scaled_{name}")
             left = left.select(QUERY, "id", *carry, *done[:-1], *others, scaled(name))
-            left = materialise(left, "stage")
-        survivors = left
+            left = left if few else materialise(left, "stage")
+        survivors = materialise(left, "stage") if few else left
     return survivors.withColumn("aggregated", mean_score(list(stages))).orderBy(QUERY, *order_columns())
 
 
+def _survivors_of(store: DataFrame, survivors: DataFrame) -> DataFrame:
+    """The rows of the store that survived; the ids of few survivors become a filter that reaches the scan."""
+    ids = small_keys(survivors.select("id").distinct(), "id")
+    if ids is not None:
+        store = store.filter(F.col("id").isin(ids)) if ids else store.filter("false")
+    return store.join(broadcast_if_small(survivors), "id")
+
+
 def stage_runs(stages: Sequence[str]) -> list[list[str]]:
     """Neighbouring stages measured in one pass: those whose distance stays in the JVM together, others alone."""
     runs: list[list[str]] = []
@@ -206,17 +233,22 @@ def stage_runs(stages: Sequence[str]) -> list[list[str]]:
 
 def _cut(rows: DataFrame, name: str, limits, few: bool, min_candidates: int) -> DataFrame:
     """The rows better than the mean, with the bounds of all; a query that would keep too few keeps all."""
-    joined = with_bounds(rows, bounds(rows, [name], limits, with_mean=True), few)
+    limits_df = bounds(rows, [name], limits, with_mean=True)
+    if few:  # a row for each of few queries; rows are named once in the plan, so cuts may follow each other unwritten
+        limits_df = rows.sparkSession.createDataFrame(limits_df.collect(), limits_df.schema)
+    joined = with_bounds(rows, limits_df, few)
     better = better_than_mean(joined, name)
     if not min_candidates:
         return better
     enough = better.groupBy(QUERY).count().filter(F.col("count") >= min_candidates).select(QUERY)
-    enough = F.broadcast(enough) if few else enough
+    if few:
+        kept = [r[QUERY] for r in enough.collect()]
+        return joined.filter(is_better(name) | ~F.col(QUERY).isin(kept)) if kept else joined
     return better.join(enough, QUERY, "left_semi").unionByName(joined.join(enough, QUERY, "left_anti"))
 
 
 def prefilter(
-    store: DataFrame,
+    store: DataFrame | Catalogue,
     queries: Sequence | DataFrame,
     first: str = "js",
     candidates: int = 25,
@@ -230,9 +262,11 @@ def prefilter(
     """
     names = list(SUBSETS[features] if isinstance(features, str) else features)
     others = [n for n in names if n != first]
+    store, distinct = _opened(store, None)
+    once = distinct_rows if distinct else lambda df: df
     carry, store = _carried(store), prepare(store, names)
-    quick, few = measured(store.select("id", *features_of([first])), queries, [first])
-    cut = materialise(distinct_rows(quick.filter(is_comparable(first, limits))), "prefilter")
+    quick, few = measured(store.select("id", *features_of([first])), queries, [first], limits)
+    cut = materialise(once(quick.filter(is_comparable(first, limits))), "prefilter")
     ranked = with_bounds(cut, bounds(cut, [first], limits), few is not None)
     best = nearest(ranked, candidates, score=f"d_{first}", largest_first=MEASURES[first].similarity)
     best = materialise(best.select(QUERY, "id", scaled(first)), "candidates")
@@ -240,7 +274,7 @@ def prefilter(
     rows = store.select("id", *carry, *features_of(others)).join(broadcast_if_small(best), "id")
     pairs = rows.join(F.broadcast(points.df) if points.ids is not None else points.df, QUERY)
     distances = materialise(
-        distinct_rows(measure(pairs, others, [*carry, f"scaled_{first}"])), "distances"
+        once(measure(pairs, others, [*carry, f"scaled_{first}"], limits)), "distances"
     )
     complete = distances.filter(reduce(lambda a, b: a & b, [is_comparable(n, limits) for n in others]))
     rows = with_bounds(complete, bounds(distances, others, limits), few is not None).select(

@@ -1,15 +1,17 @@
 """Plans on a small store: invariants, strategies and scopes."""
 
 import re
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators import lsh, pairing, ranking, scaling
+from kindred.operators import lsh, measures, pairing, ranking, scaling
 from kindred.operators.measures import MEASURES, is_comparable
-from kindred.operators.store import distinct_rows, duplicate_ids, gather, id_consistency, write_store
+from kindred.operators.scale_out import materialise
+from kindred.operators.store import Catalogue, distinct_rows, duplicate_ids, gather, id_consistency, write_store
 from kindred.plans import search as plans
 
 ALL = ranking.SUBSETS["all"]
@@ -82,6 +84,28 @@ def test_many_queries_give_the_same_results(spark, store, monkeypatch):
         assert all(got[k]["aggregated"] == pytest.approx(want[k]["aggregated"], abs=1e-12) for k in got)
 
 
+def test_many_queries_go_block_by_block(spark, store, monkeypatch, tmp_path):
+    """Blocks of eight: each is one pass over the catalogue, without a shuffle of items or queries, and gives what one block gives."""
+    store.write.parquet(str(tmp_path / "store"))
+    store = spark.read.parquet(str(tmp_path / "store"))
+    queries = spark.createDataFrame([(i,) for i in range(30)], "id long")
+    names = ["rp", "notes", "chroma", "skl", "js"]
+    want = rows(plans.measured(store, queries, names)[0])
+    passes = []
+    one = measures.measure_block
+    for module in (pairing, measures):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 8, raising=False)
+    monkeypatch.setattr(pairing, "small_keys", lambda *_: None)
+    monkeypatch.setattr(measures, "BLOCKS_A_JOB", 3)
+    monkeypatch.setattr(measures, "measure_block", lambda store, points, *a: passes.append((len(points.ids), plan_of(df := one(store, points, *a)))) or df)
+    got = rows(plans.measured(store, queries, names)[0])
+    assert [n for n, _ in passes] == [8, 8, 8, 6]
+    assert all(plan.count("EvalPython") == 1 and "hashpartitioning" not in plan for _, plan in passes)
+    assert got.keys() == want.keys() and len(got) == 30 * N
+    assert all(got[k][c] == pytest.approx(want[k][c], nan_ok=True) for k in got for c in ("d_rp", "d_notes", "d_chroma", "d_skl", "d_js"))
+    assert plans.measured(store, spark.createDataFrame([(-1,)], "id long"), names)[0].collect() == []
+
+
 def test_joined_and_separate_agree_when_nothing_is_missing(store, tables):
     joined, separate = rows(plans.search(store, [4])), rows(plans.search_tables(served(tables), [4]))
     assert joined.keys() == separate.keys()
@@ -368,3 +392,110 @@ def test_lsh_recall_of_the_defaults(spark):
     assert np.mean([pair in met for pair in nearest]) >= 0.9
     found = {r.id for r in lsh.approximate_neighbours(vec, ids[0], "rp", 10).collect()}
     assert len(found & {i for q, i in nearest if q == ids[0]}) >= 9
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_lsh_measures_a_fifth_and_finds_nine_of_ten(spark, sf):
+    """At the registered parameters and at the defaults, over all rows with an id divisible by 50."""
+    from checks import inputs, searching
+
+    vec = inputs.vec(spark, f"/root/testdata/{sf}").cache()
+    n, points = vec.count(), vec.filter("id % 50 = 0")
+    exact = lsh.approximate_join(vec, points, "rp", float("inf"), bucket_length=1000.0).collect()
+    assert len(exact) == n * points.count()
+    nearest = {}
+    for r in sorted(exact, key=lambda r: (r.distance, r.id)):
+        nearest.setdefault(r.query_id, []).append(r.id)
+    for options in ({"bucket_length": searching._RP_WIDTH, "share": searching._SHARE}, {}):
+        met = {(r.query_id, r.id) for r in lsh.approximate_join(vec, points, "rp", float("inf"), **options).collect()}
+        assert len(met) <= 0.2 * len(exact)
+        assert np.mean([(q, i) in met for q, ids in nearest.items() for i in ids[:10]]) >= 0.9
+    wide = {(r.query_id, r.id) for r in lsh.approximate_join(vec, points, "rp", 8.0, bucket_length=searching._RP_WIDTH).collect()}
+    assert len(wide) >= 0.9 * len(exact)
+
+
+def test_lsh_search_finds_the_best_rows(spark):
+    from checks import inputs, searching
+
+    store = inputs.stored(spark, "/root/testdata/sf0.1")
+    ids = [r.id for r in store.filter("id % 100 = 0").select("id").collect()]
+    queries = spark.createDataFrame([(i,) for i in ids], "id long")
+    widths = {"mfcc": searching._MFCC_WIDTH, "rp": searching._RP_WIDTH}
+    best = {(r.query_id, r.id) for r in plans.search(store, queries, "notes_mfcc_rp", k=10).collect()}
+    for options in ({"bucket_length": widths, "share": searching._SEARCH_SHARE}, {}):
+        got = lsh.approximate_search(store, queries, ("mfcc", "rp"), ("notes",), **options)
+        found = {(r.query_id, r.id) for r in got.collect()}
+        assert len(found) <= 0.3 * store.count() * len(ids)
+        assert len(found & best) >= 0.9 * len(best)
+
+
+def test_lsh_of_equal_vectors_deals_out_the_bucket(spark, monkeypatch):
+    """A third of the rows stand in one bucket of every table; the query buckets are too many to broadcast."""
+    rng = np.random.default_rng(4)
+    same = rng.random(6).tolist()
+    rows = [(i, same if i < 100 else rng.random(6).tolist()) for i in range(300)]
+    table = spark.createDataFrame(rows, "id long, rp array<double>")
+    points = table.filter("id < 3 or id > 290")
+    few = sorted(tuple(r) for r in lsh.approximate_join(table, points, "rp", 0.5, share=0.5).collect())
+    monkeypatch.setattr(lsh, "ASKED_ROWS", 10)
+    monkeypatch.setattr(lsh, "BUCKET_ROWS", 20)
+    many = lsh.approximate_join(table, points, "rp", 0.5, share=0.5)
+    assert sorted(tuple(r) for r in many.collect()) == few
+    assert {i for q, i, _ in few if q == 0} >= set(range(100))
+
+
+def test_lsh_index_can_be_made_before(spark, store):
+    held = lsh.index(store, "rp")
+    got = lsh.approximate_neighbours(store, 3, "rp", 5, held=held).collect()
+    assert got == lsh.approximate_neighbours(store, 3, "rp", 5).collect() and got[0].id == 3
+    odd = store.select("id", "rp").unionByName(spark.createDataFrame([(900, None), (901, [1.0]), (902, [])], "id long, rp array<double>"))
+    assert {r.id for r in lsh.approximate_join(odd, odd, "rp", 9.0, bucket_length=50.0).collect()} == set(range(N))
+
+
+def test_a_catalogue_without_copies_is_not_searched_for_them(spark, store, tmp_path):
+    store.write.parquet(str(tmp_path / "store"))
+    store = spark.read.parquet(str(tmp_path / "store"))
+    known = Catalogue(store, True, N, {})
+    copies = Catalogue(store.unionByName(store.filter("id < 5")), False, N + 5, {})
+    want = rows(plans.search(store, [0]))
+    for asked in (known, copies):
+        got = rows(plans.search(asked, [0]))
+        assert got.keys() == want.keys() and all(got[k]["aggregated"] == pytest.approx(want[k]["aggregated"]) for k in got)
+    seen = []
+    for asked in (known, copies):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(plans, "materialise", lambda df, name: seen.append((asked.unique, name, plan_of(df))) or materialise(df, name))
+            plans.search(asked, [0])
+            plans.refine(asked, [0], ("bh", "rh"))
+    measured = [(unique, plan) for unique, name, plan in seen if name in ("distances", "stage") and "d_" in plan]
+    assert all("hashpartitioning" not in plan for unique, plan in measured if unique)
+    assert any("hashpartitioning" in plan for unique, plan in measured if not unique)
+
+
+def test_few_survivors_are_looked_up_in_the_scan(spark, store, tmp_path):
+    store.write.parquet(str(tmp_path / "store"))
+    read = spark.read.parquet(str(tmp_path / "store"))
+    few = store.filter("id in (3, 5)").select("id")
+    assert "In(id, [3,5])" in plan_of(plans._survivors_of(read, few))
+    assert {r.id for r in plans._survivors_of(read, few).collect()} == {3, 5}
+    assert plans._survivors_of(read, few.limit(0)).collect() == []
+
+
+def test_a_limit_of_the_edit_distance_spares_work(spark, store):
+    """Same rows as without the bound; sequences of other lengths are not compared at all, the rest within a band."""
+    longer = store.withColumn("notes", F.concat("notes", F.repeat(F.lit("A"), (F.col("id") % 10).cast("int"))))
+    limit = 9
+    plain = plans.measured(longer, [0], ["notes", "rp"])[0].filter(F.col("d_notes") <= limit).collect()
+    bounded = plans.measured(longer, [0], ["notes", "rp"], {"notes": limit})[0]
+    assert f"Some({limit})" in plan_of(bounded)
+    assert sorted(bounded.filter("d_notes is not null").collect()) == sorted(plain) and 0 < len(plain) < N
+    lengths = {r.id: len(r.notes) for r in longer.collect()}
+    assert sum(abs(n - lengths[0]) > 4 for n in lengths.values()) == N // 2
+    assert plans.measured(longer, [0], ["notes"], {"notes": 4})[0].filter("d_notes is not null").count() <= N // 2
+    for plan in (plans.search, plans.refine):
+        names = ("notes", "rp")
+        got = rows(plan(longer, [0], names, limits={"notes": limit}))
+        with pytest.MonkeyPatch.context() as m:
+            m.setitem(MEASURES, "notes", replace(MEASURES["notes"], within=None))
+            want = rows(plan(longer, [0], names, limits={"notes": limit}))
+        assert got.keys() == want.keys() and all(got[k]["aggregated"] == pytest.approx(want[k]["aggregated"]) for k in got)
