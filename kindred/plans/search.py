@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.operators.measures import MEASURES, features_of, is_comparable, measure, measure_block, measure_blocks, prepare
@@ -163,14 +163,10 @@ def search_tables(
     return _finish(rows, names, weights, k, known, missing)
 
 
-def is_better(name: str) -> Column:
-    d, mean = F.col(f"d_{name}"), F.col(f"mean_{name}")
-    return d > mean if MEASURES[name].similarity else d < mean
-
-
 def better_than_mean(rows: DataFrame, name: str) -> DataFrame:
     """Keep rows strictly better than the mean of their query."""
-    return rows.filter(is_better(name))
+    d, mean = F.col(f"d_{name}"), F.col(f"mean_{name}")
+    return rows.filter(d > mean if MEASURES[name].similarity else d < mean)
 
 
 def refine(
@@ -183,8 +179,7 @@ def refine(
     """Measure one distance after another, on the rows that survived the earlier cuts.
 
     Neighbouring stages that stay in the JVM are measured in one pass, as their features are small; their cuts follow on the
-    narrow table, which is written once: of few queries, the bounds of a cut come to the driver and go into the next one as a few numbers. Survivors that are few
-    are looked up in the scan, where a store sorted by id is read in part only; otherwise they are broadcast if they are small, so that features of the catalogue are not shuffled.
+    narrow table. Survivors are written; those that are few are looked up in the scan, where a store sorted by id is read in part only; otherwise they are broadcast if they are small, so that features of the catalogue are not shuffled.
     A cut that would leave a query fewer than ``min_candidates`` rows is not made.
     """
     store, distinct = _opened(store, None)
@@ -199,7 +194,7 @@ def refine(
         if survivors is None:
             pairs = pair(store.select("id", *carry, *wanted), run_points)
         else:
-            rows = _survivors_of(store.select("id", *wanted), survivors)
+            rows = _survivors_of(store.select("id", *wanted), survivors, few)
             pairs = rows.join(F.broadcast(run_points.df) if few else run_points.df, QUERY)
         left = materialise(once(measure(pairs, run, [*carry, *done], limits)), "stage")
         for name in run:
@@ -207,17 +202,19 @@ def refine(
             left = _cut(left.filter(is_comparable(name, limits)), name, limits, few, min_candidates)
             done.append(f"scaled_{name}")
             left = left.select(QUERY, "id", *carry, *done[:-1], *others, scaled(name))
-            left = left if few else materialise(left, "stage")
-        survivors = materialise(left, "stage") if few else left
+            left = materialise(left, "stage")
+        survivors = left
     return survivors.withColumn("aggregated", mean_score(list(stages))).orderBy(QUERY, *order_columns())
 
 
-def _survivors_of(store: DataFrame, survivors: DataFrame) -> DataFrame:
+def _survivors_of(store: DataFrame, survivors: DataFrame, few: bool = False) -> DataFrame:
     """The rows of the store that survived; the ids of few survivors become a filter that reaches the scan."""
     ids = small_keys(survivors.select("id").distinct(), "id")
-    if ids is not None:
-        store = store.filter(F.col("id").isin(ids)) if ids else store.filter("false")
-    return store.join(broadcast_if_small(survivors), "id")
+    if ids is None:
+        return store.join(broadcast_if_small(survivors), "id")
+    store = store.filter(F.col("id").isin(ids)) if ids else store.filter("false")
+    # At most 512 ids for each of at most 512 queries, a few numbers each.
+    return store.join(F.broadcast(survivors) if few else broadcast_if_small(survivors), "id")
 
 
 def stage_runs(stages: Sequence[str]) -> list[list[str]]:
@@ -233,17 +230,12 @@ def stage_runs(stages: Sequence[str]) -> list[list[str]]:
 
 def _cut(rows: DataFrame, name: str, limits, few: bool, min_candidates: int) -> DataFrame:
     """The rows better than the mean, with the bounds of all; a query that would keep too few keeps all."""
-    limits_df = bounds(rows, [name], limits, with_mean=True)
-    if few:  # a row for each of few queries; rows are named once in the plan, so cuts may follow each other unwritten
-        limits_df = rows.sparkSession.createDataFrame(limits_df.collect(), limits_df.schema)
-    joined = with_bounds(rows, limits_df, few)
+    joined = with_bounds(rows, bounds(rows, [name], limits, with_mean=True), few)
     better = better_than_mean(joined, name)
     if not min_candidates:
         return better
     enough = better.groupBy(QUERY).count().filter(F.col("count") >= min_candidates).select(QUERY)
-    if few:
-        kept = [r[QUERY] for r in enough.collect()]
-        return joined.filter(is_better(name) | ~F.col(QUERY).isin(kept)) if kept else joined
+    enough = F.broadcast(enough) if few else enough
     return better.join(enough, QUERY, "left_semi").unionByName(joined.join(enough, QUERY, "left_anti"))
 
 
