@@ -467,7 +467,8 @@ def test_a_catalogue_without_copies_is_not_searched_for_them(spark, store, tmp_p
             m.setattr(plans, "materialise", lambda df, name: seen.append((asked.unique, name, plan_of(df))) or materialise(df, name))
             plans.search(asked, [0])
             plans.refine(asked, [0], ("bh", "rh"))
-    measured = [(unique, plan) for unique, name, plan in seen if name in ("distances", "stage") and "d_" in plan]
+    # Not the cuts of refining, whose bounds meet by query.
+    measured = [(unique, plan) for unique, name, plan in seen if name in ("distances", "stage") and "min_" not in plan]
     assert all("hashpartitioning" not in plan for unique, plan in measured if unique)
     assert any("hashpartitioning" in plan for unique, plan in measured if not unique)
 
