@@ -10,6 +10,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import fsum
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ register_pickle_by_value(sys.modules[__name__])
 REGULARISATION = 0.01
 # Buffers that reach the driver, steps that shape the next one, and classes at most.
 BUFFERS, MEMORY, MOST_CLASSES = 32, 8, 10_000
+# Rows whose margins by all models are held at once, whatever the size of a batch.
+PORTION = 500
 
 
 def stratified_folds(rows: DataFrame, label: str, folds: int, by: list[str] | None = None, name: str = "fold") -> DataFrame:
@@ -89,22 +92,18 @@ class _Search:
         self.direction, self.step = way, 1.0 if self.history else min(1.0, 1 / max(float(np.linalg.norm(slope)), 1e-12))
 
 
-def _batch(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim)
-    return x, batch["code"].to_numpy(), batch["fold"].to_numpy()
+def _portions(batch: pa.RecordBatch, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for at in range(0, batch.num_rows, PORTION):
+        part = batch.slice(at, PORTION)
+        yield part["x"].flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, dim), part["code"].to_numpy(), part["fold"].to_numpy()
 
 
-def _pass(rows: DataFrame, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums of the squared hinge losses and of their slopes by weights and bias, over the rows outside a model's fold."""
-    folds, classes, dim = weights.shape
-    held = rows.sparkSession.sparkContext.broadcast((weights.reshape(-1, dim), bias))
-    schema = pa.schema([("part", pa.int32()), ("sums", pa.list_(pa.float64()))])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, b = held.value
-        loss, by_bias, by_weight = np.zeros((folds, classes)), np.zeros((folds, classes)), np.zeros((folds * classes, dim))
-        for batch in batches:
-            x, code, fold = _batch(batch, dim)
+def _sums(batches: Iterator[pa.RecordBatch], w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Loss, slope by bias and slope by weights of all models, one after another."""
+    (folds, classes), dim = b.shape, w.shape[1]
+    loss, by_bias, by_weight = np.zeros((folds, classes)), np.zeros((folds, classes)), np.zeros((folds * classes, dim))
+    for batch in batches:
+        for x, code, fold in _portions(batch, dim):
             side = np.where(code[:, None] == np.arange(classes), 1.0, -1.0)[:, None, :]
             short = np.maximum(0, 1 - side * ((x @ w.T).reshape(-1, folds, classes) + b))
             short *= (fold[:, None] != np.arange(folds))[:, :, None]
@@ -112,7 +111,17 @@ def _pass(rows: DataFrame, weights: np.ndarray, bias: np.ndarray) -> tuple[np.nd
             pull = -2 * side * short
             by_bias += pull.sum(axis=0)
             by_weight += pull.reshape(len(x), -1).T @ x
-        sums = np.concatenate([loss.ravel(), by_bias.ravel(), by_weight.ravel()])
+    return np.concatenate([loss.ravel(), by_bias.ravel(), by_weight.ravel()])
+
+
+def _pass(rows: DataFrame, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of the squared hinge losses and of their slopes by weights and bias, over the rows outside a model's fold."""
+    folds, classes, dim = weights.shape
+    held = rows.sparkSession.sparkContext.broadcast((weights.reshape(-1, dim), bias))
+    schema = pa.schema([("part", pa.int32()), ("sums", pa.list_(pa.float64()))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _sums(batches, *held.value)
         yield pa.record_batch([pa.array([TaskContext.get().partitionId() % BUFFERS], pa.int32()), pa.array([sums])], schema=schema)
 
     def add(table: pa.Table) -> pa.Table:
@@ -194,9 +203,11 @@ def predict_together(models: Models, rows: DataFrame, feature: str, fold: str |
         out = np.full(len(x), -1)
         for f in range(folds):
             mine = np.flatnonzero((sizes == dim) & (numbers == f))
-            if len(mine) and weights.size:
-                values = x.take(pa.array(mine)).flatten().to_numpy(zero_copy_only=False).reshape(len(mine), dim)
-                out[mine] = (values @ weights[f].T + bias[f]).argmax(axis=1)
+            if weights.size:
+                for at in range(0, len(mine), PORTION):
+                    part = mine[at : at + PORTION]
+                    values = x.take(pa.array(part)).flatten().to_numpy(zero_copy_only=False).reshape(len(part), dim)
+                    out[part] = (values @ weights[f].T + bias[f]).argmax(axis=1)
         return pa.array(out, pa.int32())
 
     code = F.arrow_udf(work, "int")(F.col(feature), (F.col(fold) if fold else F.lit(0)).cast("int"))
@@ -206,15 +217,15 @@ def predict_together(models: Models, rows: DataFrame, feature: str, fold: str |
 
 
 def measures_of(counts: dict[tuple, int]) -> dict[str, float]:
-    """Accuracy, and precision, recall and f1 weighted by the true classes, of counts by (true, predicted)."""
+    """Accuracy, and precision, recall and f1 weighted by the true classes, of counts by (true, predicted). Sums are divided once, so without an error all are 1."""
     n = sum(counts.values())
-    out = dict.fromkeys(("accuracy", "weightedPrecision", "weightedRecall", "f1"), 0.0)
+    sums: dict[str, list[float]] = {m: [] for m in ("accuracy", "weightedPrecision", "weightedRecall", "f1")}
     for c in {k[0] for k in counts}:
         right = counts.get((c, c), 0)
         true, found = (sum(v for k, v in counts.items() if k[i] == c) for i in (0, 1))
         precision, recall = right / found if found else 0.0, right / true
-        out["accuracy"] += right / n
-        out["weightedPrecision"] += precision * true / n
-        out["weightedRecall"] += recall * true / n
-        out["f1"] += (2 * precision * recall / (precision + recall) if precision + recall else 0.0) * true / n
-    return out
+        sums["accuracy"].append(right)
+        sums["weightedPrecision"].append(precision * true)
+        sums["weightedRecall"].append(right)
+        sums["f1"].append((2 * precision * recall / (precision + recall) if precision + recall else 0.0) * true)
+    return {m: fsum(parts) / n if n else 0.0 for m, parts in sums.items()}
