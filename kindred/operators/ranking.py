@@ -21,6 +21,9 @@ SUBSETS: dict[str, tuple[str, ...]] = {
     "notes_rp_chroma_mfcc_skl_bh": ("notes", "rp", "chroma", "mfcc", "skl", "bh"),
 }
 
+# Digits to which scores and ranked distances are told apart.
+DECIMALS = 9
+
 
 def mean_score(names: Sequence[str]) -> Column:
     """Plain mean of the scaled distances; null if one of them is null."""
@@ -38,8 +41,13 @@ def weighted_score(weights: Mapping[str, float]) -> Column:
 
 
 def order_columns(score: str = "aggregated", largest_first: bool = False) -> list[Column]:
-    """The score (nulls last), then the id as tie-break."""
-    return [F.desc_nulls_last(score) if largest_first else F.asc_nulls_last(score), F.asc("id")]
+    """The score (nulls last), then the id as tie-break.
+
+    Fused scores, which lie between 0 and 1, are equal if they agree to nine decimals: the order of summation decides the digits
+    beyond, and it differs from run to run. Distances have no such scale and are compared as they are.
+    """
+    value = F.round(score, DECIMALS) if score == "aggregated" else F.col(score)
+    return [value.desc_nulls_last() if largest_first else value.asc_nulls_last(), F.asc("id")]
 
 
 def nearest(
@@ -74,7 +82,7 @@ def ranked_lists(distances: DataFrame, names: Sequence[str]) -> DataFrame:
                 F.struct(
                     F.lit(n).alias("feature"),
                     F.col(f"d_{n}").alias("distance"),
-                    F.round(F.col(f"d_{n}") * turned[n], 9).alias("_order"),
+                    F.round(F.col(f"d_{n}") * turned[n], DECIMALS).alias("_order"),
                 )
                 for n in names
             ]

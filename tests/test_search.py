@@ -500,3 +500,12 @@ def test_a_limit_of_the_edit_distance_spares_work(spark, store):
             m.setitem(MEASURES, "notes", replace(MEASURES["notes"], within=None))
             want = rows(plan(longer, [0], names, limits={"notes": limit}))
         assert got.keys() == want.keys() and all(got[k]["aggregated"] == pytest.approx(want[k]["aggregated"]) for k in got)
+
+
+def test_scores_that_differ_by_round_off_are_ranked_by_id(spark):
+    """Sums taken in another order differ in the last digits; the ranking must not."""
+    for noise in (1e-16, 2e-13, -2e-13):
+        rows_ = spark.createDataFrame([(0, 7, 0.3 + noise), (0, 3, 0.3), (0, 5, 0.3 - noise), (0, 9, 0.2), (0, 1, None)], "query_id long, id long, aggregated double")
+        assert [r.id for r in rows_.orderBy(*ranking.order_columns()).collect()] == [9, 3, 5, 7, 1]
+        for few in ([0], None):
+            assert {r.id for r in ranking.top_k(rows_, 2, few).collect()} == {9, 3}
