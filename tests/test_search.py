@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from checks import inputs, searching
 from kindred.operators import lsh, measures, pairing, ranking, scaling
 from kindred.operators.measures import MEASURES, is_comparable
 from kindred.operators.scale_out import materialise
@@ -509,3 +510,31 @@ def test_scores_that_differ_by_round_off_are_ranked_by_id(spark):
         assert [r.id for r in rows_.orderBy(*ranking.order_columns()).collect()] == [9, 3, 5, 7, 1]
         for few in ([0], None):
             assert {r.id for r in ranking.top_k(rows_, 2, few).collect()} == {9, 3}
+
+
+@pytest.mark.parametrize("share", [0.2, None])
+def test_lsh_of_many_queries_writes_no_row_for_each_pair(spark, monkeypatch, share):
+    """Many queries give the pairs that few do, from a table of counts and near pairs instead of all that share a bucket."""
+    vec = inputs.vec(spark, "/root/testdata/sf0.01").select("id", "rp")
+    odd = spark.createDataFrame([(-1, None), (-2, [1.0]), (-3, [float("nan")] * 40)], "id long, rp array<double>")
+    table = vec.unionByName(odd)
+    points = table.filter("id % 5 = 0 or id < 0")
+    options = {"bucket_length": searching._RP_WIDTH, "share": share}
+    few = sorted(tuple(r) for r in lsh.approximate_join(table, points, "rp", 0.9, **options).collect())
+    written, write = {}, lsh.materialise
+
+    def counted(df, name):
+        written[name] = written.get(name, 0) + (out := write(df, name)).count()
+        return out
+
+    monkeypatch.setattr(lsh, "materialise", counted)
+    monkeypatch.setattr(lsh, "ASKED_ROWS", 10)
+    monkeypatch.setattr(lsh, "JOB_QUERIES", 40)
+    monkeypatch.setattr(lsh, "ASKED_TOGETHER", 16)
+    monkeypatch.setattr(lsh, "ITEMS_TOGETHER", 37)
+    many = sorted(tuple(r) for r in lsh.approximate_join(table, points, "rp", 0.9, **options).collect())
+    assert few and [r[:2] for r in many] == [r[:2] for r in few]
+    assert [r[2] for r in many] == pytest.approx([r[2] for r in few])
+    assert sum(written.values()) < 0.5 * vec.count() * points.count()
+    twice = table.unionByName(vec.filter("id < 20").withColumn("rp", F.reverse("rp")))
+    assert {r[:2] for r in few if share is None} <= {tuple(r)[:2] for r in lsh.approximate_join(twice, points, "rp", 0.9, **options).collect()}
