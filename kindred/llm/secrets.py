@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from kindred.llm.common import materialise, only_cache, text_or_empty, via_arrow
 
@@ -36,7 +37,13 @@ WIDTH = LEFT + TOKEN + RIGHT
 STRIDE = 16
 SYMBOLS = 128
 
-PER_CLASS = 3000
+# Training windows that are learnt from one after another; beyond that, groups of about as many start each round from the mean of the last one.
+GROUP = 8192
+ROUNDS = 8
+# Groups of sums that reach the driver; steps that a logit of 1 has in the counts by which scores are calibrated.
+BUFFERS, STEPS, MOST_LOGIT = 32, 1000, 30
+# Every fourth window is kept aside. A class with less than this share of the other weighs as if it had that share.
+ASIDE, LEAST_SHARE = 4, 1 / 16
 SCORED = 4096
 RECALL = 0.98
 LEAST_STEPS = 250
@@ -189,6 +196,7 @@ class Model:
         return np.frombuffer(b"".join(windows), np.uint8).reshape(-1, WIDTH)
 
     def fit(self, windows: list[bytes], labels: list[int], epochs: int = 14, batch: int = 128, rate: float = 3e-3) -> Model:
+        """Fit on windows in memory; ``train`` does the same on a table."""
         y = np.array(labels, np.float32)
         if not 0 < y.sum(initial=0) < len(y):
             return self
@@ -200,39 +208,58 @@ class Model:
             orders = [rng.permutation(np.flatnonzero(y == c)) for c in (0, 1)]
             test = np.concatenate([o[: max(1, len(o) // 4)] for o in orders])
             learn = np.concatenate([o[max(1, len(o) // 4) :] if len(o) > 1 else o for o in orders])
-        # Few findings are gone through more often.
-        epochs = max(epochs, -(-LEAST_STEPS // -(-len(learn) // batch)))
+        self.learn(x[learn], y[learn], epochs, rng, batch=batch, rate=rate)
+        self._calibrate(self._logits(x[test]).astype(float), y[test], np.ones(len(test)))
+        return self
+
+    def learn(
+        self, x: np.ndarray, y: np.ndarray, epochs: int, rng: np.random.Generator, weights: tuple[float, float] = (1.0, 1.0), batch: int = 128, rate: float = 3e-3,
+        least: int = LEAST_STEPS,
+    ) -> None:
+        """Goes through the windows ``epochs`` times; few of them are gone through more often."""
+        epochs = max(epochs, -(-least // -(-len(y) // batch)))
+        weigh = np.where(y == 1, weights[1], weights[0]).astype(np.float32)
         moment = {k: np.zeros_like(v) for k, v in self.p.items()}
         square = {k: np.zeros_like(v) for k, v in self.p.items()}
         step = 0
         for _ in range(epochs):
-            learn = rng.permutation(learn)
-            for at in range(0, len(learn), batch):
-                part, step = learn[at : at + batch], step + 1
+            order = rng.permutation(len(y))
+            for at in range(0, len(order), batch):
+                part, step = order[at : at + batch], step + 1
                 z, kept = self._forward(x[part])
-                gradient = self._backward((1 / (1 + np.exp(-z)) - y[part]) / len(part), kept)
+                gradient = self._backward((1 / (1 + np.exp(-z)) - y[part]) * weigh[part] / len(part), kept)
                 for k, g in gradient.items():
                     moment[k] = 0.9 * moment[k] + 0.1 * g
                     square[k] = 0.999 * square[k] + 0.001 * g * g
-                    self.p[k] -= (rate * (moment[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-        self._calibrate(self._logits(x[test]), y[test])
+                    self.p[k] = self.p[k] - (rate * (moment[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+
+    def numbers(self) -> np.ndarray:
+        return np.concatenate([v.ravel() for v in self.p.values()]).astype(float)
+
+    def with_numbers(self, numbers: np.ndarray) -> Model:
+        at = 0
+        for k, v in self.p.items():
+            self.p[k] = numbers[at : at + v.size].reshape(v.shape).astype(np.float32)
+            at += v.size
         return self
 
-    def _calibrate(self, z: np.ndarray, y: np.ndarray) -> None:
-        """Platt scaling with smoothed targets, then the largest threshold that keeps the recall."""
-        positive, negative = y.sum(), len(y) - y.sum()
+    def _calibrate(self, z: np.ndarray, y: np.ndarray, n: np.ndarray) -> None:
+        """Platt scaling with smoothed targets, then the largest threshold that keeps the recall. ``n``: how many windows have this logit and class."""
+        positive, negative = n[y == 1].sum(), n[y == 0].sum()
         target = np.where(y == 1, (positive + 1) / (positive + 2), 1 / (negative + 2))
         a, b = 1.0, 0.0
         for _ in range(200):
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-            w, r = p * (1 - p) + 1e-9, target - p
+            w, r = n * (p * (1 - p) + 1e-9), n * (target - p)
             # A slope near one is preferred, so that findings without an error among them do not drive it off.
             h = np.array([[(w * z * z).sum() + 1, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
             step = np.linalg.solve(h, [(r * z).sum() - (a - 1), r.sum()])
             a, b = a + np.clip(step[0], -0.2, 0.2), b + np.clip(step[1], -0.5, 0.5)
         self.slope, self.shift = float(a), float(b)
-        scores = np.sort(self._calibrated(z[y == 1]))[::-1]
-        self.threshold = float(scores[min(len(scores) - 1, int(np.ceil(RECALL * len(scores))) - 1)])
+        found = np.flatnonzero(y == 1)
+        found = found[np.argsort(-self._calibrated(z[found]), kind="stable")]
+        last = np.searchsorted(np.cumsum(n[found]), np.ceil(RECALL * positive))
+        self.threshold = float(self._calibrated(z[found])[min(len(found) - 1, last)])
 
     def _calibrated(self, z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -30, 30)))
@@ -246,31 +273,106 @@ class Model:
         return self._calibrated(self._logits(self._array(windows)).astype(float)) if windows else np.zeros(0)
 
 
-def train(docs: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Fit on the candidates of all documents, of each class the ``per_class`` with the smallest hash.
+WINDOWS = pa.schema([("window", pa.binary()), ("label", pa.int32()), ("hash", pa.int64())])
 
-    Every batch keeps no more than these, and the windows that reach the driver are ``2 * per_class`` at most, of ``WIDTH`` bytes each.
-    """
-    texts = docs.select(text_or_empty().alias("text"))
-    schema = pa.schema([("window", pa.binary()), ("label", pa.int32()), ("hash", pa.int64())])
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+def labelled_windows(docs: DataFrame) -> DataFrame:
+    """``window, label, hash`` of all candidates of all documents, equal ones once."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only_cache("secrets", lambda: None)
-        found: list[dict[bytes, int]] = [{}, {}]
-        least = lambda c: dict(sorted(found[c].items(), key=lambda x: (x[1], x[0]))[:per_class])
-        for cell in batch["text"]:
-            for w, c in training_windows(cell.as_py()):
-                found[c][w] = xxhash.xxh3_64_intdigest(w) >> 1
-                if len(found[c]) > 4 * per_class:
-                    found[c] = least(c)
-        rows = [(w, c, h) for c in (0, 1) for w, h in least(c).items()]
-        columns = zip(*rows, strict=True) if rows else [[]] * 3
-        return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-    rows = materialise(via_arrow(texts, work, schema).distinct(), "windows")
-    parts = [rows.filter(F.col("label") == c).orderBy("hash", "window").limit(per_class).toArrow() for c in (0, 1)]
-    found = pa.concat_tables(parts)
-    return Model().fit(found["window"].to_pylist(), found["label"].to_pylist())
+        found: set[tuple[bytes, int]] = set()
+
+        def batch() -> pa.RecordBatch:
+            rows = [(w, c, xxhash.xxh3_64_intdigest(w) >> 1) for w, c in found]
+            found.clear()
+            columns = zip(*rows, strict=True) if rows else [[]] * 3
+            return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, WINDOWS, strict=True)], schema=WINDOWS)
+
+        for cells in batches:
+            for cell in cells["text"]:
+                for labelled in training_windows(cell.as_py()):
+                    found.add(labelled)
+                    if len(found) >= 4 * GROUP:
+                        yield batch()
+        yield batch()
+
+    rows = docs.select(text_or_empty().alias("text")).mapInArrow(work, from_arrow_schema(WINDOWS))
+    return materialise(rows.distinct(), "windows")
+
+
+def _groups(rows: DataFrame, groups: int) -> DataFrame:
+    """``group, n, windows, labels``: a row for each group of windows, written once."""
+    schema = pa.schema([("group", pa.int64()), ("n", pa.int64()), ("windows", pa.binary()), ("labels", pa.binary())])
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("hash", "ascending"), ("window", "ascending"), ("label", "ascending")])
+        cells = [b"".join(table["window"].to_pylist()), bytes(table["label"].to_pylist())]
+        return pa.table([pa.array(c, f.type) for c, f in zip([table["group"][:1].to_pylist(), [table.num_rows], cells[:1], cells[1:]], schema)], schema=schema)
+
+    placed = rows.withColumn("group", F.floor(F.col("hash") / ASIDE).cast("long") % groups).repartition(groups, "group")
+    return materialise(placed.groupBy("group").applyInArrow(pack, from_arrow_schema(schema)), "groups")
+
+
+def _round(groups: DataFrame, start: np.ndarray, number: int, epochs: int, weights: tuple[float, float], least: int) -> np.ndarray:
+    """The mean of what all groups learn from ``start``, weighted by their windows."""
+    kind = "part int, group long, n long, numbers array<double>"
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                x, y = np.frombuffer(row["windows"], np.uint8).reshape(-1, WIDTH), np.frombuffer(row["labels"], np.uint8).astype(np.float32)
+                model = Model().with_numbers(start)
+                model.learn(x, y, epochs, np.random.default_rng([13, number, row["group"]]), weights, least=least)
+                columns = [[row["group"] % BUFFERS], [row["group"]], [row["n"]], [model.numbers() * row["n"]]]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64())), strict=True)], ["part", "group", "n", "numbers"])
+
+    def add(table: pa.Table) -> pa.Table:
+        table = table.sort_by("group")
+        sums = np.sum([v.values.to_numpy() for v in table["numbers"]], axis=0)
+        columns = [table["part"][:1], table["group"][:1], pa.array([sum(table["n"].to_pylist())], pa.int64()), pa.array([sums], pa.list_(pa.float64()))]
+        return pa.table(columns, ["part", "group", "n", "numbers"])
+
+    found = groups.mapInArrow(learn, kind).groupBy("part").applyInArrow(add, kind).toArrow().sort_by("part")  # at most BUFFERS rows
+    return np.sum([v.values.to_numpy() for v in found["numbers"]], axis=0) / sum(found["n"].to_pylist())
+
+
+def train(docs: DataFrame) -> Model:
+    """Fit on the candidates of all documents, calibrate on all that are kept aside.
+
+    The windows are learnt from in groups, each by one task from the same start; the next round starts from the mean of what the groups have learnt. What reaches the
+    driver are sums of the network's numbers, and counts of kept windows by class and logit, in steps of a thousandth.
+    """
+    rows, model = labelled_windows(docs), Model()
+    aside = F.col("hash") % ASIDE == 0
+    sizes = {c: [0, 0] for c in (0, 1)}
+    for r in rows.groupBy("label", aside.cast("int").alias("aside")).count().collect():
+        sizes[r["label"]][r["aside"]] = r["count"]
+    if not all(sum(n) for n in sizes.values()):
+        return model
+    # A class that the hash puts on one side as a whole is both learnt from and judged.
+    both = F.col("label").isin([c for c, n in sizes.items() if not all(n)])
+    n = [sum(v) if not all(v) else v[0] for v in (sizes[0], sizes[1])]
+    weights = tuple(max(1.0, LEAST_SHARE * sum(n) / mine) for mine in n)
+    groups = -(-sum(n) // GROUP)
+    held = _groups(rows.filter(~aside | both), groups)
+    numbers = model.numbers()
+    for number in range(ROUNDS if groups > 1 else 1):
+        numbers = _round(held, numbers, number, *((1, weights, 0) if groups > 1 else (14, weights, LEAST_STEPS)))
+    model.with_numbers(numbers)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = Model().with_numbers(numbers)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SCORED):
+                part = batch.slice(at, SCORED)
+                z = np.clip(fitted._logits(Model._array(part["window"].to_pylist())).astype(float), -MOST_LOGIT, MOST_LOGIT)
+                yield pa.record_batch([part["label"], pa.array(np.floor(z * STEPS).astype(np.int32))], ["label", "step"])
+
+    judged = rows.filter(aside | both).select("window", "label").mapInArrow(judge, "label int, step int")
+    counts = judged.groupBy("label", "step").count().orderBy("label", "step").toArrow()  # a row for each class and step
+    model._calibrate(counts["step"].to_numpy() / STEPS, counts["label"].to_numpy(), counts["count"].to_numpy().astype(float))
+    return model
 
 
 def find(texts: list[str], model: Model) -> list[tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]]:

@@ -178,3 +178,45 @@ def test_real_documents(spark):
     rows = {r.doc_id: r.text for r in docs.collect()}
     for r in S.scan(docs, S.train(docs)).collect():
         assert r.base_sha256 == hashlib.sha256(",".join(brute(rows[r.doc_id])).encode()).hexdigest()
+
+
+def test_all_windows_are_learnt_from_or_judged(documents, monkeypatch):
+    """No window of either class is left out, however many there are; several groups learn what one does."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("aeioutnrs", k=rng.randint(16, 22)))
+    hexes = lambda: "".join(rng.choices("0123456789abcdef", k=20))
+    rows = [(i, " ".join(f"see {word()}" for _ in range(20))) for i in range(200)]
+    rows += [(1000 + i, f"see the password={hexes()} there and {word()}") for i in range(150)]
+    given = {w for _, t in rows for w in S.training_windows(t)}
+    assert len(given) > 4000
+    seen, groups, calibrate = {}, S._groups, S.Model._calibrate
+
+    def kept(rows, n):
+        out = groups(rows, n)
+        seen["groups"], seen["learnt"] = n, sum(r.n for r in out.select("n").collect())
+        return out
+
+    def judged(self, z, y, n):
+        seen["judged"] = n.sum()
+        calibrate(self, z, y, n)
+
+    monkeypatch.setattr(S, "_groups", kept)
+    monkeypatch.setattr(S.Model, "_calibrate", judged)
+    monkeypatch.setattr(S, "GROUP", 1000)
+    model = S.train(documents(rows))
+    assert seen["groups"] > 2 and seen["learnt"] + seen["judged"] == len(given)
+    found = [bool(spans) for _, spans in S.find([f"see the {make()} there" for _ in range(100) for make in (hexes, word)], model)]
+    assert np.mean(found[::2]) > 0.9 and np.mean(found[1::2]) < 0.05
+    assert S.train(documents(rows)).threshold == model.threshold
+
+
+def test_calibration_by_counts_is_that_of_single_logits():
+    rng = np.random.default_rng(6)
+    y = (rng.random(3000) < 0.2).astype(int)
+    z = np.floor((rng.standard_normal(3000) + 3 * y) * 20) / 20
+    one, many = S.Model(), S.Model()
+    one._calibrate(z, y, np.ones(3000))
+    pairs, n = np.unique(np.stack([y, z]), axis=1, return_counts=True)
+    many._calibrate(pairs[1], pairs[0], n.astype(float))
+    assert np.allclose([one.threshold, one.slope, one.shift], [many.threshold, many.slope, many.shift])
+    assert (one._calibrated(z[y == 1]) >= one.threshold).mean() >= S.RECALL
