@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.types import StructType
 
 from kindred.operators.scale_out import materialise
 
@@ -23,7 +27,7 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def via_arrow(
-    df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: pa.Schema
+    df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: pa.Schema | StructType
 ) -> DataFrame:
     """Apply ``work`` to every Arrow batch of ``df``; batches for which it returns ``None`` give no rows."""
 
@@ -33,7 +37,7 @@ def via_arrow(
             if out is not None:
                 yield out
 
-    return df.mapInArrow(run, from_arrow_schema(schema))
+    return df.mapInArrow(run, schema if isinstance(schema, StructType) else from_arrow_schema(schema))
 
 
 def parts_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[str]]]:
@@ -63,6 +67,15 @@ def only_cache(owner: str, drop: Callable[[], None]) -> None:
             other()
         _caches.clear()
         _caches[owner] = drop
+        give_back()
+
+
+def give_back() -> None:
+    """Returns what this process has freed to the system: else each worker keeps the most that any operator took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def bucket_of(columns: Sequence[str], n: int) -> Column:

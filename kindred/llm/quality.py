@@ -173,12 +173,15 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     their texts. Without labels every score is 0.5 and nothing is kept. An empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
+    # By mapInArrow as the operators around it: a UDF would have Python workers of its own, beside theirs, which keep their memory.
+    given, width = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))]), len(docs.columns)
+    text = text_or_empty(f"_c{[c.lower() for c in docs.columns].index('text')}")
 
-    def score(texts: pa.Array) -> pa.Array:
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         only_cache("quality", lambda: None)
-        out = np.empty(len(texts))
-        for at in range(0, len(texts), BLOCK):
-            out[at : at + BLOCK] = held.value.score(texts.slice(at, BLOCK).to_pylist())
-        return pa.array(out)
+        texts, keep = batch.column(width), np.empty(batch.num_rows, bool)
+        for at in range(0, batch.num_rows, BLOCK):
+            keep[at : at + BLOCK] = held.value.score(texts.slice(at, BLOCK).to_pylist()) >= THRESHOLD
+        return batch.select(list(range(width))).filter(pa.array(keep))
 
-    return docs.filter(F.arrow_udf(score, "double")(text_or_empty()) >= THRESHOLD)
+    return via_arrow(given.withColumn("_text", text), work, given.schema).toDF(*docs.columns)

@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from kindred.llm.common import materialise, only_cache, text_or_empty, via_arrow
 
@@ -456,11 +457,15 @@ def redact(docs: DataFrame, model: Model, mark: str = "[SECRET]") -> DataFrame:
             out.append(pa.array([replaced(t, spans, mark) if spans else t for t, (_, spans) in zip(part, found, strict=True)], pa.string()))
         return pa.concat_arrays(out)
 
-    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    given = docs.select(*[F.col(c).alias(n) for c, n in names.items()], F.col("text").cast("string").alias("_text"))
-    marked = given.withColumn("_clean", F.arrow_udf(clean, "string")("_text"))
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    given = docs.select(F.col("text").cast("string").alias("_text"), *[F.col(c).alias(n) for c, n in names.items()])
+    # By mapInArrow as the operators around it: a UDF would have Python workers of its own, beside theirs, which keep their memory.
+    marked = via_arrow(
+        given, lambda batch: pa.RecordBatch.from_arrays([*batch.columns, clean(batch.column(0))], [*batch.schema.names, "_clean"]),
+        StructType([*given.schema.fields, StructField("_clean", StringType())]),
+    )
     changed = ~F.col("_clean").eqNullSafe(F.col("_text"))
-    columns = {c: F.col(n) for c, n in names.items()} | {"text": F.col("_clean")}
+    columns = {c: F.col(names[c]) if c in names else F.col("_clean") for c in docs.columns}
     if "n_chars" in names:
         size = F.length("_clean").cast(docs.schema["n_chars"].dataType)
         columns["n_chars"] = F.when(changed, size).otherwise(F.col(names["n_chars"]))

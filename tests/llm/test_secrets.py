@@ -220,3 +220,14 @@ def test_calibration_by_counts_is_that_of_single_logits():
     many._calibrate(pairs[1], pairs[0], n.astype(float))
     assert np.allclose([one.threshold, one.slope, one.shift], [many.threshold, many.slope, many.shift])
     assert (one._calibrated(z[y == 1]) >= one.threshold).mean() >= S.RECALL
+
+
+def test_stages_share_the_workers_of_map_in_arrow(documents):
+    """A UDF would have Python workers of its own, whose memory stands beside that of the others."""
+    from kindred.llm import quality
+
+    docs = documents([(1, "token=abcdefgh1"), (2, None)])
+    for out in (S.redact(docs, S.Model()), quality.keep_good(docs, quality.Model().fit([], [], {}))):
+        assert out.columns == docs.columns
+        plan = out._jdf.queryExecution().toString()
+        assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
